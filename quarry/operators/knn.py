@@ -20,14 +20,11 @@ top-k lists.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry import config
 from quarry.functions.vector import norm, similarity
@@ -132,116 +129,22 @@ def index_stats(index: DataFrame, metric: str = "cosine", vec_col: str = "embedd
              F.lit(metric).alias("distance_metric"))
 
 
-# ---------------------------------------------------------------- batch kernel
-
-_HIT_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
-
-def _matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
-
-
-def _local_topk(scores: np.ndarray, qids: np.ndarray, dids: np.ndarray, k: int) -> pd.DataFrame:
-    """Top-k per row of ``scores`` (rows = queries), ordered by score desc
-    then doc id asc; NaN (undefined cosine) ranks last."""
-    nq, nd = scores.shape
-    if nq == 0 or nd == 0:
-        return pd.DataFrame({"qid": [], "doc_id": [], "score": []})
-    key = np.where(np.isnan(scores), -np.inf, scores)
-    if nd > k:
-        # k-th best value per row; keep everything >= it (ties included),
-        # then order the few survivors exactly.
-        kth = np.partition(key, nd - k, axis=1)[:, nd - k]
-        rows, cols = np.nonzero(key >= kth[:, None])
-    else:
-        rows, cols = np.indices((nq, nd)).reshape(2, -1)
-    order = np.lexsort((dids[cols], -key[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    start = np.searchsorted(rows, np.arange(nq))
-    pos = np.arange(len(rows)) - start[rows]
-    keep = pos < k
-    rows, cols = rows[keep], cols[keep]
-    s = scores[rows, cols]
-    return pd.DataFrame({"qid": qids[rows], "doc_id": dids[cols],
-                         "score": np.where(np.isnan(s), None, s)})
-
-
-def _block_kernel(k: int, metric: str, squared: bool, digits: int | None, chunk: int = 1024):
-    def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "doc_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        Q = _matrix(qpdf["qvec"])
-        C = _matrix(cpdf["cvec"])
-        qids = qpdf["qid"].to_numpy(np.int64)
-        dids = cpdf["cid"].to_numpy(np.int64)
-        if metric in ("cosine", "cosine_distance"):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cn = np.linalg.norm(C, axis=1)
-                C = C / cn[:, None]
-        elif metric == "l2":
-            c2 = np.einsum("ij,ij->i", C, C)
-        out = []
-        for lo in range(0, len(Q), chunk):
-            q = Q[lo:lo + chunk]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if metric in ("cosine", "cosine_distance"):
-                    qn = np.linalg.norm(q, axis=1)
-                    s = (q / qn[:, None]) @ C.T
-                elif metric == "l2":
-                    d2 = np.maximum(np.einsum("ij,ij->i", q, q)[:, None] + c2[None, :] - 2.0 * (q @ C.T), 0.0)
-                    s = 1.0 / (1.0 + (d2 if squared else np.sqrt(d2)))
-                else:
-                    s = q @ C.T
-            if digits is not None:
-                s = np.round(s, digits)
-            out.append(_local_topk(s, qids[lo:lo + chunk], dids, k))
-        return pd.concat(out, ignore_index=True)
-
-    return run
-
+# ---------------------------------------------------------------- many queries
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = config.SEARCH_LIMIT,
              metric: str = "cosine", q_id: str = "qid", q_vec: str = "embedding",
-             c_id: str = "doc_id", c_vec: str = "embedding", block_rows: int = 4096,
-             squared: bool = True, digits: int | None = None,
-             n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+             c_id: str = "doc_id", c_vec: str = "embedding", squared: bool = True,
+             digits: int | None = None, broadcast_bytes: int = 64 << 20,
+             block_rows: int = 4096) -> DataFrame:
     """Exact top-k corpus rows for every query row: (qid, doc_id, score, rank).
-
-    Block sizes come from row counts (two cheap count jobs unless given):
-    each side is cut into ceil(n / block_rows) hash blocks, so a task holds
-    at most ~block_rows vectors per side whatever the data size.  A query
-    block is sent once to every corpus block and vice versa; with one
-    query block (a small batch) the corpus moves exactly once.
-    """
+    See :mod:`quarry.operators.kernels` for the two physical strategies."""
     if metric not in config.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    nq = n_queries if n_queries is not None else queries.count()
-    nc = n_corpus if n_corpus is not None else corpus.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    q = queries.select(
-        F.col(q_id).cast("bigint").alias("qid"), F.col(q_vec).alias("qvec"),
-        F.pmod(F.xxhash64(q_id), F.lit(qb)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"),
-    )
-    c = corpus.select(
-        F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).alias("cvec"),
-        F.pmod(F.xxhash64(c_id), F.lit(cb)).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
-    )
-    partial = (
-        q.groupBy("qb", "cb")
-        .cogroup(c.groupBy("qb", "cb"))
-        .applyInPandas(_block_kernel(k, metric, squared, digits), _HIT_SCHEMA)
-    )
+    from quarry.operators.kernels import batch_topk
+
+    partial = batch_topk(queries, corpus, k, "dense", metric=metric, squared=squared, digits=digits,
+                         q_id=q_id, c_id=c_id, q_cols=(q_vec,), c_cols=(c_vec,),
+                         broadcast_bytes=broadcast_bytes, block_rows=block_rows)
     return rank_within(partial, ["qid"], k, "doc_id")
 
 

@@ -155,4 +155,175 @@ SELECT count(*) AS total_results, count(DISTINCT label) AS repositories_found FR
 def _search_summary(spark, d):
     from quarry.operators.retrieve import hits_summary
     return hits_summary(_grouped_hits(spark, d), repo_col="label")
+
+
+# ------------------------------------------------------------------ files
+# documents stand in for a file tree: source = repository, a derived path
+# per document (ignored directories, look-alikes, odd suffixes), n_chars =
+# size.  SIZE_CAP makes the size rule bite at this data's scale.
+
+SIZE_CAP = 2000
+_DOC_PATH = """concat(source, '/',
+  CASE doc_id % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'node_modules/lib' WHEN 2 THEN 'docs/build'
+                  WHEN 3 THEN '.github' ELSE 'rebuild' END,
+  '/f', doc_id::VARCHAR,
+  CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '.PY' WHEN 3 THEN '.md'
+                  WHEN 4 THEN '.' WHEN 5 THEN '' ELSE '.js' END)"""
+_EXT = r"regexp_extract(path, '(?s)^(?:.*/)?[^/]+(\.[^./]+)$', 1)"
+_IGN = "list_has_any(string_split(path, '/'), {ign})"
+_FILES = f"""WITH f0 AS (SELECT doc_id, source AS repo_name, {_DOC_PATH} AS path, text AS content,
+                          n_chars AS size, lang FROM documents),
+     files AS (SELECT *, {_EXT} AS extension FROM f0)"""
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in sorted(xs)) + "]"
+
+
+def _files(spark, d):
+    from quarry.sources.tables import documents_as_files
+    return documents_as_files(load(spark, d, "documents"))
+
+
+def _eligible(spark, d):
+    from quarry.operators.filters import eligible_files
+    return eligible_files(_files(spark, d), limit_bytes=SIZE_CAP)
+
+
+def _sqlf():
+    from quarry import config
+    ign = _IGN.format(ign=_sql_list(config.IGNORE_DIRS))
+    ext = f"extension IN ({', '.join(repr(e) for e in sorted(config.SUPPORTED_EXTENSIONS))})"
+    return ign, ext
+
+
+_IGN_SQL, _EXT_SQL = _sqlf()
+_ELIG = f"""{_FILES}, elig AS (SELECT * FROM files WHERE size <= {SIZE_CAP} AND {_EXT_SQL} AND NOT {_IGN_SQL})"""
+
+
+@register("path_extension", f"{_FILES} SELECT doc_id, path, extension FROM files")
+def _path_extension(spark, d):
+    return _files(spark, d).select("doc_id", "path", "extension")
+
+
+@register("filter_ignored_dirs", f"{_FILES} SELECT doc_id, path FROM files WHERE NOT {_IGN_SQL}")
+def _filter_ignored_dirs(spark, d):
+    from quarry.operators.filters import filter_ignored_dirs
+    return filter_ignored_dirs(_files(spark, d)).select("doc_id", "path")
+
+
+@register("filter_extension", f"{_FILES} SELECT doc_id, path, extension FROM files WHERE {_EXT_SQL}")
+def _filter_extension(spark, d):
+    from quarry.operators.filters import filter_extension
+    return filter_extension(_files(spark, d)).select("doc_id", "path", "extension")
+
+
+@register("filter_size", f"{_FILES} SELECT doc_id, size FROM files WHERE size <= {SIZE_CAP}")
+def _filter_size(spark, d):
+    from quarry.operators.filters import filter_size
+    return filter_size(_files(spark, d), SIZE_CAP).select("doc_id", "size")
+
+
+@register("eligible_files", f"{_ELIG} SELECT doc_id, repo_name, path, extension, size FROM elig")
+def _eligible_files(spark, d):
+    return _eligible(spark, d).select("doc_id", "repo_name", "path", "extension", "size")
+
+
+@register("content_hash", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', '\n', 'g')) AS hash FROM documents")
+def _content_hash(spark, d):
+    from quarry.functions.text import content_hash, normalize_newlines
+    return load(spark, d, "documents").select("doc_id", content_hash(normalize_newlines("text")).alias("hash"))
+
+
+_PAGES = r"""WITH p0 AS (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS clean, html FROM pages),
+pg AS (SELECT page_id, url, regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)', 1) AS repo_name,
+              regexp_extract(clean, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/?(.*)$', 1) AS path,
+              html AS content, strlen(html)::BIGINT AS size FROM p0)"""
+
+
+@register("file_records", _PAGES + r"""
+SELECT page_id, repo_name, path, path AS full_path, regexp_extract(path, '(?s)^(?:.*/)?[^/]+(\.[^./]+)$', 1) AS extension,
+       size, md5(regexp_replace(content, '\r\n?', chr(10), 'g')) AS hash,
+       length(regexp_replace(content, '\r\n?', chr(10), 'g'))::BIGINT AS n_chars
+FROM pg WHERE length(content) > 0""")
+def _file_records(spark, d):
+    from quarry.operators.records import file_records
+    from quarry.sources.tables import pages_as_files
+    rec = file_records(pages_as_files(load(spark, d, "pages")), keep=("page_id", "repo_name"))
+    return rec.select("page_id", "repo_name", "path", "full_path", "extension", "size", "hash",
+                      F.length("content").cast("bigint").alias("n_chars"))
+
+
+@register("repo_name_from_url", r"""
+SELECT page_id, url, replace(string_split(url, '/')[-1], '.git', '') AS repo_name,
+       regexp_replace(string_split(regexp_replace(url, '/+$', ''), '/')[-1], '\.git$', '') AS repo_name_clean
+FROM pages""")
+def _repo_name_from_url(spark, d):
+    from quarry.functions.text import repo_name_from_url
+    return load(spark, d, "pages").select(
+        "page_id", "url", repo_name_from_url("url").alias("repo_name"),
+        repo_name_from_url("url", strict_compat=False).alias("repo_name_clean"))
+
+
+@register("embedding_text", f"""{_FILES}
+SELECT doc_id, 'File: ' || path || chr(10) || chr(10) || 'Content:' || chr(10) || content AS embedding_text FROM files""")
+def _embedding_text(spark, d):
+    from quarry.functions.text import embedding_text
+    return _files(spark, d).select("doc_id", embedding_text("path", "content").alias("embedding_text"))
+
+
+def _preview_sql():
+    from quarry.functions.text import PY_WHITESPACE
+    ws = PY_WHITESPACE
+    return (f"SELECT doc_id, substring(replace(regexp_replace(text, '^{ws}+|{ws}+$', '', 'g'), chr(10), ' '), 1, 150)"
+            f" || '...' AS preview FROM documents")
+
+
+@register("hit_preview", _preview_sql())
+def _hit_preview(spark, d):
+    from quarry.functions.text import preview
+    return load(spark, d, "documents").select("doc_id", preview("text").alias("preview"))
+
+
+# ------------------------------------------------------------------ aggregates
+
+@register("language_histogram", f"""{_ELIG}
+SELECT repo_name, extension, count(*) AS n_files FROM elig GROUP BY ALL""")
+def _language_histogram(spark, d):
+    from quarry.operators.aggregates import language_histogram
+    return language_histogram(_eligible(spark, d))
+
+
+@register("repo_metadata", f"""{_ELIG},
+h AS (SELECT repo_name, extension, count(*) AS n FROM elig GROUP BY ALL),
+m AS (SELECT repo_name, '{{' || string_agg('"' || extension || '":' || n::VARCHAR, ',' ORDER BY extension) || '}}' AS languages
+      FROM h GROUP BY repo_name)
+SELECT e.repo_name AS name, e.repo_name AS path, 'local:' || e.repo_name AS url, count(*) AS file_count,
+       sum(size)::BIGINT AS total_bytes, round(sum(size) / 1048576.0, 3) AS size_mb, any_value(m.languages) AS languages
+FROM elig e JOIN m USING (repo_name) GROUP BY e.repo_name""")
+def _repo_metadata(spark, d):
+    from quarry.operators.aggregates import repo_metadata
+    md = repo_metadata(_eligible(spark, d))
+    return md.withColumn("languages", F.to_json("languages"))
+
+
+@register("language_totals", f"""{_ELIG} SELECT extension, count(*) AS n_files FROM elig GROUP BY ALL""")
+def _language_totals(spark, d):
+    from quarry.operators.aggregates import language_totals
+    return language_totals(_eligible(spark, d))
+
+
+@register("top_languages", f"""{_FILES}
+SELECT extension, count(*) AS n_files FROM files GROUP BY ALL ORDER BY n_files DESC, extension LIMIT 10""")
+def _top_languages(spark, d):
+    from quarry.operators.aggregates import top_languages
+    return top_languages(_files(spark, d))
+
+
+@register("repo_names", "SELECT DISTINCT source AS repo_name FROM documents")
+def _repo_names(spark, d):
+    from quarry.operators.aggregates import repo_names
+    return repo_names(_files(spark, d))
+
+
 FLAGSHIP = "knn_cosine"
