@@ -32,24 +32,33 @@ def _buckets(text: Column, num_buckets: int) -> Column:
     )
 
 
-def _run_lengths(sorted_arr: Column):
-    """(distinct values, counts) of a sorted array, O(n) with HOFs."""
-    n = F.size(sorted_arr)
+def _run_lengths(df: DataFrame, arr: str, keep) -> DataFrame:
+    """Replace the sorted array column ``arr`` by (terms, weights=counts),
+    O(n) per row with HOFs.  Run starts are materialised in their own
+    projection: referenced twice, Catalyst keeps them computed once.
+    ``get`` is 0-based and NULL out of range, so no bounds errors."""
+    s = F.col(arr)
+    n = F.size(s)
     starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (n > 0) & ((i == 1) | (F.element_at(sorted_arr, i) != F.element_at(sorted_arr, i - 1))),
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda i: (n > 0) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))),
     )
-    values = F.transform(starts, lambda i: F.element_at(sorted_arr, i))
-    counts = F.transform(
-        starts,
-        lambda i, j: (F.coalesce(F.element_at(starts, j + 2), n + 1) - i).cast("double"),
+    staged = df.select(*keep, s, starts.alias("__s"))
+    st = F.col("__s")
+    return staged.select(
+        *keep,
+        F.transform(st, lambda i: F.get(s, i)).alias("terms"),
+        F.transform(st, lambda i, j: (F.coalesce(F.get(st, j + 1), F.size(s)) - i).cast("double")).alias("weights"),
     )
-    return values, counts
 
 
 def _l2_normalise(df: DataFrame, w: str = "weights") -> DataFrame:
+    """Divide by the row's L2 norm.  The norm is spread with array_repeat
+    (evaluated once per row) and zipped in: a lambda that referenced it
+    directly would recompute it per element once Catalyst inlines it."""
     nrm = F.sqrt(F.aggregate(F.col(w), F.lit(0.0), lambda acc, x: acc + x * x))
-    return df.withColumn(w, F.transform(F.col(w), lambda x: F.try_divide(x, nrm)))
+    norms = F.array_repeat(nrm, F.size(F.col(w)))
+    return df.withColumn(w, F.zip_with(F.col(w), norms, lambda x, n: F.try_divide(x, n)))
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -57,8 +66,7 @@ def term_frequencies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """Raw counts per bucket: (id, terms, weights=count), unnormalised."""
     buckets = F.array_sort(_buckets(F.col(text_col), num_buckets))
     staged = docs.select(id_col, *keep, buckets.alias("__b"))
-    values, counts = _run_lengths(F.col("__b"))
-    return staged.select(id_col, *keep, values.alias("terms"), counts.alias("weights"))
+    return _run_lengths(staged, "__b", [id_col, *keep])
 
 
 def embed_tf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -71,28 +79,32 @@ def idf_table(tf: DataFrame) -> DataFrame:
     """(bucket, df, idf) with idf = ln((N+1)/(df+1)) + 1 over the corpus.
     At most ``num_buckets`` rows whatever the corpus size."""
     n_docs = tf.select(F.count(F.lit(1))).scalar()
-    df = tf.select(F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    # explode_outer + IS NOT NULL, not explode: for a plain explode Spark
+    # infers size(terms) > 0 and pushes it under the projection, which
+    # would re-evaluate the whole vectoriser inside that predicate.
+    buckets = tf.select(F.explode_outer("terms").alias("bucket")).where(F.col("bucket").isNotNull())
+    df = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     return df.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
 
 
 def idf_vector(tf: DataFrame, num_buckets: int = config.DEFAULT_NUM_BUCKETS) -> Column:
-    """Dense idf array indexed by bucket (1-based ``element_at``) as a scalar
+    """Dense idf array indexed by bucket (0-based ``get``) as a scalar
     subquery; buckets no document uses get ln(N+1) + 1.  Its size is
-    ``num_buckets`` doubles, fixed by parameter, not by data."""
+    ``num_buckets`` doubles, fixed by parameter, not by data: all buckets
+    (a range) left-joined to the idf table, ordered, collected once."""
     n_docs = tf.select(F.count(F.lit(1))).scalar()
-    seen = idf_table(tf).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "idf"))).alias("m"))
-    seen = seen.withColumn("__unseen", F.log(n_docs + 1) + 1)
-    dense = seen.select(F.transform(
-        F.sequence(F.lit(0), F.lit(num_buckets - 1)),
-        lambda b: F.coalesce(F.element_at(F.col("m"), b), F.col("__unseen"))).alias("idf"))
-    return dense.scalar()
+    every = tf.sparkSession.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
+    full = every.join(idf_table(tf).select("bucket", "idf"), "bucket", "left").select(
+        "bucket", F.coalesce(F.col("idf"), F.log(n_docs + 1) + 1).alias("idf"))
+    dense = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "idf"))).alias("e"))
+    return dense.select(F.transform("e", lambda x: x["idf"]).alias("idf")).scalar()
 
 
 def apply_idf(tf: DataFrame, idf: Column) -> DataFrame:
     """Weight raw counts by idf and L2-normalise."""
     staged = tf.withColumn("__idf", idf)
     out = staged.withColumn(
-        "weights", F.zip_with("terms", "weights", lambda t, c: c * F.element_at(F.col("__idf"), t + 1)))
+        "weights", F.zip_with("terms", "weights", lambda t, c: c * F.get(F.col("__idf"), t)))
     return _l2_normalise(out.drop("__idf"))
 
 
@@ -112,7 +124,8 @@ def embed_queries(queries: DataFrame, idf: Column, text_col: str = "query", id_c
 
 def explode_vectors(vecs: DataFrame, id_col: str = "doc_id", digits: int | None = None) -> DataFrame:
     """Packed vectors -> long form (id, bucket, weight)."""
-    z = vecs.select(id_col, F.explode(F.arrays_zip("terms", "weights")).alias("z"))
+    z = vecs.select(id_col, F.explode_outer(F.arrays_zip("terms", "weights")).alias("z")) \
+        .where(F.col("z").isNotNull())
     w = F.col("z.weights")
     return z.select(id_col, F.col("z.terms").alias("bucket"),
                     (F.round(w, digits) if digits is not None else w).alias("weight"))

@@ -326,4 +326,74 @@ def _repo_names(spark, d):
     return repo_names(_files(spark, d))
 
 
-FLAGSHIP = "knn_cosine"
+
+
+# ------------------------------------------------------------------ text search
+# Hashed term vectors over documents.text; the batch of queries is every
+# user turn of the conversations table, embedded with the corpus idf.
+
+NB = 65536
+_TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
+_BK = f"((('0x' || substr(md5(t), 1, 8))::BIGINT) % {NB})::INTEGER"
+_TF_SQL = f"""
+tok AS (SELECT doc_id, unnest({_TOK.format(c='text')}) AS t FROM documents),
+tf AS (SELECT doc_id, {_BK} AS bucket, count(*)::DOUBLE AS c FROM tok GROUP BY ALL)"""
+_IDF_SQL = """
+nd AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT bucket, ln((nd.n + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf, nd GROUP BY bucket, nd.n),
+tw AS (SELECT doc_id, bucket, c * idf AS w FROM tf JOIN idf USING (bucket)),
+dv AS (SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM tw)"""
+_QV_SQL = f"""
+qs AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'),
+qtok AS (SELECT qid, unnest({_TOK.format(c='text')}) AS t FROM qs),
+qtf AS (SELECT qid, {_BK} AS bucket, count(*)::DOUBLE AS c FROM qtok GROUP BY ALL),
+qw AS (SELECT qid, bucket, c * coalesce(idf.idf, ln(nd.n + 1.0) + 1) AS w
+       FROM qtf LEFT JOIN idf USING (bucket), nd),
+qv AS (SELECT qid, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM qw)"""
+
+
+def _doc_tfidf(spark, d):
+    from quarry.operators.embed import embed_tfidf
+    return embed_tfidf(load(spark, d, "documents"), "text", "doc_id", NB)
+
+
+def _query_vectors(spark, d, idf):
+    from quarry.operators.embed import embed_queries
+    from quarry.sources.tables import query_turns
+    return embed_queries(query_turns(load(spark, d, "conversations")), idf, "query", "qid", NB)
+
+
+@register("embed_tf", f"""WITH {_TF_SQL}
+SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM tf""")
+def _embed_tf(spark, d):
+    from quarry.operators.embed import embed_tf, explode_vectors
+    return explode_vectors(embed_tf(load(spark, d, "documents"), "text", "doc_id", NB), "doc_id", DIGITS)
+
+
+@register("embed_tfidf", f"""WITH {_TF_SQL}, {_IDF_SQL}
+SELECT doc_id, bucket, round(w, 6) AS weight FROM dv""")
+def _embed_tfidf(spark, d):
+    from quarry.operators.embed import explode_vectors
+    vecs, _ = _doc_tfidf(spark, d)
+    return explode_vectors(vecs, "doc_id", DIGITS)
+
+
+@register("embed_queries", f"""WITH {_TF_SQL}, {_IDF_SQL}, {_QV_SQL}
+SELECT qid, bucket, round(w, 6) AS weight FROM qv""")
+def _embed_queries(spark, d):
+    from quarry.operators.embed import explode_vectors
+    _, idf = _doc_tfidf(spark, d)
+    return explode_vectors(_query_vectors(spark, d, idf), "qid", DIGITS)
+
+
+@register("search_text", f"""WITH {_TF_SQL}, {_IDF_SQL}, {_QV_SQL},
+s AS (SELECT qid, doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= {K_HITS}""")
+def _search_text(spark, d):
+    from quarry.operators.search import search_vectors
+    docs, idf = _doc_tfidf(spark, d)
+    return search_vectors(_query_vectors(spark, d, idf), docs, k=K_HITS, digits=DIGITS)
+
+
+FLAGSHIP = "search_text"
