@@ -396,4 +396,140 @@ def _search_text(spark, d):
     return search_vectors(_query_vectors(spark, d, idf), docs, k=K_HITS, digits=DIGITS)
 
 
+
+
+# ------------------------------------------------------------------ lifecycle
+# Two snapshots of the doc* file tree, derived so both engines can build
+# them: the old one lacks every 10th document, the new one lacks another
+# 10th and has every 10th text edited.  Both cover the whole table.
+
+_SNAP = f"""{_FILES},
+old AS (SELECT *, md5(content) AS hash FROM files WHERE doc_id % 10 <> 0),
+new0 AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 2 THEN content || ' x' ELSE content END AS content)
+         FROM files WHERE doc_id % 10 <> 1),
+new AS (SELECT *, md5(content) AS hash FROM new0),
+d AS (SELECT coalesce(o.repo_name, n.repo_name) AS repo_name, coalesce(o.path, n.path) AS path,
+             o.hash AS old_hash, n.hash AS new_hash,
+             CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed'
+                  WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change
+      FROM old o FULL OUTER JOIN new n ON o.repo_name = n.repo_name AND o.path = n.path)"""
+UPDATED_REPO = "src2"
+REMOVED_REPOS = ("src0", "src1")
+REGISTRY_PROBE = "src3"
+
+
+def _snapshots(spark, d):
+    from quarry.functions.text import content_hash
+    f = _files(spark, d)
+    i = F.col("doc_id") % 10
+    old = f.where(i != 0).withColumn("hash", content_hash("content"))
+    new = (f.where(i != 1)
+           .withColumn("content", F.when(i == 2, F.concat("content", F.lit(" x"))).otherwise(F.col("content")))
+           .withColumn("hash", content_hash("content")))
+    return old, new
+
+
+@register("diff_snapshots", f"{_SNAP} SELECT repo_name, path, old_hash, new_hash, change FROM d")
+def _diff_snapshots(spark, d):
+    from quarry.operators.lifecycle import diff_snapshots
+    old, new = _snapshots(spark, d)
+    return diff_snapshots(old, new).select("repo_name", "path", "old_hash", "new_hash", "change")
+
+
+@register("update_repo", f"""{_SNAP}
+SELECT repo_name, path, hash FROM old WHERE repo_name <> '{UPDATED_REPO}'
+UNION ALL SELECT repo_name, path, hash FROM new WHERE repo_name = '{UPDATED_REPO}'""")
+def _update_repo(spark, d):
+    from quarry.operators.lifecycle import update_repo
+    old, new = _snapshots(spark, d)
+    cols = ["repo_name", "path", "hash"]
+    return update_repo(old.select(*cols), new.select(*cols), UPDATED_REPO)
+
+
+@register("remove_repos", f"""{_SNAP}
+SELECT repo_name, path, hash FROM old WHERE repo_name NOT IN ({', '.join(repr(r) for r in REMOVED_REPOS)})""")
+def _remove_repos(spark, d):
+    from quarry.operators.lifecycle import names_frame, remove_repos
+    old, _ = _snapshots(spark, d)
+    return remove_repos(old.select("repo_name", "path", "hash"), names_frame(spark, REMOVED_REPOS))
+
+
+@register("incremental_upsert", f"""{_SNAP},
+ntok AS (SELECT repo_name, path, unnest({_TOK.format(c='content')}) AS t FROM new),
+nt AS (SELECT repo_name, path, count(DISTINCT {_BK}) AS n_terms FROM ntok GROUP BY ALL)
+SELECT d.repo_name, d.path, d.new_hash AS hash, d.change, coalesce(nt.n_terms, 0) AS n_terms
+FROM d LEFT JOIN nt ON d.repo_name = nt.repo_name AND d.path = nt.path WHERE d.change <> 'removed'""")
+def _incremental_upsert(spark, d):
+    from quarry.operators.embed import embed_tf
+    from quarry.operators.lifecycle import incremental_upsert
+
+    def embed(files):
+        return embed_tf(files, "content", "doc_id", NB, keep=("repo_name", "path", "hash"))
+
+    old, new = _snapshots(spark, d)
+    idx = incremental_upsert(embed(old), new, embed)
+    return idx.select("repo_name", "path", "hash", "change", F.size("terms").cast("bigint").alias("n_terms"))
+
+
+@register("index_append", f"""{_ELIG}
+SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash FROM elig""")
+def _index_append(spark, d):
+    from quarry.functions.text import content_hash
+    from quarry.operators.lifecycle import doc_id
+    from quarry.operators.records import index_payload
+    rows = index_payload(_eligible(spark, d).withColumn("hash", content_hash("content")))
+    return rows.select(doc_id().alias("doc_id"), "repo_name", "path", "extension", "size", "hash")
+
+
+@register("join_vectors", """
+SELECT d.doc_id, d.source AS repo_name, e.label, len(e.embedding)::INTEGER AS dim
+FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""")
+def _join_vectors(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", F.col("source").alias("repo_name"))
+    vecs = _emb(spark, d).select(F.col("vec_id").alias("doc_id"), "label", F.size("embedding").alias("dim"))
+    return docs.join(vecs, "doc_id", "inner")
+
+
+_REG = f"""{_ELIG}, reg AS (SELECT repo_name AS name, 'local:' || repo_name AS source, false AS is_url,
+                           count(*) AS files_processed FROM elig GROUP BY repo_name)"""
+
+
+def _registry(spark, d):
+    from quarry.operators.lifecycle import registry_from_files
+    return registry_from_files(_eligible(spark, d))
+
+
+@register("known_repos", f"""{_REG}
+SELECT DISTINCT source AS repo_name FROM documents WHERE source IN (SELECT name FROM reg)""")
+def _known_repos(spark, d):
+    from quarry.operators.lifecycle import known_repos
+    names = load(spark, d, "documents").select(F.col("source").alias("repo_name")).distinct()
+    return known_repos(names, _registry(spark, d))
+
+
+@register("registry_list", f"{_REG} SELECT name, source, is_url, files_processed FROM reg ORDER BY name")
+def _registry_list(spark, d):
+    return _registry(spark, d).select("name", "source", "is_url", "files_processed").orderBy("name")
+
+
+@register("registry_get", f"{_REG} SELECT name, source, is_url, files_processed FROM reg WHERE name = '{REGISTRY_PROBE}'")
+def _registry_get(spark, d):
+    return _registry(spark, d).where(F.col("name") == REGISTRY_PROBE).select(
+        "name", "source", "is_url", "files_processed")
+
+
+@register("corpus_stats", f"""{_REG}
+SELECT (SELECT count(*) FROM reg) AS total_repositories, (SELECT sum(files_processed) FROM reg)::BIGINT AS total_files,
+       (SELECT count(DISTINCT extension) FROM elig WHERE repo_name IN (SELECT name FROM reg)) AS n_languages""")
+def _corpus_stats(spark, d):
+    from quarry.operators.aggregates import corpus_stats
+    return corpus_stats(_registry(spark, d), _eligible(spark, d))
+
+
+@register("export_stats")
+def _export_stats(spark, d):
+    from quarry.operators.lifecycle import export_stats
+    return export_stats(_corpus_stats(spark, d))
+
+
 FLAGSHIP = "search_text"
