@@ -532,4 +532,68 @@ def _export_stats(spark, d):
     return export_stats(_corpus_stats(spark, d))
 
 
+
+
+# ------------------------------------------------------------------ file trees
+# The doc* files written out as a real directory tree (by the executors,
+# into the shared checkpoint folder, once per scale factor), then scanned.
+
+def _tree(spark, d) -> str:
+    import hashlib
+    import os
+
+    from quarry.session import checkpoint_dir
+    from quarry.sources.filetree import materialize_tree
+    root = f"{checkpoint_dir(spark).rstrip('/')}/tree-{hashlib.md5(d.encode()).hexdigest()[:10]}"
+    marker = os.path.join(root, "_READY")
+    if not os.path.exists(marker):
+        materialize_tree(_files(spark, d), f"{root}/data")
+        open(marker, "w").close()
+    return f"{root}/data"
+
+
+_TREE_ELIG = f"""{_FILES}, elig AS (SELECT * FROM files WHERE strlen(content) <= {SIZE_CAP} AND {_EXT_SQL}
+                                  AND NOT {_IGN_SQL} AND length(content) > 0)"""
+
+
+@register("scan_files", f"""{_TREE_ELIG}
+SELECT 'data' AS repo_name, path, extension, strlen(content)::BIGINT AS size, md5(content) AS hash FROM elig""")
+def _scan_files(spark, d):
+    from quarry.sources.filetree import scan_files
+    rec = scan_files(spark, _tree(spark, d), limit_bytes=SIZE_CAP)
+    return rec.select("repo_name", "path", "extension", "size", "hash")
+
+
+@register("scan_files_multi", f"""{_TREE_ELIG}
+SELECT repo_name, substr(path, length(repo_name) + 2) AS path, extension, strlen(content)::BIGINT AS size,
+       md5(content) AS hash FROM elig""")
+def _scan_files_multi(spark, d):
+    import os
+
+    from quarry.sources.filetree import scan_files
+    root = _tree(spark, d)
+    names = sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n)))
+    rec = scan_files(spark, [(os.path.join(root, n), n) for n in names], limit_bytes=SIZE_CAP)
+    return rec.select("repo_name", "path", "extension", "size", "hash")
+
+
+@register("decode_text", f"""{_TREE_ELIG}
+SELECT path, length(content)::BIGINT AS n_chars FROM elig""")
+def _decode_text(spark, d):
+    from quarry.sources.filetree import scan_files
+    rec = scan_files(spark, _tree(spark, d), limit_bytes=SIZE_CAP)
+    return rec.select("path", F.length("content").cast("bigint").alias("n_chars"))
+
+
+@register("read_snapshot", f"""{_ELIG}
+SELECT repo_name, path, extension, size, md5(content) AS hash FROM elig""")
+def _read_snapshot(spark, d):
+    from quarry.functions.text import content_hash
+    from quarry.session import scratch_path
+    from quarry.sources.snapshot import read_snapshot, write_snapshot
+    path = scratch_path(spark, "snapshot")
+    write_snapshot(_eligible(spark, d).withColumn("hash", content_hash("content")), path)
+    return read_snapshot(spark, path).select("repo_name", "path", "extension", "size", "hash")
+
+
 FLAGSHIP = "search_text"
