@@ -596,4 +596,53 @@ def _read_snapshot(spark, d):
     return read_snapshot(spark, path).select("repo_name", "path", "extension", "size", "hash")
 
 
+
+
+# ------------------------------------------------------------------ streaming
+# Each runs a real Structured Streaming query (availableNow) over the table
+# files, checkpointed under the shared folder, and returns what it wrote.
+
+def _stream_of(spark, d, name):
+    schema = load(spark, d, name).schema
+    # the stream source lists a folder; the glob filter picks the table
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(d.rstrip("/")))
+
+
+@register("stream_ingest", f"""WITH {_TF_SQL}
+SELECT doc_id, count(*) AS n_terms FROM tf GROUP BY doc_id""")
+def _stream_ingest(spark, d):
+    from quarry.session import scratch_path
+    from quarry.streaming.ingest import run_available_now, stream_ingest
+    sink, ckpt = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
+    run_available_now(stream_ingest(_stream_of(spark, d, "documents"), sink, ckpt, num_buckets=NB))
+    return spark.read.parquet(sink).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"))
+
+
+@register("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")
+def _stream_dedupe(spark, d):
+    from quarry.session import scratch_path
+    from quarry.streaming.ingest import dedupe_arrivals, run_available_now
+    sink, ckpt = scratch_path(spark, "dedupe-sink"), scratch_path(spark, "dedupe-ckpt")
+    stream = dedupe_arrivals(_stream_of(spark, d, "events"), ["user_id", "event_type", "props"])
+    run_available_now(stream.writeStream.format("parquet").option("path", sink)
+                      .option("checkpointLocation", ckpt).outputMode("append"))
+    return spark.read.parquet(sink).select("user_id", "event_type", "props")
+
+
+@register("stream_search", ORACLE_SQL["search_text"])
+def _stream_search(spark, d):
+    from quarry.session import scratch_path
+    from quarry.sources.tables import query_turns
+    from quarry.streaming.ingest import run_available_now, stream_search
+    docs, idf = _doc_tfidf(spark, d)
+    index_path = scratch_path(spark, "text-index")
+    docs.write.parquet(index_path)           # static index, built once
+    index = spark.read.parquet(index_path)
+    sink, ckpt = scratch_path(spark, "search-sink"), scratch_path(spark, "search-ckpt")
+    queries = query_turns(_stream_of(spark, d, "conversations"))
+    run_available_now(stream_search(queries, index, idf, sink, ckpt, k=K_HITS, num_buckets=NB, digits=DIGITS))
+    return spark.read.parquet(sink).select("qid", "doc_id", "score", "rank")
+
+
 FLAGSHIP = "search_text"
