@@ -15,11 +15,12 @@ lexical stand-in for a neural embedder, not a reproduction of one; see
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions.text import TOKEN_REGEX
+from quarry.operators.util import spread
 
 
 def _buckets(text: Column, num_buckets: int) -> Column:
@@ -65,7 +66,7 @@ def term_frequencies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
                      num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=()) -> DataFrame:
     """Raw counts per bucket: (id, terms, weights=count), unnormalised."""
     buckets = F.array_sort(_buckets(F.col(text_col), num_buckets))
-    staged = docs.select(id_col, *keep, buckets.alias("__b"))
+    staged = spread(docs.select(id_col, *keep, text_col)).select(id_col, *keep, buckets.alias("__b"))
     return _run_lengths(staged, "__b", [id_col, *keep])
 
 
@@ -109,9 +110,21 @@ def apply_idf(tf: DataFrame, idf: Column) -> DataFrame:
 
 
 def embed_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=()):
-    """(vectors, idf column) for a corpus; reuse the idf for queries."""
+                num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=(), materialize: bool = True):
+    """(vectors, idf column) for a corpus; reuse the idf for queries.
+
+    Term counts feed two passes (document frequency, then weighting), so
+    by default they are written once as a reliable checkpoint in the
+    shared checkpoint folder: the tokeniser - the CPU hot spot - runs once,
+    and the lineage is cut, so a lost executor re-reads instead of
+    re-tokenising.  ``materialize=False`` recomputes instead (no action).
+    """
     tf = term_frequencies(docs, text_col, id_col, num_buckets, keep)
+    if materialize:
+        from quarry.session import checkpoint_dir
+
+        checkpoint_dir(tf.sparkSession)
+        tf = tf.checkpoint(eager=True)
     idf = idf_vector(tf, num_buckets)
     return apply_idf(tf, idf), idf
 
@@ -138,6 +151,10 @@ def udf_embedder(fn, width: int | None = None):
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
+    from quarry.session import ship_package
+
+    ship_package(SparkSession.getActiveSession())
+
     @pandas_udf("array<double>")
     def embed(batches):
         for s in batches:

@@ -197,6 +197,9 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, *,
     "sparse": q_cols=(terms, weights), c_cols=(terms, weights).
     """
     spark = queries.sparkSession
+    from quarry.session import ship_package
+
+    ship_package(spark)
     if kind == "dense":
         q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_cols[0]).alias("qvec"))
         size = F.size("qvec") * 8 + 16

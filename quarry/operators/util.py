@@ -1,0 +1,18 @@
+"""Small planning helpers shared by operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition *only* when the input has fewer partitions
+    than the cluster has cores, before CPU-heavy per-row work.  A large
+    input already arrives in many splits and is left untouched (no
+    shuffle); a small single-file input (one Parquet row group = one
+    task) is spread so every core works.  Planning only, no job."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

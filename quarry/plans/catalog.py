@@ -645,4 +645,17 @@ def _stream_search(spark, d):
     return spark.read.parquet(sink).select("qid", "doc_id", "score", "rank")
 
 
+
+
+# ------------------------------------------------------------------ approximate
+# Random-projection LSH candidates, exactly re-ranked.  Approximate by
+# design, so no SQL twin: checked for recall against knn_cosine in tests.
+
+@register("knn_lsh")
+def _knn_lsh(spark, d):
+    emb = _emb(spark, d)
+    probe = _probe(emb).select("embedding").first()[0]      # one vector
+    return K.knn_lsh(emb, probe, k=K_HITS, id_col="vec_id").select("vec_id", "score")
+
+
 FLAGSHIP = "search_text"

@@ -122,10 +122,11 @@ def list_files(roots: DataFrame, ignore: Iterable[str] = config.IGNORE_DIRS, exp
                parallelism: int | None = None) -> DataFrame:
     """All regular files below each root: repo_name, root, path (relative),
     full_path, size, modified; plus kind='e' rows for listing errors."""
-    from quarry.session import checkpoint_dir
+    from quarry.session import checkpoint_dir, ship_package
 
     spark = roots.sparkSession
     checkpoint_dir(spark)       # levels are cut with reliable checkpoints
+    ship_package(spark)
     ign = frozenset(ignore)
     n = parallelism or spark.sparkContext.defaultParallelism
     frontier = roots.select("repo_name", "root", F.lit("").alias("rel"))
@@ -169,7 +170,10 @@ def scan_listing(listing: DataFrame, allowed=config.SUPPORTED_EXTENSIONS, ignore
                  limit_bytes: int | None = None, parallelism: int | None = None,
                  batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Eligible files of a listing, read and turned into file records."""
+    from quarry.session import ship_package
+
     spark = listing.sparkSession
+    ship_package(spark)
     n = parallelism or spark.sparkContext.defaultParallelism
     files = listing.where(F.col("kind") == "f").withColumn("extension", path_extension("path"))
     files = eligible_files(files, allowed, ignore, max_bytes() if limit_bytes is None else limit_bytes)
@@ -211,4 +215,7 @@ def materialize_tree(files: DataFrame, root: str, path_col: str = "path", conten
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
+    from quarry.session import ship_package
+
+    ship_package(files.sparkSession)
     return files.select(path_col, content_col).mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
