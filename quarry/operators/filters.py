@@ -51,4 +51,4 @@ def eligible_files(files: DataFrame, allowed: Iterable[str] = config.SUPPORTED_E
 
 def filter_repo(df: DataFrame, repo: str | None, repo_col: str = "repo_name") -> DataFrame:
     """Repository equality filter; None or "" means no filter."""
-    return df.where(F.col(repo_col) == F.lit(repo)) if repo else df
+    return df if repo is None or repo == "" else df.where(F.col(repo_col) == F.lit(repo))

@@ -65,7 +65,7 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column | str] = ("score",), id_
 
 
 def knn(corpus: DataFrame, query, k: int = config.SEARCH_LIMIT, metric: str = "cosine",
-        repo: str | None = None, repo_col: str = "repo_name", id_col: str = "doc_id",
+        repo=None, repo_col: str = "repo_name", id_col: str = "doc_id",
         vec_col: str = "embedding", query_vec_col: str = "embedding", prefilter: bool = True,
         min_score: float | None = None, squared: bool = True, digits: int | None = None) -> DataFrame:
     """Top-k most similar corpus rows for one query vector.
@@ -77,14 +77,15 @@ def knn(corpus: DataFrame, query, k: int = config.SEARCH_LIMIT, metric: str = "c
     it the filter applies to the global top-k and may return fewer.  An
     empty string means no filter.  ``min_score`` drops weaker hits.
     """
+    use_repo = repo is not None and repo != ""     # "" means no filter; 0 is a real name
     base = corpus
-    if repo and prefilter:
+    if use_repo and prefilter:
         base = base.where(F.col(repo_col) == F.lit(repo))
     scored = score(base, query, metric, vec_col, query_vec_col, squared, digits)
     if min_score is not None:
         scored = scored.where(F.col("score") >= F.lit(min_score))
     hits = top_k(scored, k, id_col=id_col)
-    if repo and not prefilter:
+    if use_repo and not prefilter:
         hits = hits.where(F.col(repo_col) == F.lit(repo))
     return hits
 
