@@ -96,7 +96,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], k: int | None, id_col:
     ranks without cutting.  ``rank <= k`` lets Spark insert a partial
     WindowGroupLimit before the shuffle (skew-safe)."""
     w = Window.partitionBy(*group_cols).orderBy(F.desc_nulls_last(score_col), F.asc(id_col))
-    ranked = df.withColumn(rank_col, F.row_number().over(w))
+    ranked = df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
     return ranked if k is None else ranked.where(F.col(rank_col) <= k)
 
 
@@ -110,7 +110,7 @@ def knn_per_group(corpus: DataFrame, query, k: int, group_col: str = "repo_name"
 
 def vector_dims(index: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Histogram of vector widths: one row per width (expect exactly one)."""
-    return index.groupBy(F.size(vec_col).alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    return index.groupBy(F.size(vec_col).cast("bigint").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def check_width(index: DataFrame, width: int, vec_col: str = "embedding") -> None:

@@ -31,9 +31,9 @@ def group_hits_by_repo(hits: DataFrame, limit: int = config.GROUPED_SEARCH_LIMIT
     g = (hits.withColumn("relevance_score", rel)
          .withColumn("files_in_repo", F.count(F.lit(1)).over(repo_w))
          .withColumn("file_rank", F.row_number().over(
-             repo_w.orderBy(F.desc_nulls_last("score"), F.asc(id_col)))))
+             repo_w.orderBy(F.desc_nulls_last("score"), F.asc(id_col))).cast("bigint")))
     repo_rank = F.dense_rank().over(
-        Window.partitionBy(*by).orderBy(F.desc_nulls_last("relevance_score"), F.asc(repo_col)))
+        Window.partitionBy(*by).orderBy(F.desc_nulls_last("relevance_score"), F.asc(repo_col))).cast("bigint")
     return g.withColumn("repo_rank", repo_rank).where(F.col("repo_rank") <= limit)
 
 
