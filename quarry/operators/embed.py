@@ -15,6 +15,9 @@ lexical stand-in for a neural embedder, not a reproduction of one; see
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +151,6 @@ def udf_embedder(fn, width: int | None = None):
     """Wrap ``fn(pandas.Series[str]) -> sequence of vectors`` as an iterator
     pandas UDF returning ARRAY<DOUBLE>; the model is built once per task by
     calling ``fn`` lazily.  ``width``, if given, is checked per batch."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     from quarry.session import ship_package
@@ -156,7 +158,7 @@ def udf_embedder(fn, width: int | None = None):
     ship_package(SparkSession.getActiveSession())
 
     @pandas_udf("array<double>")
-    def embed(batches):
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             vecs = list(fn(s))
             if width is not None:

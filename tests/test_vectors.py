@@ -88,3 +88,18 @@ def test_index_stats(small):
     row = K.index_stats(small).first()
     assert (row.total_documents, row.vector_size, row.distance_metric) == (6, 3, "cosine")
     assert F is not None
+
+
+def test_udf_embedder_width_checked(spark):
+    from quarry.operators.embed import udf_embedder
+
+    def toy(texts):
+        return [[float(len(t)), float(t.count("a")), 1.0] for t in texts]
+
+    docs = spark.createDataFrame([(1, "banana"), (2, "apple"), (3, "kiwi")], "doc_id long, text string")
+    emb = docs.withColumn("embedding", udf_embedder(toy, width=3)("text"))
+    hits = K.knn(emb, [6.0, 3.0, 1.0], k=1).collect()
+    assert hits[0].doc_id == 1 and hits[0].score == pytest.approx(1.0)
+    bad = docs.withColumn("embedding", udf_embedder(toy, width=4)("text"))
+    with pytest.raises(Exception):
+        bad.collect()
