@@ -35,14 +35,19 @@ def local_session(cpus: int | str = 8, app: str = "quarry", **conf: str) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a private temp folder
-    only when the session leaves it unset (local runs and tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared checkpoint folder: ``spark.checkpoint.dir`` if the session
+    names one, else the folder already set on the context.  Only a local
+    session without either gets a private temp folder; on a cluster a
+    machine-local folder would lose data with its machine, so that is an
+    error."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

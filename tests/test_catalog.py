@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans.catalog import ORACLE_SQL
 from quarry.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +34,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, con, name):
     df = E.queries()[name](spark, SF)
     cur = con.execute(E.oracle_sql()[name])
