@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, rules
+from quarry.llm import chat, fingerprints, line_dedup, mixing, quality, rules, simhash, token_counts
 from quarry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,73 @@ def query(name: str, sql: str | None = None):
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file (installed on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_cws_fingerprints")
+def op1_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op4_mixing", sql=f"""
+with d as (select doc_id, source, len({_WORDS})::bigint as size, md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')) as key from documents),
+s as (select source, sum(size)::double as ss, row_number() over (order by source nulls last) - 1 as k from d group by source),
+t as (select *, {list(mixing.WEIGHTS)}[k % {len(mixing.WEIGHTS)} + 1] as w, {mixing.MAX_EPOCHS} * ss as cap,
+             {mixing.SHARE} * (select sum(size)::double from d) as budget from s),
+o as (select *, cap / w as r, coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0) as below,
+             sum(w) over (order by cap / w, k rows between current row and unbounded following) as free from t),
+l as (select min((budget - below) / free) as level from o where (budget - below) / free * w <= cap),
+g as (select source, ss, case when level is null then cap else least(cap, level * w) end as target from t, l),
+p as (select *, case when ss > 0 then floor(target / ss) else 0 end as whole from g),
+c as (select d.*, p.ss, p.target, p.whole, p.target - p.whole * p.ss as rest,
+             sum(size) over (partition by d.source order by key range between unbounded preceding and current row) as upto,
+             sum(size) over (partition by d.source, key) as own
+      from d join p on d.source is not distinct from p.source)
+select doc_id, size, ss::bigint as source_size, target,
+       (size * (whole + case when rest > 0 and upto - own / 2.0 <= rest then 1 else 0 end))::bigint as taken
+from c
+""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
+
+
+@query("op5_chat", sql=rf"""
+with t as (select distinct conv_id, turn, coalesce(role, '{chat.UNKNOWN}') as speaker, coalesce(text, '') as text from conversations),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker, text) - 1 as rank from t),
+s as (select distinct conv_id, speaker as perspective from t where speaker <> '{chat.SYSTEM}'),
+r as (select p.conv_id, s.perspective, rank // {chat.CHUNK} as chunk, rank, speaker = perspective as mine,
+        '{chat.START}' || case when speaker = '{chat.SYSTEM}' then 'system' when speaker = perspective then 'assistant'
+            else 'user name=' || regexp_replace(speaker, '<\|(im_start|im_end)\|>', '<|  |>', 'g') end || chr(10) as head,
+        regexp_replace(text, '<\|(im_start|im_end)\|>', '<|  |>', 'g') || '{chat.END}' as body
+      from p join s on p.conv_id is not distinct from s.conv_id),
+o as (select *, sum(length(head) + length(body) + 1) over (partition by conv_id, perspective, chunk order by rank) - length(body) - 1 as a from r)
+select conv_id, perspective, chunk, count(*) as n_turns, string_agg(head || body || chr(10), '' order by rank) as text,
+       string_agg(case when mine then a || '-' || (a + length(body)) end, ' ' order by rank) as mask
+from o group by 1, 2, 3
+""")
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.render_perspectives(load(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.array_join(m, "-"))
+    return out.withColumn("mask", F.when(F.size(spans) > 0, F.array_join(spans, " ")))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query("op8_line_dedup", sql=f"""
 with d as (select row_number() over () as rid, doc_id, source, string_split(text, chr(10)) as ls from documents),
 l as (select rid, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
@@ -79,3 +146,8 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "fail_bits", (~rules.passes("base")).alias("base_failed"), rules.passes(rules.PRODUCTION).alias("kept"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"), tokenizer_path(token_counts.VOCABULARY))
