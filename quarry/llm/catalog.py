@@ -54,7 +54,7 @@ t as (select *, {list(mixing.WEIGHTS)}[k % {len(mixing.WEIGHTS)} + 1] as w, {mix
              {mixing.SHARE} * (select sum(size)::double from d) as budget from s),
 o as (select *, cap / w as r, coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0) as below,
              sum(w) over (order by cap / w, k rows between current row and unbounded following) as free from t),
-l as (select min((budget - below) / free) as level from o where (budget - below) / free * w <= cap),
+l as (select arg_min((budget - below) / free, row(r, k)) as level from o where (budget - below) / free * w <= cap),
 g as (select source, ss, case when level is null then cap else least(cap, level * w) end as target from t, l),
 p as (select *, case when ss > 0 then floor(target / ss) else 0 end as whole from g),
 c as (select d.*, p.ss, p.target, p.whole, p.target - p.whole * p.ss as rest,
