@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprints, line_dedup, mixing, quality, rules, simhash, token_counts
+from quarry.llm import chat, fingerprints, line_dedup, mixing, packing, quality, rules, simhash, token_counts, token_file
 from quarry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op1_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
 
+@query("op2_token_file")
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -90,6 +95,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", F.when(F.size(spans) > 0, F.array_join(spans, " ")))
 
 
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
