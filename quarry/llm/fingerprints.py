@@ -45,31 +45,38 @@ SAMPLES = 64
 SEED = 7
 TABLE_ROWS = 1 << 16
 BLOCK = 4096                       # distinct words gathered at once
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _uniform(h: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser -> (0, 1)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+def _uniform(h: np.ndarray, samples: int) -> np.ndarray:
+    """(words, 5, samples) uniforms in (0, 1) from the words' 64-bit hashes:
+    both halves of a hash and the lane number through a 32-bit finaliser."""
+    lane = np.arange(1, 5 * samples + 1, dtype=np.uint32) * np.uint32(0x9E3779B9)
+    x = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] ^ lane
+    x *= np.uint32(0x85EBCA6B)
+    x ^= (h >> np.uint64(32)).astype(np.uint32)[:, None]
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    u = (x >> np.uint32(8)).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0 ** -24)
+    return u.reshape(len(h), 5, samples)
 
 
 def draws(words: list[str], weights: np.ndarray, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For each (word, weight) and sample: the log of its draw, and the
     16-bit hash of the (word, level) it stands for (never 0)."""
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
-    lane = np.arange(1, 5 * samples + 1, dtype=np.uint64) * _GOLDEN
-    u = _uniform(h[:, None] + lane).reshape(len(words), 5, samples)
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+    u = _uniform(h, samples)
     r = -np.log(u[:, 0] * u[:, 1])                       # Gamma(2, 1)
     c = -np.log(u[:, 2] * u[:, 3])                       # Gamma(2, 1)
     beta = u[:, 4]
     level = np.floor(np.log(weights)[:, None] / r + beta)
-    log_draw = np.log(c) - r * (level - beta + 1)
-    mark = (h[:, None] ^ (level.astype(np.int64).view(np.uint64) * _GOLDEN)) * np.uint64(0xD6E8FEB86659FD93)
-    mark = (mark >> np.uint64(48)).astype(np.uint16)
-    return log_draw.astype(np.float32), np.maximum(mark, np.uint16(1))
+    log_draw = np.log(np.maximum(c, np.float32(1e-7))) - r * (level - beta + np.float32(1))
+    mark = (h >> np.uint64(20)).astype(np.uint32)[:, None] ^ (level.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B9))
+    mark = (mark * np.uint32(0xD6E8FEB9) >> np.uint32(16)).astype(np.uint16)
+    return log_draw, np.maximum(mark, np.uint16(1))
 
 
 class Sampler:
@@ -82,31 +89,34 @@ class Sampler:
         self.mark = np.empty((rows, samples), np.uint16)
 
     def _places(self, terms: list[tuple[str, int]]) -> np.ndarray:
-        new = [t for t in terms if t not in self.at]
-        if new:
-            if len(self.at) + len(new) > self.rows:
-                self.at.clear()
-                new = terms
-            first = len(self.at)
-            self.at.update((t, first + i) for i, t in enumerate(new))
-            weights = np.array([n for _, n in new], np.float64)
-            for i in range(0, len(new), 1024):
-                part = slice(first + i, first + min(i + 1024, len(new)))
-                self.draw[part], self.mark[part] = draws([w for w, _ in new[i:i + 1024]], weights[i:i + 1024], self.samples, self.seed)
-        return np.fromiter(map(self.at.__getitem__, terms), np.int64, len(terms))
+        """Rows of the table that hold the terms' draws."""
+        got = list(map(self.at.get, terms))
+        new = [t for t, p in zip(terms, got, strict=True) if p is None]
+        if not new:
+            return np.array(got)
+        if len(self.at) + len(new) > self.rows:
+            self.at.clear()
+            new = terms
+        first = len(self.at)
+        self.at.update(zip(new, range(first, first + len(new)), strict=True))
+        weights = np.array([n for _, n in new], np.float32)
+        for i in range(0, len(new), 256):
+            part = slice(first + i, first + min(i + 256, len(new)))
+            self.draw[part], self.mark[part] = draws([w for w, _ in new[i:i + 256]], weights[i:i + 256], self.samples, self.seed)
+        return np.array(list(map(self.at.__getitem__, terms)))
 
     def signature(self, text: str | None) -> np.ndarray:
         terms = list(Counter(find_words((text or "").lower())).items())
+        lanes = np.arange(self.samples)
         best = np.full(self.samples, np.inf, np.float32)
         out = np.zeros(self.samples, np.uint16)
         for i in range(0, len(terms), BLOCK):
             places = self._places(terms[i:i + BLOCK])
-            draw = self.draw[places]
-            low = draw.min(axis=0)
-            row, col = np.nonzero(draw == low)
-            wins = low[col] < best[col]
-            row, col = row[wins][::-1], col[wins][::-1]         # of equal draws the first word stands
-            out[col] = self.mark[places[row], col]
+            draw = self.draw.take(places, axis=0)
+            first = draw.argmin(axis=0)
+            low = draw[first, lanes]
+            wins = low < best
+            out[wins] = self.mark[places[first], lanes][wins]
             best = np.minimum(best, low)
         return out
 
