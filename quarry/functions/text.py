@@ -40,15 +40,20 @@ def path_extension(path: ColumnOrName) -> Column:
     return F.regexp_extract(_c(path), SUFFIX_REGEX, 1)
 
 
-def path_has_ignored_dir(path: ColumnOrName, ignore: Iterable[str] = config.IGNORE_DIRS) -> Column:
+def path_has_ignored_dir(path: ColumnOrName, ignore: Iterable[str] = config.IGNORE_DIRS,
+                         root: ColumnOrName | None = None) -> Column:
     """True when any "/"-separated component of ``path`` is in ``ignore``.
 
     Every component counts, the file name too, as in a test over
     ``Path.parts``.  Pass the path relative to the scanned root so a root
-    that itself sits below e.g. ``build/`` still yields files.
+    that itself sits below e.g. ``build/`` still yields files; give ``root``
+    to test the root's own components as well.
     """
+    parts = F.split(_c(path), "/")
+    if root is not None:
+        parts = F.concat(F.split(_c(root), "/"), parts)
     return F.coalesce(
-        F.arrays_overlap(F.split(_c(path), "/"), F.array(*[F.lit(d) for d in sorted(ignore)])),
+        F.arrays_overlap(parts, F.array(*[F.lit(d) for d in sorted(ignore)])),
         F.lit(False),
     )
 
@@ -82,7 +87,7 @@ def preview(content: ColumnOrName, n: int = config.PREVIEW_CHARS) -> Column:
     return F.concat(F.substring(flat, 1, n), F.lit("..."))
 
 
-def repo_name_from_url(url: ColumnOrName, strict_compat: bool = True) -> Column:
+def repo_name_from_url(url: ColumnOrName, strict_compat: bool = False) -> Column:
     """Repository name from a clone URL or path: the last "/" segment with
     ".git" removed.  ``strict_compat`` removes every ".git" occurrence
     (so "my.github.io" -> "myhub.io") as the original tool did; otherwise

@@ -25,26 +25,25 @@ def languages_map(hist: DataFrame, key: str = "extension", repo_col: str = "repo
 def repo_metadata(files: DataFrame, key: str = "extension", repo_col: str = "repo_name",
                   root_col: str | None = None, origin_col: str | None = None) -> DataFrame:
     """One row per repository: file_count, total_bytes, size_mb (3 places),
-    url (origin, else ``local:<root>``) and the language map."""
-    first = []
+    url (origin, else ``local:<root>``), last_updated (time of this run) and
+    the language map.  One aggregation by (repository, extension), rolled
+    up to repositories."""
+    extra = []
     if root_col:
-        first.append(F.first(root_col).alias("path"))
+        extra.append(F.min(root_col).alias("__path"))
     if origin_col:
-        first.append(F.first(origin_col, ignorenulls=True).alias("origin"))
-    base = files.groupBy(repo_col).agg(
-        F.count(F.lit(1)).alias("file_count"),
-        F.sum("size").cast("bigint").alias("total_bytes"),
-        *first,
-    )
-    langs = languages_map(language_histogram(files, key, repo_col), key, repo_col)
-    path = F.col("path") if root_col else F.col(repo_col)
-    url = F.coalesce(F.col("origin"), F.concat(F.lit("local:"), path)) if origin_col \
-        else F.concat(F.lit("local:"), path)
-    return base.join(langs, repo_col).select(
-        F.col(repo_col).alias("name"), path.alias("path"), url.alias("url"),
-        "file_count", "total_bytes",
-        F.round(F.col("total_bytes") / F.lit(float(config.MIB)), 3).alias("size_mb"),
-        "languages",
+        extra.append(F.min(origin_col).alias("__origin"))
+    cells = files.groupBy(repo_col, key).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").cast("bigint").alias("__bytes"), *extra)
+    up = [F.min(c).alias(c) for c, given in (("__path", root_col), ("__origin", origin_col)) if given]
+    repos = cells.groupBy(repo_col).agg(
+        F.sum("n_files").alias("file_count"), F.sum("__bytes").cast("bigint").alias("total_bytes"), *up,
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n_files"))))).alias("languages"))
+    path = F.col("__path") if root_col else F.col(repo_col)
+    local = F.concat(F.lit("local:"), path)
+    return repos.select(
+        F.col(repo_col).alias("name"), path.alias("path"), (F.coalesce("__origin", local) if origin_col else local).alias("url"),
+        F.current_timestamp().alias("last_updated"), "file_count", "total_bytes",
+        F.round(F.col("total_bytes") / F.lit(float(config.MIB)), 3).alias("size_mb"), "languages",
     )
 
 
@@ -60,18 +59,25 @@ def repo_names(files: DataFrame, repo_col: str = "repo_name") -> DataFrame:
     return files.select(repo_col).distinct()
 
 
-def corpus_stats(registry: DataFrame, files: DataFrame, key: str = "extension") -> DataFrame:
+def corpus_stats(registry: DataFrame, files: DataFrame, vectors: DataFrame | None = None, key: str = "extension",
+                 vec_col: str = "embedding") -> DataFrame:
     """One row: total_repositories and total_files from the registry,
-    n_languages over the files of registered repositories (a repository
-    whose files are missing still counts in the totals).  Both inputs meet
-    in one global aggregation over their union, no join of the totals."""
-    reg = registry.select(F.lit(1).alias("r"), F.col("files_processed").cast("bigint").alias("f"),
-                          F.lit(None).cast("string").alias("k"))
-    names = registry.select(F.col("name").alias("repo_name"))
-    langs = files.join(names, "repo_name", "left_semi").select(
-        F.lit(0).alias("r"), F.lit(0).cast("bigint").alias("f"), F.col(key).cast("string").alias("k"))
-    return reg.unionByName(langs).agg(
-        F.sum("r").cast("bigint").alias("total_repositories"),
-        F.sum("f").cast("bigint").alias("total_files"),
-        F.count_distinct("k").alias("n_languages"),
-    )
+    languages (extension -> files, over registered repositories; one whose
+    files are missing still counts in the totals), vector_db statistics and
+    the repository names.
+
+    Files are reduced to one row per (repository, extension) before they
+    meet the registry, so nothing per file is joined."""
+    cells = files.groupBy("repo_name", key).agg(F.count(F.lit(1)).alias("n"))
+    known = cells.join(registry.select(F.col("name").alias("repo_name")), "repo_name", "left_semi")
+    langs = (known.groupBy(key).agg(F.sum("n").alias("n"))
+             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("languages"), F.count(F.lit(1)).alias("n_languages")))
+    reg = registry.agg(F.count(F.lit(1)).alias("total_repositories"), F.coalesce(F.sum("files_processed"), F.lit(0)).cast("bigint").alias("total_files"),
+                       F.sort_array(F.collect_list("name")).alias("repositories"))
+    db = F.struct(F.lit("spark-parquet").alias("db_type"), F.lit(0).cast("bigint").alias("total_documents"), F.lit(0).cast("bigint").alias("vector_size"))
+    if vectors is not None:
+        one = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vec_col)), F.lit(0)).cast("bigint").alias("w"))
+        db = F.struct(F.lit("spark-parquet").alias("db_type"), one.select("n").scalar().alias("total_documents"), one.select("w").scalar().alias("vector_size"))
+    return reg.select(
+        "total_repositories", "total_files", langs.select("n_languages").scalar().alias("n_languages"),
+        langs.select("languages").scalar().alias("languages"), db.alias("vector_db"), "repositories")

@@ -17,23 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.functions.text import TOKEN_REGEX
-from quarry.operators.util import spread
-
-
-def _buckets(text: Column, num_buckets: int) -> Column:
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_REGEX), 0)
-    return F.transform(
-        toks,
-        lambda t: F.pmod(
-            F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"),
-            F.lit(num_buckets)).cast("int"),
-    )
+from quarry.functions.text import term_bucket, tokens
 
 
 def _run_lengths(df: DataFrame, arr: str, keep) -> DataFrame:
@@ -66,17 +56,22 @@ def _l2_normalise(df: DataFrame, w: str = "weights") -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                     num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=()) -> DataFrame:
-    """Raw counts per bucket: (id, terms, weights=count), unnormalised."""
-    buckets = F.array_sort(_buckets(F.col(text_col), num_buckets))
-    staged = spread(docs.select(id_col, *keep, text_col)).select(id_col, *keep, buckets.alias("__b"))
-    return _run_lengths(staged, "__b", [id_col, *keep])
+                     num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=(), partitions: int | None = None) -> DataFrame:
+    """Raw counts per bucket: (id, terms, weights=count), unnormalised.
+
+    ``partitions``: deal the rows to that many tasks first; for inputs that
+    arrive in one split (a Parquet file of one row group)."""
+    docs = docs.select(id_col, *keep, text_col)
+    if partitions:
+        docs = docs.repartition(partitions)
+    buckets = F.array_sort(F.transform(tokens(text_col), lambda t: term_bucket(t, num_buckets)))
+    return _run_lengths(docs.select(id_col, *keep, buckets.alias("__b")), "__b", [id_col, *keep])
 
 
 def embed_tf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-             num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=()) -> DataFrame:
+             num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=(), partitions: int | None = None) -> DataFrame:
     """L2-normalised term-frequency vectors (per-document: incremental-safe)."""
-    return _l2_normalise(term_frequencies(docs, text_col, id_col, num_buckets, keep))
+    return _l2_normalise(term_frequencies(docs, text_col, id_col, num_buckets, keep, partitions))
 
 
 def idf_table(tf: DataFrame) -> DataFrame:
@@ -92,16 +87,23 @@ def idf_table(tf: DataFrame) -> DataFrame:
 
 
 def idf_vector(tf: DataFrame, num_buckets: int = config.DEFAULT_NUM_BUCKETS) -> Column:
-    """Dense idf array indexed by bucket (0-based ``get``) as a scalar
-    subquery; buckets no document uses get ln(N+1) + 1.  Its size is
-    ``num_buckets`` doubles, fixed by parameter, not by data: all buckets
-    (a range) left-joined to the idf table, ordered, collected once."""
+    """Dense idf array indexed by bucket (0-based ``get``); buckets no
+    document uses get ln(N+1) + 1.  Document frequencies are computed once,
+    here, and written to the shared folder; the returned scalar subquery
+    reads that one row (``num_buckets`` doubles, fixed by the parameter)
+    wherever it is used."""
+    from quarry.session import scratch_path
+
+    spark = tf.sparkSession
     n_docs = tf.select(F.count(F.lit(1))).scalar()
-    every = tf.sparkSession.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
+    every = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(idf_table(tf).select("bucket", "idf"), "bucket", "left").select(
         "bucket", F.coalesce(F.col("idf"), F.log(n_docs + 1) + 1).alias("idf"))
-    dense = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "idf"))).alias("e"))
-    return dense.select(F.transform("e", lambda x: x["idf"]).alias("idf")).scalar()
+    dense = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "idf"))).alias("e")).select(
+        F.transform("e", lambda x: x["idf"]).alias("idf"))
+    path = scratch_path(spark, "idf")
+    dense.write.parquet(path)
+    return spark.read.schema(dense.schema).parquet(path).scalar()
 
 
 def apply_idf(tf: DataFrame, idf: Column) -> DataFrame:
@@ -113,21 +115,21 @@ def apply_idf(tf: DataFrame, idf: Column) -> DataFrame:
 
 
 def embed_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-                num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=(), materialize: bool = True):
+                num_buckets: int = config.DEFAULT_NUM_BUCKETS, keep=(), partitions: int | None = None):
     """(vectors, idf column) for a corpus; reuse the idf for queries.
 
     Term counts feed two passes (document frequency, then weighting), so
-    by default they are written once as a reliable checkpoint in the
-    shared checkpoint folder: the tokeniser - the CPU hot spot - runs once,
-    and the lineage is cut, so a lost executor re-reads instead of
-    re-tokenising.  ``materialize=False`` recomputes instead (no action).
+    they are written once to the shared checkpoint folder: the tokeniser -
+    the CPU hot spot - runs once, and a lost executor re-reads instead of
+    re-tokenising.
     """
-    tf = term_frequencies(docs, text_col, id_col, num_buckets, keep)
-    if materialize:
-        from quarry.session import checkpoint_dir
+    from quarry.session import scratch_path
 
-        checkpoint_dir(tf.sparkSession)
-        tf = tf.checkpoint(eager=True)
+    spark = docs.sparkSession
+    tf = term_frequencies(docs, text_col, id_col, num_buckets, keep, partitions)
+    path = scratch_path(spark, "term-counts")
+    tf.write.parquet(path)
+    tf = spark.read.schema(tf.schema).parquet(path)
     idf = idf_vector(tf, num_buckets)
     return apply_idf(tf, idf), idf
 
@@ -147,10 +149,10 @@ def explode_vectors(vecs: DataFrame, id_col: str = "doc_id", digits: int | None
                     (F.round(w, digits) if digits is not None else w).alias("weight"))
 
 
-def udf_embedder(fn, width: int | None = None):
-    """Wrap ``fn(pandas.Series[str]) -> sequence of vectors`` as an iterator
-    pandas UDF returning ARRAY<DOUBLE>; the model is built once per task by
-    calling ``fn`` lazily.  ``width``, if given, is checked per batch."""
+def udf_embedder(factory, width: int | None = None):
+    """Iterator pandas UDF (ARRAY<DOUBLE>) around a model.  ``factory()``
+    runs once per task and returns ``fn(pandas.Series[str]) -> 2-d array or
+    sequence of vectors``; ``width``, if given, is checked per batch."""
     from pyspark.sql.functions import pandas_udf
 
     from quarry.session import ship_package
@@ -159,13 +161,14 @@ def udf_embedder(fn, width: int | None = None):
 
     @pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory()
         for s in batches:
-            vecs = list(fn(s))
+            vecs = [np.asarray(v, dtype=np.float64) for v in fn(s)]
             if width is not None:
                 bad = [len(v) for v in vecs if len(v) != width]
                 if bad:
                     raise ValueError(f"embedder returned width {bad[0]}, expected {width}")
-            yield pd.Series([[float(x) for x in v] for v in vecs])
+            yield pd.Series(vecs)
 
     return embed
 

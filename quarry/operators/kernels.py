@@ -1,20 +1,16 @@
-"""Exact batch top-k: many queries against a large corpus.
-
-Two physical strategies, chosen from measured sizes, same results:
-
-* **broadcast** - the query batch is small (its packed size, measured by
-  one aggregate job, is under ``broadcast_bytes``): it is shipped once to
-  every task as a broadcast variable and the corpus is scored in place by
-  ``mapInPandas`` - no shuffle of the corpus at all.
-* **blocked** - otherwise both sides are hashed into blocks of about
-  ``block_rows`` rows; every (query block, corpus block) pair meets in one
-  ``cogroup().applyInPandas`` task.  Memory per task is bounded by the
-  block size, never by the data size.
-
-Either way a task scores a bounded slice as one matrix product and keeps a
-running top-k per query, so only k rows per query per task leave it; the
-final ``row_number() <= k`` (partial + final ``WindowGroupLimit``) merges
-them.  Nothing is collected except the bounded query batch.
+"""Exact batch top-k: many queries against a large corpus, in fixed passes.
+
+The queries are cut into passes of about ``pass_rows`` by a hash of their
+id.  A pass is bounded by that parameter, so it is shipped to every task as
+a broadcast variable and the corpus is scored in place by ``mapInPandas``:
+the corpus is never shuffled or copied, and no task or the driver ever
+holds more queries than one pass.  The plan is the same for every size;
+more queries mean more passes.  Each task keeps a running top-k per query,
+so only k rows per query per task leave it; they are appended to a table in
+the shared folder, and ``row_number() <= k`` (partial and final
+``WindowGroupLimit``) merges them.
+
+Ids keep the caller's type (integers or strings) on both sides.
 """
 
 from __future__ import annotations
@@ -27,12 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HIT_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
-
+PASS_ROWS = 4096           # queries per pass
+CHUNK_CELLS = 1 << 21      # query x vocabulary cells made dense at once (~16 MB)
 SCORE_CELLS = 1 << 22      # max query x document cells scored at once (~32 MB)
 
 
@@ -46,7 +38,7 @@ class DenseScorer:
     """Query matrix against dense corpus vectors."""
 
     def __init__(self, qids, vectors, metric="cosine", squared=True):
-        self.qids = np.asarray(qids, dtype=np.int64)
+        self.qids = _ids(qids)
         Q = _stack(vectors)
         self.metric, self.squared = metric, squared
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -74,27 +66,32 @@ class DenseScorer:
 class SparseScorer:
     """Packed sparse query vectors (terms, weights) against packed sparse
     corpus vectors: inner product over shared terms.  Queries are cut into
-    chunks; each chunk's vocabulary is densified, corpus rows are
-    scattered into that vocabulary and multiplied with BLAS."""
+    chunks of at most ``CHUNK_CELLS`` dense cells; only one chunk is dense
+    at a time: corpus rows are scattered into its vocabulary and multiplied
+    with BLAS."""
 
     CHUNK = 128
 
     def __init__(self, qids, terms, weights):
-        self.qids = np.asarray(qids, dtype=np.int64)
+        self.qids = _ids(qids)
         self.chunks = []
-        for lo in range(0, len(self.qids), self.CHUNK):
-            ts = [np.asarray(t, dtype=np.int64) for t in terms[lo:lo + self.CHUNK]]
-            ws = [np.asarray(w, dtype=np.float64) for w in weights[lo:lo + self.CHUNK]]
-            vocab = np.unique(np.concatenate(ts)) if ts else np.zeros(0, np.int64)
-            M = np.zeros((max(len(vocab), 1), len(ts)))
-            for j, (t, w) in enumerate(zip(ts, ws)):
-                if len(t):
-                    M[np.searchsorted(vocab, t), j] = np.nan_to_num(w)
-            self.chunks.append((vocab, M))
+        lo = 0
+        while lo < len(self.qids):
+            hi, size = lo, 0
+            while hi < len(self.qids) and hi - lo < self.CHUNK and (hi == lo or (size + len(terms[hi])) * (hi - lo + 1) <= CHUNK_CELLS):
+                size += len(terms[hi])
+                hi += 1
+            ts = [np.asarray(t, dtype=np.int64) for t in terms[lo:hi]]
+            ws = [np.nan_to_num(np.asarray(w, dtype=np.float64)) for w in weights[lo:hi]]
+            t = np.concatenate(ts)
+            vocab, at = np.unique(t, return_inverse=True)
+            col = np.repeat(np.arange(hi - lo), [len(x) for x in ts])
+            self.chunks.append((vocab, at, col, np.concatenate(ws), hi - lo))
+            lo = hi
 
     @property
     def width(self):
-        return max([max(len(v), 1) for v, _ in self.chunks] or [1])
+        return max([max(len(c[0]), 1) for c in self.chunks] or [1])
 
     def score(self, pdf: pd.DataFrame, terms_col: str, weights_col: str) -> np.ndarray:
         tl, wl = pdf[terms_col].to_numpy(), pdf[weights_col].to_numpy()
@@ -105,10 +102,12 @@ class SparseScorer:
         w = np.concatenate([np.asarray(x, dtype=np.float64) for x in wl]) if n else np.zeros(0)
         w = np.nan_to_num(w)
         out = []
-        for vocab, M in self.chunks:
+        for vocab, at, col, qw, nq in self.chunks:
             if len(vocab) == 0 or len(t) == 0:
-                out.append(np.zeros((M.shape[1], n)))
+                out.append(np.zeros((nq, n)))
                 continue
+            M = np.zeros((len(vocab), nq))
+            M[at, col] = qw
             idx = np.minimum(np.searchsorted(vocab, t), len(vocab) - 1)
             hit = vocab[idx] == t
             D = np.zeros((n, len(vocab)))
@@ -117,6 +116,13 @@ class SparseScorer:
         return np.concatenate(out, axis=0) if out else np.zeros((0, n))
 
 
+def _ids(values) -> np.ndarray:
+    """Integers as int64, anything else as fixed-width text (ordered by
+    code point, as Spark orders strings)."""
+    a = np.asarray(values)
+    return a.astype(np.int64) if a.dtype.kind in "iu" or not len(a) else np.asarray([str(x) for x in values])
+
+
 # ------------------------------------------------------------------ top-k state
 
 class RunningTopK:
@@ -126,7 +132,7 @@ class RunningTopK:
         self.qids, self.k, self.digits = qids, k, digits
         nq = len(qids)
         self.S = np.full((nq, k), np.nan)
-        self.I = np.zeros((nq, k), dtype=np.int64)
+        self.I = None                       # ids, of the type the first batch has
         self.V = np.zeros((nq, k), dtype=bool)
 
     def add(self, S: np.ndarray, ids: np.ndarray) -> None:
@@ -136,7 +142,8 @@ class RunningTopK:
         if self.digits is not None:
             S = np.round(S, self.digits)
         S = np.concatenate([self.S, S], axis=1)
-        I = np.concatenate([self.I, np.broadcast_to(ids, (nq, nb))], axis=1)
+        held = np.zeros((nq, self.k), dtype=ids.dtype) if self.I is None else self.I
+        I = np.concatenate([held, np.broadcast_to(ids, (nq, nb))], axis=1)
         V = np.concatenate([self.V, np.ones((nq, nb), dtype=bool)], axis=1)
         key = np.where(V & ~np.isnan(S), S, -np.inf)
         m, k = S.shape[1], self.k
@@ -151,7 +158,7 @@ class RunningTopK:
         keep = pos < k
         rows, cols, pos = rows[keep], cols[keep], pos[keep]
         self.S = np.full((nq, k), np.nan)
-        self.I = np.zeros((nq, k), dtype=np.int64)
+        self.I = np.zeros((nq, k), dtype=I.dtype)
         self.V = np.zeros((nq, k), dtype=bool)
         self.S[rows, pos] = S[rows, cols]
         self.I[rows, pos] = I[rows, cols]
@@ -163,8 +170,8 @@ class RunningTopK:
         score = pd.Series(s, dtype="float64")
         if np.isnan(s).any():
             score = score.astype(object).where(~np.isnan(s), None)
-        return pd.DataFrame({"qid": self.qids[r].astype(np.int64),
-                             "doc_id": self.I[r, c].astype(np.int64), "score": score})
+        found = self.I[r, c] if self.I is not None else np.zeros(0, np.int64)
+        return pd.DataFrame({"qid": self.qids[r], "doc_id": found, "score": score})
 
 
 def _scan(scorer, pdfs, id_col: str, cols: tuple, k: int, digits):
@@ -173,7 +180,7 @@ def _scan(scorer, pdfs, id_col: str, cols: tuple, k: int, digits):
     for pdf in pdfs:
         for lo in range(0, len(pdf), step):
             part = pdf.iloc[lo:lo + step]
-            top.add(scorer.score(part, *cols), part[id_col].to_numpy(np.int64))
+            top.add(scorer.score(part, *cols), _ids(part[id_col].to_numpy()))
     return top.result()
 
 
@@ -189,52 +196,36 @@ def _make_scorer(kind: str, qpdf: pd.DataFrame, metric: str, squared: bool):
 def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, *,
                metric: str = "cosine", squared: bool = True, digits: int | None = None,
                q_id: str = "qid", c_id: str = "doc_id", q_cols: tuple = (), c_cols: tuple = (),
-               broadcast_bytes: int = 64 << 20, block_rows: int = 4096) -> DataFrame:
+               pass_rows: int = PASS_ROWS) -> DataFrame:
     """Partial top-k hits (qid, doc_id, score), at most k per query per
     task; merge with a per-query ``row_number() <= k``.
 
     ``kind`` "dense": q_cols=(vector,), c_cols=(vector,);
     "sparse": q_cols=(terms, weights), c_cols=(terms, weights).
     """
-    spark = queries.sparkSession
-    from quarry.session import ship_package
+    from quarry.session import scratch_path, ship_package
 
+    spark = queries.sparkSession
     ship_package(spark)
-    if kind == "dense":
-        q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_cols[0]).alias("qvec"))
-        size = F.size("qvec") * 8 + 16
-    else:
-        q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_cols[0]).alias("qterms"),
-                           F.col(q_cols[1]).alias("qweights"))
-        size = F.size("qterms") * 12 + 16
-    c = corpus.select(F.col(c_id).cast("bigint").alias("cid"),
-                      *[F.col(x).alias(f"c{i}") for i, x in enumerate(c_cols)])
+    names = ("qvec",) if kind == "dense" else ("qterms", "qweights")
+    q = queries.select(F.col(q_id).alias("qid"), *[F.col(c).alias(n) for c, n in zip(q_cols, names)])
+    staged = scratch_path(spark, "queries")
+    q.write.parquet(staged)
+    q = spark.read.schema(q.schema).parquet(staged)
+    c = corpus.select(F.col(c_id).alias("cid"), *[F.col(x).alias(f"c{i}") for i, x in enumerate(c_cols)])
     ccols = tuple(f"c{i}" for i in range(len(c_cols)))
-    nq, qbytes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-
-    if qbytes <= broadcast_bytes:
-        qpdf = q.toPandas()      # bounded: measured just above
-        bq = spark.sparkContext.broadcast(qpdf)
-
-        def run(it):
-            scorer = _make_scorer(kind, bq.value, metric, squared)
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("doc_id", c.schema["cid"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    passes = max(1, math.ceil(q.count() / pass_rows))
+    out = scratch_path(spark, "hits")
+    for i in range(passes):
+        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).toPandas()     # about pass_rows queries
+        shipped = spark.sparkContext.broadcast(block)
+
+        def run(it, shipped=shipped):
+            scorer = _make_scorer(kind, shipped.value, metric, squared)
             yield _scan(scorer, it, "cid", ccols, k, digits)
 
-        return c.mapInPandas(run, HIT_SCHEMA)
-
-    nc = corpus.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int")) \
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(cb)).cast("int")) \
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def pair(qpdf, cpdf):
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "doc_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        scorer = _make_scorer(kind, qpdf, metric, squared)
-        return _scan(scorer, [cpdf], "cid", ccols, k, digits)
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, HIT_SCHEMA)
+        c.mapInPandas(run, schema).write.mode("append").parquet(out)
+        shipped.destroy()
+    return spark.read.schema(schema).parquet(out)

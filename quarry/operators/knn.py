@@ -9,13 +9,13 @@ Per-group top-k (``knn_per_group``) uses ``row_number() <= k``; Spark
 plans a partial ``WindowGroupLimit`` before the exchange, so even a group
 holding a third of the corpus ships at most k rows per map task.
 
-Many queries (``knn_join``): both sides are hashed into blocks by id;
-query blocks meet corpus blocks through an equi-join on (query_block,
-corpus_block) realised as ``cogroup().applyInPandas``.  Each task scores a
-bounded block pair with one matrix product and keeps only its local top-k
-per query, so neither the pair set nor any whole side passes through one
-task or the driver.  A final ``row_number() <= k`` merges the partial
-top-k lists.
+Many queries (``knn_join``): fixed passes of queries over the corpus, see
+:mod:`quarry.operators.kernels`.
+
+Approximate search (``lsh_index`` / ``knn_lsh``): signed random projections
+give every vector one bucket per table; the buckets are stored once and
+joined on equality, so a query touches only the vectors that share a
+bucket, which are then re-ranked exactly.
 """
 
 from __future__ import annotations
@@ -135,41 +135,63 @@ def index_stats(index: DataFrame, metric: str = "cosine", vec_col: str = "embedd
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = config.SEARCH_LIMIT,
              metric: str = "cosine", q_id: str = "qid", q_vec: str = "embedding",
              c_id: str = "doc_id", c_vec: str = "embedding", squared: bool = True,
-             digits: int | None = None, broadcast_bytes: int = 64 << 20,
-             block_rows: int = 4096) -> DataFrame:
-    """Exact top-k corpus rows for every query row: (qid, doc_id, score, rank).
-    See :mod:`quarry.operators.kernels` for the two physical strategies."""
+             digits: int | None = None, **kw) -> DataFrame:
+    """Exact top-k corpus rows for every query row: (qid, doc_id, score, rank),
+    in passes of ``pass_rows`` queries."""
     if metric not in config.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     from quarry.operators.kernels import batch_topk
 
     partial = batch_topk(queries, corpus, k, "dense", metric=metric, squared=squared, digits=digits,
-                         q_id=q_id, c_id=c_id, q_cols=(q_vec,), c_cols=(c_vec,),
-                         broadcast_bytes=broadcast_bytes, block_rows=block_rows)
+                         q_id=q_id, c_id=c_id, q_cols=(q_vec,), c_cols=(c_vec,), **kw)
     return rank_within(partial, ["qid"], k, "doc_id")
 
 
 # ---------------------------------------------------------------- approximate
 
-def knn_lsh(corpus: DataFrame, query_vector: Sequence[float], k: int = config.SEARCH_LIMIT,
-            id_col: str = "doc_id", vec_col: str = "embedding", bucket_length: float = 0.5,
-            num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate top-k by cosine: unit-normalise, hash with random
-    projections (Spark ML ``BucketedRandomProjectionLSH``), keep the
-    candidates that share a bucket with the query, then re-rank them
-    exactly.  Euclidean order on unit vectors equals cosine order."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    vecs = corpus.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("__v"))
-    unit = Normalizer(inputCol="__v", outputCol="__u", p=2.0).transform(vecs)
-    lsh = BucketedRandomProjectionLSH(inputCol="__u", outputCol="__h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(unit)
-    qv = np.asarray(query_vector, dtype=np.float64)
-    qn = float(np.linalg.norm(qv)) or 1.0
-    cands = model.approxNearestNeighbors(unit, Vectors.dense(qv / qn), k, distCol="__d")
-    # |u - q|^2 = 2 - 2 cos for unit vectors.
-    hits = cands.select(id_col, (F.lit(1.0) - F.pow(F.col("__d"), 2) / F.lit(2.0)).alias("score"))
-    return top_k(hits, k, id_col=id_col)
+LSH_TABLES = 24
+LSH_BITS = 4
+
+
+def planes(width: int, tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7) -> np.ndarray:
+    """Random hyperplanes, (tables * bits, width), fixed by the seed."""
+    return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables * bits, width))
+
+
+def lsh_buckets(vec: Column, width: int, tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7) -> Column:
+    """ARRAY<INT>: per table the signs of ``bits`` projections as one
+    number.  Projections onto +1/-1 planes are sums and differences of the
+    vector's elements, evaluated JVM-side."""
+    out = []
+    p = planes(width, tables, bits, seed)
+    for t in range(tables):
+        code = F.lit(0)
+        for b in range(bits):
+            signs = F.array(*[F.lit(float(x)) for x in p[t * bits + b]])
+            dot_ = F.aggregate(F.zip_with(vec, signs, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x)
+            code = code + F.when(dot_ >= 0, 1 << b).otherwise(0)
+        out.append(code)
+    return F.array(*out)
+
+
+def lsh_index(corpus: DataFrame, width: int, id_col: str = "doc_id", vec_col: str = "embedding", tables: int = LSH_TABLES,
+              bits: int = LSH_BITS, seed: int = 7) -> DataFrame:
+    """(tab, code, id, vector): one row per vector and table, to be stored
+    (partitioned by ``tab``).  Zero vectors have no direction and no rows."""
+    own = corpus.select(id_col, vec_col, lsh_buckets(F.col(vec_col), width, tables, bits, seed).alias("__codes"))
+    own = own.where(F.exists(vec_col, lambda x: x != 0))
+    return own.select(F.posexplode("__codes").alias("tab", "code"), id_col, vec_col)
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, width: int, k: int = config.SEARCH_LIMIT, q_id: str = "qid", q_vec: str = "embedding",
+            c_id: str = "doc_id", c_vec: str = "embedding", tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7,
+            digits: int | None = None) -> DataFrame:
+    """Approximate top-k by cosine of every query: equality join of the
+    queries' buckets with a stored ``lsh_index``, one row per candidate
+    pair, exact re-rank.  (qid, doc_id, score, rank)."""
+    q = lsh_index(queries, width, q_id, q_vec, tables, bits, seed).select("tab", "code", F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"))
+    c = index.select(F.col("tab").alias("ctab"), F.col("code").alias("ccode"), F.col(c_id).alias("doc_id"), F.col(c_vec).alias("cv"))
+    pairs = q.join(c, (F.col("tab") == F.col("ctab")) & (F.col("code") == F.col("ccode")))
+    s = similarity("qv", "cv", "cosine")
+    pairs = pairs.select("qid", "doc_id", (F.round(s, digits) if digits is not None else s).alias("score")).distinct()
+    return rank_within(pairs, ["qid"], k, "doc_id")

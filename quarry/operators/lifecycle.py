@@ -29,15 +29,19 @@ def with_doc_id(df: DataFrame, out: str = "doc_id") -> DataFrame:
 
 def diff_snapshots(old: DataFrame, new: DataFrame, key=KEY, hash_col: str = "hash") -> DataFrame:
     """Full outer join on the key: change is added, removed, changed or
-    unchanged (hash compared null-safely)."""
-    o = old.select(*key, F.col(hash_col).alias("old_hash"))
-    n = new.select(*key, F.col(hash_col).alias("new_hash"))
+    unchanged.  Presence is a flag of each side, so a null hash is a value
+    like any other (two nulls are unchanged)."""
+    o = old.select(*key, F.col(hash_col).alias("old_hash"), F.lit(True).alias("__old"))
+    n = new.select(*key, F.col(hash_col).alias("new_hash"), F.lit(True).alias("__new"))
     j = o.join(n, list(key), "full_outer")
-    change = (F.when(F.col("old_hash").isNull(), "added")
-              .when(F.col("new_hash").isNull(), "removed")
-              .when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "unchanged")
-              .otherwise("changed"))
-    return j.withColumn("change", change)
+    return j.withColumn("change", _change("old_hash", "new_hash")).drop("__old", "__new")
+
+
+def _change(old_hash: str, new_hash: str) -> Column:
+    return (F.when(F.col("__old").isNull(), "added")
+            .when(F.col("__new").isNull(), "removed")
+            .when(F.col(old_hash).eqNullSafe(F.col(new_hash)), "unchanged")
+            .otherwise("changed"))
 
 
 def names_frame(spark, names: Iterable[str], col: str = "repo_name") -> DataFrame:
@@ -59,7 +63,7 @@ def known_repos(names: DataFrame, registry: DataFrame, repo_col: str = "repo_nam
 def update_repo(index: DataFrame, new_rows: DataFrame, repo: str, repo_col: str = "repo_name") -> DataFrame:
     """Replace one repository's rows by a fresh scan of it.  If the scan
     is empty the repository's rows are gone (its registry row stays)."""
-    keep = index.where(F.col(repo_col) != F.lit(repo))
+    keep = index.where(~F.col(repo_col).eqNullSafe(F.lit(repo)))
     fresh = new_rows.where(F.col(repo_col) == F.lit(repo)).select(*index.columns)
     return keep.unionByName(fresh)
 
@@ -68,27 +72,47 @@ def incremental_upsert(old_index: DataFrame, new_files: DataFrame, embed, key=KE
                        hash_col: str = "hash") -> DataFrame:
     """New index = unchanged rows (old vectors kept) + added/changed rows
     embedded now; removed rows dropped.  ``embed`` maps a files frame to
-    the index schema; it only sees the delta."""
-    d = diff_snapshots(old_index, new_files, key, hash_col)
-    unchanged = old_index.join(d.where(F.col("change") == "unchanged").select(*key), list(key), "left_semi")
-    delta_keys = d.where(F.col("change").isin("added", "changed")).select(*key)
-    delta = embed(new_files.join(delta_keys, list(key), "left_semi"))
-    return unchanged.withColumn("change", F.lit("unchanged")).unionByName(
-        delta.join(d.select(*key, "change"), list(key), "inner"), allowMissingColumns=True)
-
-
-def registry_from_files(files: DataFrame, source=None, is_url: bool = False,
-                        repo_col: str = "repo_name") -> DataFrame:
+    the index schema; it only sees the delta and must keep ``change``.
+
+    Both sides meet in one full outer join (whole rows as structs), written
+    once to the shared folder; the two outcomes are filters over it."""
+    from quarry.session import scratch_path
+
+    spark = old_index.sparkSession
+    o = old_index.select(*key, F.struct(*old_index.columns).alias("__o"), F.lit(True).alias("__old"))
+    n = new_files.select(*key, F.struct(*new_files.columns).alias("__n"), F.lit(True).alias("__new"))
+    j = (o.join(n, list(key), "full_outer")
+         .withColumn("__oh", F.col(f"__o.{hash_col}")).withColumn("__nh", F.col(f"__n.{hash_col}")))
+    j = j.select("__o", "__n", _change("__oh", "__nh").alias("change")).where(F.col("change") != "removed")
+    path = scratch_path(spark, "upsert")
+    j.write.parquet(path)
+    j = spark.read.schema(j.schema).parquet(path)
+    unchanged = j.where(F.col("change") == "unchanged").select("__o.*", "change")
+    delta = embed(j.where(F.col("change") != "unchanged").select("__n.*", "change"))
+    return unchanged.unionByName(delta, allowMissingColumns=True)
+
+
+def registry_from_files(files: DataFrame, source=None, is_url: bool = False, repo_col: str = "repo_name",
+                        data_file: str | None = None, repo_path=None) -> DataFrame:
     """One registry row per repository: name, source, is_url, processed_at,
-    files_processed."""
+    files_processed, data_file (its snapshot) and repo_path."""
     src = source if source is not None else F.concat(F.lit("local:"), F.col(repo_col))
+    snapshot = F.concat(F.lit(f"{data_file}/repo_name="), F.col(repo_col)) if data_file else F.lit(None).cast("string")
     return files.groupBy(repo_col).agg(F.count(F.lit(1)).alias("files_processed")).select(
         F.col(repo_col).alias("name"), src.alias("source"), F.lit(is_url).alias("is_url"),
-        F.current_timestamp().alias("processed_at"), "files_processed")
+        F.current_timestamp().alias("processed_at"), "files_processed",
+        snapshot.alias("data_file"), (repo_path if repo_path is not None else F.col(repo_col)).alias("repo_path"))
+
+
+def export_stats(stats: DataFrame, path: str) -> None:
+    """Write ``stats`` (one row) as one JSON document with its export time."""
+    stats.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("exported_at"),
+                 F.struct(*stats.columns).alias("stats")).write.mode("overwrite").json(path)
+
 
+def read_export(spark, path: str, stats_schema) -> DataFrame:
+    """The statistics of an export, as they were written."""
+    from pyspark.sql import types as T
 
-def export_stats(stats: DataFrame) -> DataFrame:
-    """One JSON line: exported_at plus every stats column (nested as-is)."""
-    return stats.select(F.to_json(F.struct(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("exported_at"),
-        F.struct(*stats.columns).alias("stats"))).alias("json"))
+    schema = T.StructType([T.StructField("exported_at", T.StringType()), T.StructField("stats", stats_schema)])
+    return spark.read.schema(schema).json(path).select("stats.*")

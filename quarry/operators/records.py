@@ -15,13 +15,13 @@ FILE_RECORD_COLUMNS = ("path", "full_path", "content", "extension", "size", "mod
 
 
 def file_records(files: DataFrame, raw_col: str | None = None, content_col: str = "content",
-                 root: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+                 root: str | None = None, keep: tuple[str, ...] = (), include_empty: bool = False) -> DataFrame:
     """Build the file record.
 
     Input needs ``path`` and either bytes (``raw_col``, decoded UTF-8 with
     a Latin-1 fallback) or text (``content_col``); ``size`` (on-disk bytes)
     and ``modified`` are used when present.  Text gets universal newlines
-    before hashing; empty texts are dropped.
+    before hashing; empty texts are dropped unless ``include_empty``.
     """
     text = decode_text(raw_col) if raw_col else F.col(content_col)
     cols = files.columns
@@ -32,7 +32,9 @@ def file_records(files: DataFrame, raw_col: str | None = None, content_col: str
     out = files.select(
         *keep, F.col("path"), full.alias("full_path"), normalize_newlines(text).alias("content"),
         path_extension("path").alias("extension"), size.alias("size"), modified.alias("modified"),
-    ).where(F.length("content") > 0)
+    )
+    if not include_empty:
+        out = out.where(F.length("content") > 0)
     return out.withColumn("hash", content_hash("content"))
 
 
@@ -43,7 +45,8 @@ def with_repo_name(files: DataFrame, name: str | None, derived) -> DataFrame:
 
 def index_payload(docs: DataFrame) -> DataFrame:
     """Payload defaults for index rows: missing repo -> "unknown",
-    extension/hash -> "", size -> 0; path and content are required."""
+    extension/hash -> "", size -> 0, and the time of indexing; path and
+    content are required (a null one fails the job)."""
     cols = docs.columns
     for req in ("path", "content"):
         if req not in cols:
@@ -53,13 +56,18 @@ def index_payload(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name).cast(typ), F.lit(default).cast(typ)) if name in cols \
             else F.lit(default).cast(typ)
 
+    def required(name):
+        return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"a document without {name}"))).otherwise(F.col(name)).alias(name)
+
     return docs.select(
-        *[c for c in cols if c not in ("repo_name", "extension", "size", "hash", "modified")],
+        *[c for c in cols if c not in ("path", "content", "repo_name", "extension", "size", "hash", "modified", "added_at")],
+        required("path"), required("content"),
         opt("repo_name", config.DEFAULT_REPO_NAME, "string").alias("repo_name"),
         opt("extension", "", "string").alias("extension"),
         opt("size", 0, "bigint").alias("size"),
         (F.col("modified").cast("timestamp") if "modified" in cols else F.lit(None).cast("timestamp")).alias("modified"),
         opt("hash", "", "string").alias("hash"),
+        F.current_timestamp().alias("added_at"),
     )
 
 

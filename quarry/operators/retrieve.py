@@ -47,15 +47,16 @@ def hits_summary(hits: DataFrame, repo_col: str = "repo_name", by: Sequence[str]
 HIT_FIELDS = ("path", "content", "repo_name", "score", "extension", "size", "modified")
 
 
-def project_hits(hits: DataFrame, with_preview: bool = False) -> DataFrame:
-    """Public hit fields (hash and added_at dropped); optional preview."""
+def project_hits(hits: DataFrame, with_preview: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+    """Public hit fields (hash and added_at dropped), after the ``extra``
+    ones the caller wants; optional preview."""
     cols = [c for c in HIT_FIELDS if c in hits.columns]
-    out = hits.select(*cols)
+    out = hits.select(*extra, *cols)
     return out.withColumn("preview", preview("content")) if with_preview else out
 
 
 def fetch_payload(hits: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Late fetch: join a bounded hit list to the payload table by id.
-    The hit side is a top-k, so it is broadcast and the payload scan is
-    never shuffled."""
-    return docs.join(F.broadcast(hits), id_col, "inner")
+    """Late fetch: join a hit list to the payload table by id.  Spark
+    broadcasts the hits when their measured size allows and shuffles both
+    by id otherwise."""
+    return docs.join(hits, id_col, "inner")

@@ -160,9 +160,12 @@ def _search_summary(spark, d):
 # ------------------------------------------------------------------ files
 # documents stand in for a file tree: source = repository, a derived path
 # per document (ignored directories, look-alikes, odd suffixes), n_chars =
-# size.  SIZE_CAP makes the size rule bite at this data's scale.
+# size (bytes).  SMALL_CAP makes the size rule bite at this data's scale and
+# is used only where the size rule is what the query shows; everything else
+# uses the default limit.
 
-SIZE_CAP = 2000
+SMALL_CAP = 2000
+SIZE_CAP = 2 * 1024 * 1024
 _DOC_PATH = """concat(source, '/',
   CASE doc_id % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'node_modules/lib' WHEN 2 THEN 'docs/build'
                   WHEN 3 THEN '.github' ELSE 'rebuild' END,
@@ -172,7 +175,7 @@ _DOC_PATH = """concat(source, '/',
 _EXT = r"regexp_extract(path, '(?s)^(?:.*/)?[^/]+(\.[^./]+)$', 1)"
 _IGN = "list_has_any(string_split(path, '/'), {ign})"
 _FILES = f"""WITH f0 AS (SELECT doc_id, source AS repo_name, {_DOC_PATH} AS path, text AS content,
-                          n_chars AS size, lang FROM documents),
+                          strlen(text)::BIGINT AS size, lang FROM documents),
      files AS (SELECT *, {_EXT} AS extension FROM f0)"""
 
 
@@ -185,9 +188,9 @@ def _files(spark, d):
     return documents_as_files(load(spark, d, "documents"))
 
 
-def _eligible(spark, d):
+def _eligible(spark, d, limit_bytes=SIZE_CAP):
     from quarry.operators.filters import eligible_files
-    return eligible_files(_files(spark, d), limit_bytes=SIZE_CAP)
+    return eligible_files(_files(spark, d), limit_bytes=limit_bytes)
 
 
 def _sqlf():
@@ -198,6 +201,7 @@ def _sqlf():
 
 
 _IGN_SQL, _EXT_SQL = _sqlf()
+_ELIG_SMALL = f"""{_FILES}, elig AS (SELECT * FROM files WHERE size <= {SMALL_CAP} AND {_EXT_SQL} AND NOT {_IGN_SQL})"""
 _ELIG = f"""{_FILES}, elig AS (SELECT * FROM files WHERE size <= {SIZE_CAP} AND {_EXT_SQL} AND NOT {_IGN_SQL})"""
 
 
@@ -218,15 +222,15 @@ def _filter_extension(spark, d):
     return filter_extension(_files(spark, d)).select("doc_id", "path", "extension")
 
 
-@register("filter_size", f"{_FILES} SELECT doc_id, size FROM files WHERE size <= {SIZE_CAP}")
+@register("filter_size", f"{_FILES} SELECT doc_id, size FROM files WHERE size <= {SMALL_CAP}")
 def _filter_size(spark, d):
     from quarry.operators.filters import filter_size
-    return filter_size(_files(spark, d), SIZE_CAP).select("doc_id", "size")
+    return filter_size(_files(spark, d), SMALL_CAP).select("doc_id", "size")
 
 
-@register("eligible_files", f"{_ELIG} SELECT doc_id, repo_name, path, extension, size FROM elig")
+@register("eligible_files", f"{_ELIG_SMALL} SELECT doc_id, repo_name, path, extension, size FROM elig")
 def _eligible_files(spark, d):
-    return _eligible(spark, d).select("doc_id", "repo_name", "path", "extension", "size")
+    return _eligible(spark, d, SMALL_CAP).select("doc_id", "repo_name", "path", "extension", "size")
 
 
 @register("content_hash", "SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', '\n', 'g')) AS hash FROM documents")
@@ -261,8 +265,8 @@ FROM pages""")
 def _repo_name_from_url(spark, d):
     from quarry.functions.text import repo_name_from_url
     return load(spark, d, "pages").select(
-        "page_id", "url", repo_name_from_url("url").alias("repo_name"),
-        repo_name_from_url("url", strict_compat=False).alias("repo_name_clean"))
+        "page_id", "url", repo_name_from_url("url", strict_compat=True).alias("repo_name"),
+        repo_name_from_url("url").alias("repo_name_clean"))
 
 
 @register("embedding_text", f"""{_FILES}
@@ -303,7 +307,7 @@ SELECT e.repo_name AS name, e.repo_name AS path, 'local:' || e.repo_name AS url,
 FROM elig e JOIN m USING (repo_name) GROUP BY e.repo_name""")
 def _repo_metadata(spark, d):
     from quarry.operators.aggregates import repo_metadata
-    md = repo_metadata(_eligible(spark, d))
+    md = repo_metadata(_eligible(spark, d)).drop("last_updated")
     return md.withColumn("languages", F.to_json("languages"))
 
 
@@ -329,14 +333,16 @@ def _repo_names(spark, d):
 
 
 # ------------------------------------------------------------------ text search
-# Hashed term vectors over documents.text; the batch of queries is every
-# user turn of the conversations table, embedded with the corpus idf.
+# Hashed term vectors over the embedding text (path + content) of every
+# document; the batch of queries is every user turn of the conversations
+# table, embedded bare with the corpus idf.
 
 NB = 65536
 _TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
 _BK = f"((('0x' || substr(md5(t), 1, 8))::BIGINT) % {NB})::INTEGER"
-_TF_SQL = f"""
-tok AS (SELECT doc_id, unnest({_TOK.format(c='text')}) AS t FROM documents),
+_ETEXT = "'File: ' || path || chr(10) || chr(10) || 'Content:' || chr(10) || content"
+_TF_SQL = f"""{_FILES},
+tok AS (SELECT doc_id, unnest({_TOK.format(c=_ETEXT)}) AS t FROM files),
 tf AS (SELECT doc_id, {_BK} AS bucket, count(*)::DOUBLE AS c FROM tok GROUP BY ALL)"""
 _IDF_SQL = """
 nd AS (SELECT count(*) AS n FROM documents),
@@ -344,7 +350,7 @@ idf AS (SELECT bucket, ln((nd.n + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf, n
 tw AS (SELECT doc_id, bucket, c * idf AS w FROM tf JOIN idf USING (bucket)),
 dv AS (SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM tw)"""
 _QV_SQL = f"""
-qs AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user'),
+qs AS (SELECT conv_id || '/' || turn AS qid, text FROM conversations WHERE role = 'user'),
 qtok AS (SELECT qid, unnest({_TOK.format(c='text')}) AS t FROM qs),
 qtf AS (SELECT qid, {_BK} AS bucket, count(*)::DOUBLE AS c FROM qtok GROUP BY ALL),
 qw AS (SELECT qid, bucket, c * coalesce(idf.idf, ln(nd.n + 1.0) + 1) AS w
@@ -352,9 +358,20 @@ qw AS (SELECT qid, bucket, c * coalesce(idf.idf, ln(nd.n + 1.0) + 1) AS w
 qv AS (SELECT qid, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM qw)"""
 
 
-def _doc_tfidf(spark, d):
+def _embeddable(spark, d) -> DataFrame:
+    from quarry.functions.text import embedding_text
+    return _files(spark, d).withColumn("embedding_text", embedding_text("path", "content"))
+
+
+def _tasks(spark) -> int:
+    """The documents table is one Parquet row group, so one split: deal it
+    to every core before tokenising."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _doc_tfidf(spark, d, id_col="doc_id"):
     from quarry.operators.embed import embed_tfidf
-    return embed_tfidf(load(spark, d, "documents"), "text", "doc_id", NB)
+    return embed_tfidf(_embeddable(spark, d), "embedding_text", id_col, NB, partitions=_tasks(spark))
 
 
 def _query_vectors(spark, d, idf):
@@ -363,14 +380,15 @@ def _query_vectors(spark, d, idf):
     return embed_queries(query_turns(load(spark, d, "conversations")), idf, "query", "qid", NB)
 
 
-@register("embed_tf", f"""WITH {_TF_SQL}
+@register("embed_tf", f"""{_TF_SQL}
 SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM tf""")
 def _embed_tf(spark, d):
     from quarry.operators.embed import embed_tf, explode_vectors
-    return explode_vectors(embed_tf(load(spark, d, "documents"), "text", "doc_id", NB), "doc_id", DIGITS)
+    vecs = embed_tf(_embeddable(spark, d), "embedding_text", "doc_id", NB, partitions=_tasks(spark))
+    return explode_vectors(vecs, "doc_id", DIGITS)
 
 
-@register("embed_tfidf", f"""WITH {_TF_SQL}, {_IDF_SQL}
+@register("embed_tfidf", f"""{_TF_SQL}, {_IDF_SQL}
 SELECT doc_id, bucket, round(w, 6) AS weight FROM dv""")
 def _embed_tfidf(spark, d):
     from quarry.operators.embed import explode_vectors
@@ -378,7 +396,7 @@ def _embed_tfidf(spark, d):
     return explode_vectors(vecs, "doc_id", DIGITS)
 
 
-@register("embed_queries", f"""WITH {_TF_SQL}, {_IDF_SQL}, {_QV_SQL}
+@register("embed_queries", f"""{_TF_SQL}, {_IDF_SQL}, {_QV_SQL}
 SELECT qid, bucket, round(w, 6) AS weight FROM qv""")
 def _embed_queries(spark, d):
     from quarry.operators.embed import explode_vectors
@@ -386,9 +404,16 @@ def _embed_queries(spark, d):
     return explode_vectors(_query_vectors(spark, d, idf), "qid", DIGITS)
 
 
-@register("search_text", f"""WITH {_TF_SQL}, {_IDF_SQL}, {_QV_SQL},
-s AS (SELECT qid, doc_id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+# Every document is ranked for every query; those without a shared term
+# score 0.
+_HITS_SQL = f"""{_TF_SQL}, {_IDF_SQL}, {_QV_SQL},
+m AS (SELECT qid, doc_id, sum(qv.w * dv.w) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL),
+s AS (SELECT qs.qid, f.doc_id, f.repo_name, round(coalesce(m.score, 0), 6) AS score
+      FROM qs CROSS JOIN files f LEFT JOIN m ON m.qid = qs.qid AND m.doc_id = f.doc_id)"""
+
+
+@register("search_text", f"""{_HITS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT qid, doc_id, score, rank FROM r WHERE rank <= {K_HITS}""")
 def _search_text(spark, d):
     from quarry.operators.search import search_vectors
@@ -396,6 +421,43 @@ def _search_text(spark, d):
     return search_vectors(_query_vectors(spark, d, idf), docs, k=K_HITS, digits=DIGITS)
 
 
+SEARCHED_REPO = "src3"
+
+
+@register("search_index", f"""{_HITS_SQL},
+sh AS (SELECT s.qid, sha256(f.repo_name || chr(31) || f.path) AS id, s.score, f.* EXCLUDE (repo_name), f.repo_name
+       FROM s JOIN files f USING (doc_id) WHERE s.repo_name = '{SEARCHED_REPO}'),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sh)
+SELECT qid, id AS doc_id, path, md5(content) AS content_md5, repo_name, score, extension, size, rank FROM r WHERE rank <= 3""")
+def _search_index(spark, d):
+    """Add every repository to an index, search one of them with every
+    user turn, and fetch the hits' payload."""
+    from quarry.operators.lifecycle import with_doc_id
+    from quarry.operators.retrieve import fetch_payload, project_hits
+    from quarry.operators.search import search_vectors
+    store, idf = _index(spark, d)
+    vectors = store.read("vectors", SEARCHED_REPO)
+    hits = search_vectors(_query_vectors(spark, d, idf), vectors, k=3, digits=DIGITS)
+    full = fetch_payload(hits, store.read("docs", SEARCHED_REPO))
+    shown = project_hits(full, extra=("qid", "doc_id", "rank"))
+    return shown.select("qid", "doc_id", "path", F.md5(F.col("content").cast("binary")).alias("content_md5"), "repo_name", "score",
+                        "extension", "size", "rank")
+
+
+def _index(spark, d):
+    """A store with every document of the table: payload and tf-idf vectors."""
+    from quarry.operators.lifecycle import registry_from_files, with_doc_id
+    from quarry.operators.records import index_payload
+    from quarry.session import scratch_path
+    from quarry.sources.store import IndexStore
+    files = _files(spark, d)
+    docs = index_payload(with_doc_id(files.drop("doc_id", "lang")))
+    ids = with_doc_id(_embeddable(spark, d).drop("doc_id"))
+    from quarry.operators.embed import embed_tfidf
+    vecs, idf = embed_tfidf(ids, "embedding_text", "doc_id", NB, keep=("repo_name",), partitions=_tasks(spark))
+    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+    store.add(docs, vecs, registry_from_files(files))
+    return store, idf
 
 
 # ------------------------------------------------------------------ lifecycle
@@ -410,7 +472,7 @@ new0 AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 2 THEN content || ' x' ELSE c
 new AS (SELECT *, md5(content) AS hash FROM new0),
 d AS (SELECT coalesce(o.repo_name, n.repo_name) AS repo_name, coalesce(o.path, n.path) AS path,
              o.hash AS old_hash, n.hash AS new_hash,
-             CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed'
+             CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed'
                   WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change
       FROM old o FULL OUTER JOIN new n ON o.repo_name = n.repo_name AND o.path = n.path)"""
 UPDATED_REPO = "src2"
@@ -436,22 +498,57 @@ def _diff_snapshots(spark, d):
     return diff_snapshots(old, new).select("repo_name", "path", "old_hash", "new_hash", "change")
 
 
+def _stored(spark, files):
+    """A store that holds these files (payload and one-number vectors)."""
+    from quarry.operators.lifecycle import registry_from_files
+    from quarry.session import scratch_path
+    from quarry.sources.store import IndexStore
+    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+    store.add(*_rows_of(files), registry_from_files(files), vec_col="embedding")
+    return store
+
+
+def _rows_of(files):
+    from quarry.operators.lifecycle import with_doc_id
+    from quarry.operators.records import index_payload
+    docs = index_payload(with_doc_id(files.drop("doc_id", "lang")))
+    return docs, docs.select("doc_id", "repo_name", F.array(F.col("size").cast("double")).alias("embedding"))
+
+
 @register("update_repo", f"""{_SNAP}
 SELECT repo_name, path, hash FROM old WHERE repo_name <> '{UPDATED_REPO}'
 UNION ALL SELECT repo_name, path, hash FROM new WHERE repo_name = '{UPDATED_REPO}'""")
 def _update_repo(spark, d):
-    from quarry.operators.lifecycle import update_repo
+    """Store the old snapshot, replace one repository, read the index."""
+    from quarry.operators.lifecycle import registry_from_files
     old, new = _snapshots(spark, d)
-    cols = ["repo_name", "path", "hash"]
-    return update_repo(old.select(*cols), new.select(*cols), UPDATED_REPO)
+    store = _stored(spark, old)
+    scan = new.where(F.col("repo_name") == UPDATED_REPO)
+    store.update(UPDATED_REPO, *_rows_of(scan), registry_from_files(scan), vec_col="embedding")
+    return store.visible("docs").select("repo_name", "path", "hash")
 
 
 @register("remove_repos", f"""{_SNAP}
-SELECT repo_name, path, hash FROM old WHERE repo_name NOT IN ({', '.join(repr(r) for r in REMOVED_REPOS)})""")
+SELECT repo_name, path, hash, size::DOUBLE AS vector FROM old WHERE repo_name NOT IN ({', '.join(repr(r) for r in REMOVED_REPOS)})""")
 def _remove_repos(spark, d):
-    from quarry.operators.lifecycle import names_frame, remove_repos
+    """Store the old snapshot, remove repositories, read what is left."""
     old, _ = _snapshots(spark, d)
-    return remove_repos(old.select("repo_name", "path", "hash"), names_frame(spark, REMOVED_REPOS))
+    store = _stored(spark, old)
+    store.remove(REMOVED_REPOS)
+    left = store.visible("vectors").select("doc_id", F.get("embedding", F.lit(0)).alias("vector"))
+    return store.visible("docs").join(left, "doc_id").select("repo_name", "path", "hash", "vector")
+
+
+@register("add_summary", f"""{_ELIG}
+SELECT repo_name, count(*) AS files_processed, count(*) AS documents_added FROM elig GROUP BY repo_name""")
+def _add_summary(spark, d):
+    """What adding every repository reports."""
+    from quarry.operators.lifecycle import registry_from_files
+    from quarry.session import scratch_path
+    from quarry.sources.store import IndexStore
+    files = _eligible(spark, d)
+    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+    return store.add(*_rows_of(files), registry_from_files(files), vec_col="embedding")
 
 
 @register("incremental_upsert", f"""{_SNAP},
@@ -464,7 +561,8 @@ def _incremental_upsert(spark, d):
     from quarry.operators.lifecycle import incremental_upsert
 
     def embed(files):
-        return embed_tf(files, "content", "doc_id", NB, keep=("repo_name", "path", "hash"))
+        keep = [c for c in ("repo_name", "path", "hash", "change") if c in files.columns]
+        return embed_tf(files, "content", "doc_id", NB, keep=keep, partitions=_tasks(spark))
 
     old, new = _snapshots(spark, d)
     idx = incremental_upsert(embed(old), new, embed)
@@ -472,13 +570,26 @@ def _incremental_upsert(spark, d):
 
 
 @register("index_append", f"""{_ELIG}
-SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash FROM elig""")
+SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash, true AS stamped FROM elig""")
 def _index_append(spark, d):
+    """Add every repository to a new store and read the payload back."""
     from quarry.functions.text import content_hash
-    from quarry.operators.lifecycle import doc_id
-    from quarry.operators.records import index_payload
-    rows = index_payload(_eligible(spark, d).withColumn("hash", content_hash("content")))
-    return rows.select(doc_id().alias("doc_id"), "repo_name", "path", "extension", "size", "hash")
+    store = _stored(spark, _eligible(spark, d).withColumn("hash", content_hash("content")))
+    return store.read("docs").select("doc_id", "repo_name", "path", "extension", "size", "hash", F.col("added_at").isNotNull().alias("stamped"))
+
+
+@register("union_indexes", f"""{_FILES}
+SELECT repo_name, path, lang FROM files""")
+def _union_indexes(spark, d):
+    """Scans of several roots (here: languages) into one stored index."""
+    from quarry.operators.lifecycle import registry_from_files
+    files = _files(spark, d).withColumn("repo_name", F.concat("lang", F.lit(":"), "repo_name"))
+    english = F.col("lang") == "en"
+    store = _stored(spark, files.where(english))
+    rest = files.where(~english)
+    store.add(*_rows_of(rest), registry_from_files(rest), vec_col="embedding")
+    lang, repo = F.element_at(F.split("repo_name", ":"), 1), F.element_at(F.split("repo_name", ":"), 2)
+    return store.visible("docs").select(repo.alias("repo_name"), "path", lang.alias("lang"))
 
 
 @register("join_vectors", """
@@ -518,38 +629,51 @@ def _registry_get(spark, d):
         "name", "source", "is_url", "files_processed")
 
 
-@register("corpus_stats", f"""{_REG}
+_STATS = f"""{_REG},
+l AS (SELECT extension, count(*) AS n FROM elig GROUP BY ALL)
 SELECT (SELECT count(*) FROM reg) AS total_repositories, (SELECT sum(files_processed) FROM reg)::BIGINT AS total_files,
-       (SELECT count(DISTINCT extension) FROM elig WHERE repo_name IN (SELECT name FROM reg)) AS n_languages""")
-def _corpus_stats(spark, d):
+       (SELECT count(*) FROM l) AS n_languages,
+       (SELECT '{{' || string_agg('"' || extension || '":' || n::VARCHAR, ',' ORDER BY extension) || '}}' FROM l) AS languages,
+       'spark-parquet' AS db_type, (SELECT count(*) FROM embeddings) AS total_documents,
+       (SELECT max(len(embedding)) FROM embeddings)::BIGINT AS vector_size,
+       (SELECT string_agg(name, ',' ORDER BY name) FROM reg) AS repositories"""
+
+
+def _stats(spark, d):
     from quarry.operators.aggregates import corpus_stats
-    return corpus_stats(_registry(spark, d), _eligible(spark, d))
+    return corpus_stats(_registry(spark, d), _eligible(spark, d), _emb(spark, d))
 
 
-@register("export_stats")
-def _export_stats(spark, d):
-    from quarry.operators.lifecycle import export_stats
-    return export_stats(_corpus_stats(spark, d))
+def _flat_stats(stats):
+    return stats.select("total_repositories", "total_files", "n_languages", F.to_json("languages").alias("languages"), "vector_db.*",
+                        F.array_join("repositories", ",").alias("repositories"))
+
+
+@register("corpus_stats", _STATS)
+def _corpus_stats(spark, d):
+    return _flat_stats(_stats(spark, d))
 
 
+@register("export_stats", _STATS)
+def _export_stats(spark, d):
+    """Write the statistics as a JSON document and read it back."""
+    from quarry.operators.lifecycle import export_stats, read_export
+    from quarry.session import scratch_path
+    stats, path = _stats(spark, d), scratch_path(spark, "export")
+    export_stats(stats, path)
+    return _flat_stats(read_export(spark, path, stats.schema))
 
 
 # ------------------------------------------------------------------ file trees
 # The doc* files written out as a real directory tree (by the executors,
-# into the shared checkpoint folder, once per scale factor), then scanned.
+# into a new folder of the shared checkpoint folder, every time), then
+# scanned.
 
-def _tree(spark, d) -> str:
-    import hashlib
-    import os
-
-    from quarry.session import checkpoint_dir
-    from quarry.sources.filetree import materialize_tree
-    root = f"{checkpoint_dir(spark).rstrip('/')}/tree-{hashlib.md5(d.encode()).hexdigest()[:10]}"
-    marker = os.path.join(root, "_READY")
-    if not os.path.exists(marker):
-        materialize_tree(_files(spark, d), f"{root}/data")
-        open(marker, "w").close()
-    return f"{root}/data"
+def _tree(spark, d, encoding="utf-8") -> str:
+    from quarry.plans.trees import fresh_tree, write_tree
+    root = f"{fresh_tree(spark)}/data"
+    write_tree(_files(spark, d), root, encoding)
+    return root
 
 
 _TREE_ELIG = f"""{_FILES}, elig AS (SELECT * FROM files WHERE strlen(content) <= {SIZE_CAP} AND {_EXT_SQL}
@@ -557,32 +681,45 @@ _TREE_ELIG = f"""{_FILES}, elig AS (SELECT * FROM files WHERE strlen(content) <=
 
 
 @register("scan_files", f"""{_TREE_ELIG}
-SELECT 'data' AS repo_name, path, extension, strlen(content)::BIGINT AS size, md5(content) AS hash FROM elig""")
+SELECT 'data' AS repo_name, path, extension, strlen(content)::BIGINT AS size, md5(content) AS hash, true AS dated FROM elig""")
 def _scan_files(spark, d):
     from quarry.sources.filetree import scan_files
     rec = scan_files(spark, _tree(spark, d), limit_bytes=SIZE_CAP)
-    return rec.select("repo_name", "path", "extension", "size", "hash")
+    return rec.select("repo_name", "path", "extension", "size", "hash", F.col("modified").isNotNull().alias("dated"))
 
 
 @register("scan_files_multi", f"""{_TREE_ELIG}
 SELECT repo_name, substr(path, length(repo_name) + 2) AS path, extension, strlen(content)::BIGINT AS size,
        md5(content) AS hash FROM elig""")
 def _scan_files_multi(spark, d):
-    import os
-
+    from quarry.operators.aggregates import repo_names
     from quarry.sources.filetree import scan_files
     root = _tree(spark, d)
-    names = sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n)))
-    rec = scan_files(spark, [(os.path.join(root, n), n) for n in names], limit_bytes=SIZE_CAP)
+    roots = repo_names(_files(spark, d)).select(F.concat(F.lit(root + "/"), "repo_name").alias("root"), "repo_name")
+    rec = scan_files(spark, roots, limit_bytes=SIZE_CAP)
     return rec.select("repo_name", "path", "extension", "size", "hash")
 
 
+@register("scan_rejects", f"""{_TREE_ELIG}
+SELECT path, 'FileNotFoundError' AS reason FROM elig WHERE doc_id % 10 = 4""")
+def _scan_rejects(spark, d):
+    """Files that vanish between listing and reading are reported."""
+    from quarry.plans.trees import remove_files
+    from quarry.sources.filetree import list_files, roots_frame, scan_rejects
+    root = _tree(spark, d)
+    listing = list_files(roots_frame(spark, [root]))
+    remove_files(_files(spark, d).where(F.col("doc_id") % 10 == 4), root)
+    return scan_rejects(listing).select("path", "reason")
+
+
 @register("decode_text", f"""{_TREE_ELIG}
-SELECT path, length(content)::BIGINT AS n_chars FROM elig""")
+SELECT path, length(content)::BIGINT AS n_chars, md5(content) AS hash FROM elig""")
 def _decode_text(spark, d):
+    """The tree in Latin-1 where a text allows it: those files are not
+    valid UTF-8 once they hold an accented letter."""
     from quarry.sources.filetree import scan_files
-    rec = scan_files(spark, _tree(spark, d), limit_bytes=SIZE_CAP)
-    return rec.select("path", F.length("content").cast("bigint").alias("n_chars"))
+    rec = scan_files(spark, _tree(spark, d, "latin-1"), limit_bytes=SIZE_CAP)
+    return rec.select("path", F.length("content").cast("bigint").alias("n_chars"), "hash")
 
 
 @register("read_snapshot", f"""{_ELIG}
@@ -609,25 +746,47 @@ def _stream_of(spark, d, name):
             .parquet(d.rstrip("/")))
 
 
-@register("stream_ingest", f"""WITH {_TF_SQL}
+@register("stream_ingest", f"""WITH tok AS (SELECT doc_id, unnest({_TOK.format(c='text')}) AS t FROM documents),
+tf AS (SELECT DISTINCT doc_id, {_BK} AS bucket FROM tok)
 SELECT doc_id, count(*) AS n_terms FROM tf GROUP BY doc_id""")
 def _stream_ingest(spark, d):
     from quarry.session import scratch_path
-    from quarry.streaming.ingest import run_available_now, stream_ingest
+    from quarry.streaming.ingest import latest_arrivals, run_available_now, stream_ingest
     sink, ckpt = scratch_path(spark, "ingest-sink"), scratch_path(spark, "ingest-ckpt")
     run_available_now(stream_ingest(_stream_of(spark, d, "documents"), sink, ckpt, num_buckets=NB))
-    return spark.read.parquet(sink).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"))
+    return latest_arrivals(spark.read.parquet(sink)).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"))
+
+
+_FIRST_ARRIVALS = """
+SELECT event_id, user_id, event_type FROM (
+  SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events) t
+WHERE before IS NULL OR ts >= before + INTERVAL 1 DAY"""
+DEDUPE_KEYS = ["user_id", "event_type"]
+DEDUPE_BATCHES = 4
 
 
-@register("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")
+@register("dedupe_arrivals", _FIRST_ARRIVALS)
+def _dedupe_arrivals(spark, d):
+    from quarry.streaming.ingest import dedupe_arrivals
+    return dedupe_arrivals(load(spark, d, "events"), DEDUPE_KEYS).select("event_id", "user_id", "event_type")
+
+
+@register("stream_dedupe", _FIRST_ARRIVALS)
 def _stream_dedupe(spark, d):
+    """The events in time order, as several micro-batches."""
     from quarry.session import scratch_path
     from quarry.streaming.ingest import dedupe_arrivals, run_available_now
+    events, source = load(spark, d, "events"), scratch_path(spark, "dedupe-source")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / DEDUPE_BATCHES for i in range(1, DEDUPE_BATCHES)]).alias("c")).first()["c"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    slice_ = sum(((at >= F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    for i in range(DEDUPE_BATCHES):                 # one file each, written one after the other
+        events.where(slice_ == i).coalesce(1).write.mode("append").parquet(source)
     sink, ckpt = scratch_path(spark, "dedupe-sink"), scratch_path(spark, "dedupe-ckpt")
-    stream = dedupe_arrivals(_stream_of(spark, d, "events"), ["user_id", "event_type", "props"])
-    run_available_now(stream.writeStream.format("parquet").option("path", sink)
+    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_available_now(dedupe_arrivals(arrivals, DEDUPE_KEYS).writeStream.format("parquet").option("path", sink)
                       .option("checkpointLocation", ckpt).outputMode("append"))
-    return spark.read.parquet(sink).select("user_id", "event_type", "props")
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
 @register("stream_search", ORACLE_SQL["search_text"])
@@ -648,14 +807,35 @@ def _stream_search(spark, d):
 
 
 # ------------------------------------------------------------------ approximate
-# Random-projection LSH candidates, exactly re-ranked.  Approximate by
-# design, so no SQL twin: checked for recall against knn_cosine in tests.
+# Signed random projections: buckets are stored once and joined.  The bucket
+# rule is plain arithmetic, so the SQL twin has the same candidates; recall
+# against exact search is tested.  Queries: every row whose id divides by 20.
+
+LSH_EVERY = 20
+
 
-@register("knn_lsh")
+def _lsh_sql() -> str:
+    p, n = K.planes(64), K.LSH_BITS
+    codes = ", ".join(
+        "[" + " + ".join(f"(CASE WHEN list_dot_product(v, [{', '.join(str(x) for x in p[t * n + b])}]) >= 0 THEN {1 << b} ELSE 0 END)"
+                         for b in range(n)) + f", {t}]" for t in range(K.LSH_TABLES))
+    return f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_dot_product(embedding, embedding) > 0),
+b AS (SELECT vec_id, v, unnest([{codes}]) AS k FROM e),
+c AS (SELECT DISTINCT q.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(q.v, b.v), 6) AS score
+      FROM b q JOIN b ON q.k = b.k WHERE q.vec_id % {LSH_EVERY} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM c)
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= {K_HITS}"""
+
+
+@register("knn_lsh", _lsh_sql())
 def _knn_lsh(spark, d):
+    from quarry.session import scratch_path
     emb = _emb(spark, d)
-    probe = _probe(emb).select("embedding").first()[0]      # one vector
-    return K.knn_lsh(emb, probe, k=K_HITS, id_col="vec_id").select("vec_id", "score")
+    path = scratch_path(spark, "lsh-index")
+    K.lsh_index(emb, 64, "vec_id").write.partitionBy("tab").parquet(path)
+    queries = emb.where(F.col("vec_id") % LSH_EVERY == 0)
+    return K.knn_lsh(queries, spark.read.parquet(path), 64, K_HITS, q_id="vec_id", c_id="vec_id", digits=DIGITS)
 
 
 FLAGSHIP = "search_text"

@@ -2,5 +2,5 @@
 the file-tree data source, snapshot JSON and the partitioned index store."""
 
 from quarry.sources.tables import (  # noqa: F401
-    documents_as_files, embeddings_as_index, load, pages_as_files, query_turns,
+    documents_as_files, load, pages_as_files, query_turns,
 )

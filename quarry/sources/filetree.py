@@ -2,23 +2,24 @@
 
 A listing is a DataFrame job, not a driver loop:
 
-1. roots (root, repo_name) -> ``mapInPandas`` lists ``expand_depth``
-   directory levels breadth-first; each level's frontier is checkpointed
-   (reliable checkpoint in the shared folder) and repartitioned, so one
-   huge repository is split into many subtree walks instead of one task.
-2. each remaining subtree is walked in its own task (path, size, mtime
-   only - no bytes).
-3. eligibility (ignored directories on the *relative* path, extension
+1. roots (root, repo_name) -> ``mapInPandas`` walks directories.  A task
+   lists at most ``budget`` directories of what it was given and hands the
+   rest back; what is handed back is written to the shared folder, dealt
+   anew and walked in the next round, until nothing is left.  So a deep or
+   wide repository spreads over tasks, and every directory is listed once.
+2. eligibility (ignored directories on the *relative* path, extension
    allow-list, size cap) is applied to the listing, before any byte is
    read; ignored directories are also pruned while walking.
-4. eligible files are hash-repartitioned by path and read in bounded
-   Arrow batches; decoding, newline normalisation and hashing happen in
-   JVM expressions (:func:`quarry.operators.records.file_records`).
+3. eligible files are dealt by path and read in bounded batches; size and
+   time of the listing travel with them, so nothing is joined back;
+   decoding, newline normalisation and hashing happen in JVM expressions
+   (:func:`quarry.operators.records.file_records`).
 
 Files must live on storage every executor can see under the same path.
-Dot-files, ``_``-files and empty files are listed (Spark's ``binaryFile``
-source would drop the first two kinds); empty contents are dropped at the
-record stage.  Unreadable files become rows of :func:`read_rejects`.
+Links to directories are not followed (they can form cycles); links to
+files are read.  Dot-files, ``_``-files and empty files are listed; empty
+contents are dropped at the record stage.  What cannot be listed or read
+comes out of :func:`scan_rejects`.
 """
 
 from __future__ import annotations
@@ -47,63 +48,68 @@ ENTRY = T.StructType([
 ])
 CONTENT = T.StructType([
     T.StructField("repo_name", T.StringType()),
-    T.StructField("root", T.StringType()),
     T.StructField("path", T.StringType()),
+    T.StructField("full_path", T.StringType()),
+    T.StructField("size", T.LongType()),
+    T.StructField("modified", T.TimestampType()),
     T.StructField("raw", T.BinaryType()),
     T.StructField("error", T.StringType()),
 ])
 BATCH_BYTES = 32 << 20
+CHUNK_ROWS = 10_000
 
 
 def validate_root(path: str) -> str:
     """A scan root must be an existing directory."""
     if not os.path.isdir(path):
-        raise ValueError(f"Directory does not exist or is not a directory: {path}")
+        raise ValueError(f"cannot scan {path!r}: no such directory")
     return os.path.abspath(path)
 
 
-def _entries(repo, root, rel, ignore, recursive):
-    """List one directory (or walk it fully when ``recursive``)."""
-    out = []
-    stack = [rel]
-    while stack:
-        cur = stack.pop()
-        d = os.path.join(root, cur) if cur else root
-        try:
-            with os.scandir(d) as it:
-                items = list(it)
-        except OSError as e:
-            out.append((repo, root, cur, "e", None, None, f"{type(e).__name__}: {e}"))
-            continue
-        for ent in items:
-            r = f"{cur}/{ent.name}" if cur else ent.name
-            try:
-                if ent.is_dir(follow_symlinks=True):
-                    if ent.name in ignore:
-                        continue
-                    if recursive:
-                        stack.append(r)
-                    else:
-                        out.append((repo, root, r, "d", None, None, None))
-                elif ent.is_file(follow_symlinks=True):
-                    st = ent.stat(follow_symlinks=True)
-                    out.append((repo, root, r, "f", int(st.st_size), float(st.st_mtime), None))
-            except OSError as e:   # vanished or unreadable entry: dropped, reported
-                out.append((repo, root, r, "e", None, None, f"{type(e).__name__}: {e}"))
-    return out
-
-
-def _lister(ignore: frozenset, recursive: bool):
+def _list_directory(repo, root, rel, ignore):
+    """Entries of one directory: files, sub-directories ('d') and errors."""
+    d = os.path.join(root, rel) if rel else root
+    try:
+        with os.scandir(d) as it:
+            for ent in it:
+                r = f"{rel}/{ent.name}" if rel else ent.name
+                try:
+                    if ent.is_dir(follow_symlinks=False):
+                        if ent.name not in ignore:
+                            yield (repo, root, r, "d", None, None, None)
+                    elif ent.is_file(follow_symlinks=True):
+                        st = ent.stat(follow_symlinks=True)
+                        yield (repo, root, r, "f", int(st.st_size), float(st.st_mtime), None)
+                except OSError as e:
+                    yield (repo, root, r, "e", None, None, type(e).__name__)
+    except OSError as e:
+        yield (repo, root, rel, "e", None, None, type(e).__name__)
+
+
+def _lister(ignore: frozenset, budget: int):
     cols = [f.name for f in ENTRY.fields]
 
+    def frame(rows):
+        return pd.DataFrame(rows, columns=cols).astype({"size": "Int64", "mtime": "float64"})
+
     def run(batches):
+        rows, listed = [], 0
         for pdf in batches:
-            rows = []
             for repo, root, rel in zip(pdf["repo_name"], pdf["root"], pdf["rel"]):
-                rows.extend(_entries(repo, root, rel, ignore, recursive))
-            yield pd.DataFrame(rows, columns=cols).astype({"size": "Int64"}) if rows else \
-                pd.DataFrame({c: pd.Series([], dtype=object) for c in cols}).astype(
-                    {"size": "Int64", "mtime": "float64"})
+                todo = [rel]
+                while todo and (listed < budget or todo == [rel]):       # at least the directory that was given
+                    listed += 1
+                    for entry in _list_directory(repo, root, todo.pop(), ignore):
+                        if entry[3] == "d":
+                            todo.append(entry[2])
+                        else:
+                            rows.append(entry)
+                        if len(rows) >= CHUNK_ROWS:
+                            yield frame(rows)
+                            rows = []
+                rows.extend((repo, root, r, "d", None, None, None) for r in todo)
+        if rows:
+            yield frame(rows)
 
     return run
 
@@ -118,58 +124,58 @@ def roots_frame(spark: SparkSession, roots: Sequence[tuple[str, str] | str]) ->
     return spark.createDataFrame(rows, "root string, repo_name string")
 
 
-def list_files(roots: DataFrame, ignore: Iterable[str] = config.IGNORE_DIRS, expand_depth: int = 2,
+def list_files(roots: DataFrame, ignore: Iterable[str] = config.IGNORE_DIRS, budget: int = 2000,
                parallelism: int | None = None) -> DataFrame:
     """All regular files below each root: repo_name, root, path (relative),
     full_path, size, modified; plus kind='e' rows for listing errors."""
-    from quarry.session import checkpoint_dir, ship_package
+    from quarry.session import scratch_path, ship_package
 
     spark = roots.sparkSession
-    checkpoint_dir(spark)       # levels are cut with reliable checkpoints
     ship_package(spark)
     ign = frozenset(ignore)
     n = parallelism or spark.sparkContext.defaultParallelism
+    base = scratch_path(spark, "listing")
     frontier = roots.select("repo_name", "root", F.lit("").alias("rel"))
-    found = []
-    for _ in range(expand_depth):
-        level = frontier.repartition(n).mapInPandas(_lister(ign, False), ENTRY).checkpoint(eager=True)
-        found.append(level.where(F.col("kind") != "d"))
-        frontier = level.where(F.col("kind") == "d").select("repo_name", "root", "rel")
-    found.append(frontier.repartition(n).mapInPandas(_lister(ign, True), ENTRY))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    rounds = 0
+    while rounds == 0 or frontier.take(1):
+        frontier.repartition(n).mapInPandas(_lister(ign, budget), ENTRY).write.parquet(f"{base}/round={rounds}")
+        frontier = (spark.read.schema(ENTRY).parquet(f"{base}/round={rounds}").where(F.col("kind") == "d").select("repo_name", "root", "rel"))
+        rounds += 1
+    out = spark.read.schema(ENTRY).parquet(*[f"{base}/round={i}" for i in range(rounds)]).where(F.col("kind") != "d")
     return out.select(
         "repo_name", "root", F.col("rel").alias("path"),
         F.concat(F.col("root"), F.lit("/"), F.col("rel")).alias("full_path"),
         "size", F.timestamp_seconds("mtime").alias("modified"), "kind", "error")
 
 
-def _reader(batch_bytes: int):
+def _reader(batch_bytes: int, keep_bytes: bool):
+    cols = [f.name for f in CONTENT.fields]
+
     def run(batches):
         rows, acc = [], 0
         for pdf in batches:
-            for repo, root, path in zip(pdf["repo_name"], pdf["root"], pdf["path"]):
+            for repo, path, full, size, modified in zip(pdf["repo_name"], pdf["path"], pdf["full_path"], pdf["size"], pdf["modified"]):
+                data, error = None, None
                 try:
-                    with open(os.path.join(root, path), "rb") as fh:
+                    with open(full, "rb") as fh:
                         data = fh.read()
-                    rows.append((repo, root, path, data, None))
                     acc += len(data)
                 except OSError as e:
-                    rows.append((repo, root, path, None, f"{type(e).__name__}: {e}"))
-                if acc >= batch_bytes:
-                    yield pd.DataFrame(rows, columns=[f.name for f in CONTENT.fields])
+                    error = type(e).__name__
+                rows.append((repo, path, full, size, modified, data if keep_bytes else None, error))
+                if acc >= batch_bytes or len(rows) >= CHUNK_ROWS:
+                    yield pd.DataFrame(rows, columns=cols)
                     rows, acc = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=[f.name for f in CONTENT.fields])
+            yield pd.DataFrame(rows, columns=cols)
 
     return run
 
 
-def scan_listing(listing: DataFrame, allowed=config.SUPPORTED_EXTENSIONS, ignore=config.IGNORE_DIRS,
-                 limit_bytes: int | None = None, parallelism: int | None = None,
-                 batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Eligible files of a listing, read and turned into file records."""
+def read_listed(listing: DataFrame, allowed=config.SUPPORTED_EXTENSIONS, ignore=config.IGNORE_DIRS, limit_bytes: int | None = None,
+                parallelism: int | None = None, batch_bytes: int = BATCH_BYTES, keep_bytes: bool = True) -> DataFrame:
+    """Eligible files of a listing with their bytes, or the error that
+    reading them gave."""
     from quarry.session import ship_package
 
     spark = listing.sparkSession
@@ -177,45 +183,29 @@ def scan_listing(listing: DataFrame, allowed=config.SUPPORTED_EXTENSIONS, ignore
     n = parallelism or spark.sparkContext.defaultParallelism
     files = listing.where(F.col("kind") == "f").withColumn("extension", path_extension("path"))
     files = eligible_files(files, allowed, ignore, max_bytes() if limit_bytes is None else limit_bytes)
-    meta = files.select("repo_name", "root", "path", "full_path", "size", "modified")
-    raw = (meta.select("repo_name", "root", "path").repartition(n, "path")
-           .mapInPandas(_reader(batch_bytes), CONTENT))
-    got = raw.where(F.col("error").isNull()).join(meta, ["repo_name", "root", "path"], "inner")
+    return (files.select("repo_name", "path", "full_path", "size", "modified").repartition(n, "path")
+            .mapInPandas(_reader(batch_bytes, keep_bytes), CONTENT))
+
+
+def scan_listing(listing: DataFrame, **kw) -> DataFrame:
+    """Eligible files of a listing, read and turned into file records."""
+    got = read_listed(listing, **kw).where(F.col("error").isNull())
     return file_records(got, raw_col="raw", keep=("repo_name",))
 
 
+def scan_rejects(listing: DataFrame, **kw) -> DataFrame:
+    """What a scan of this listing cannot deliver: entries that could not be
+    listed and eligible files that could not be read (repo_name, path, reason)."""
+    listed = listing.where(F.col("kind") == "e").select("repo_name", "path", F.col("error").alias("reason"))
+    unread = read_listed(listing, keep_bytes=False, **kw).where(F.col("error").isNotNull())
+    return listed.unionByName(unread.select("repo_name", "path", F.col("error").alias("reason")))
+
+
 def scan_files(spark: SparkSession, roots, **kw) -> DataFrame:
     """File records for one root or many (S1/S3): ``roots`` is a path, a
     list of paths or (path, repo_name) pairs, or a roots DataFrame."""
     if isinstance(roots, str):
         roots = [roots]
     rdf = roots if isinstance(roots, DataFrame) else roots_frame(spark, roots)
-    depth = kw.pop("expand_depth", 2)
-    listing = list_files(rdf, kw.get("ignore", config.IGNORE_DIRS), depth)
+    listing = list_files(rdf, kw.get("ignore", config.IGNORE_DIRS))
     return scan_listing(listing, **kw)
-
-
-def read_rejects(listing: DataFrame) -> DataFrame:
-    """Listing errors (path, reason) as a side output."""
-    return listing.where(F.col("kind") == "e").select("repo_name", "path", F.col("error").alias("reason"))
-
-
-def materialize_tree(files: DataFrame, root: str, path_col: str = "path", content_col: str = "content") -> int:
-    """Write each row's content to ``root/<path>`` from the executors (a
-    fixture builder for tests and the registered scan queries; the folder
-    must be visible to every executor).  Returns the number of files."""
-    def write(it):
-        n = 0
-        for pdf in it:
-            for p, c in zip(pdf[path_col], pdf[content_col]):
-                full = os.path.join(root, p)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as fh:
-                    fh.write(c.encode("utf-8") if isinstance(c, str) else c)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    from quarry.session import ship_package
-
-    ship_package(files.sparkSession)
-    return files.select(path_col, content_col).mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0

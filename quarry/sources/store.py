@@ -1,32 +1,33 @@
-"""Partitioned Parquet index store: add, replace, remove, wipe.
+"""Index store on plain partitioned Parquet: add, update, remove, wipe.
 
 Layout under ``root``: ``docs`` (payload), ``vectors`` (id, repo_name and
 vector columns, no content, so searches never scan text) and ``registry``
-(one row per repository), each partitioned by ``part`` =
-pmod(xxhash64(repo_name), num_parts).  Hashing repositories into a fixed
-number of partitions keeps the folder count bounded however many
-repositories there are.
-
-Changes are staged before anything is dropped: the new contents of every
-touched partition are first written to a staging folder in the shared
-checkpoint folder, then swapped in with dynamic partition overwrite;
-partitions left empty are deleted explicitly (an empty frame overwrites
-nothing).  Parquet gives no multi-table transaction, so the registry is
-written last and readers restrict to registered repositories
-(:meth:`IndexStore.visible`), which keeps a half-added repository
-invisible.
+(one row per repository), each partitioned by ``part`` (a hash of the
+repository, which bounds the entries of a folder) and ``repo_key`` (one
+folder per repository).  Adding or replacing a repository is a dynamic
+partition overwrite of its own folders and removing it drops them; other
+repositories are not read or rewritten, however large.  A filter on one
+repository prunes to its folder.
+
+The registry is written last and dropped first, and :meth:`IndexStore.visible`
+restricts to registered repositories, so a half-added one is not seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("docs", "vectors", "registry")
 
 
+def repo_key(repo) -> Column:
+    """Folder name of a repository: always text, safe in any path."""
+    return F.concat(F.lit("r"), F.md5(repo.cast("binary")))
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, num_parts: int = 256):
         self.spark, self.root, self.num_parts = spark, root.rstrip("/"), num_parts
@@ -36,29 +37,31 @@ class IndexStore:
         return f"{self.root}/{table}"
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, table: str) -> bool:
-        fs, p = self._fs(self.path(table))
-        return fs.exists(p)
+    def _folder(self, table: str, repo: str) -> str:
+        key, part = self.spark.range(1).select(repo_key(F.lit(repo)), self._part(F.lit(repo))).first()
+        return f"{self.path(table)}/part={part}/repo_key={key}"
 
-    def _part(self, repo_col: str = "repo_name"):
-        return F.pmod(F.xxhash64(F.col(repo_col)), F.lit(self.num_parts)).cast("int")
+    def _part(self, repo: Column) -> Column:
+        return F.pmod(F.xxhash64(repo), F.lit(self.num_parts)).cast("int")
 
     # ---------------------------------------------------------------- reads
-    def read(self, table: str) -> DataFrame | None:
-        """The table, or None when it holds no partition (never written,
-        wiped, or every repository removed)."""
+    def read(self, table: str, repo: str | None = None) -> DataFrame | None:
+        """The table (of one repository: only its folder), or None when it
+        holds nothing."""
         from pyspark.errors import AnalysisException
 
-        if not self._exists(table):
-            return None
         try:
-            return self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            return None
+            rows = self.spark.read.parquet(self.path(table))
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        if repo is not None:
+            rows = rows.where((F.col("repo_key") == repo_key(F.lit(repo))) & (F.col("part") == self._part(F.lit(repo))))
+        return rows.drop("part", "repo_key")
 
     def visible(self, table: str) -> DataFrame | None:
         """Rows of registered repositories only."""
@@ -69,67 +72,66 @@ class IndexStore:
 
     def repos(self) -> DataFrame | None:
         reg = self.read("registry")
-        return None if reg is None else reg.drop("part").withColumnRenamed("repo_name", "name").orderBy("name")
+        return None if reg is None else reg.withColumnRenamed("repo_name", "name").orderBy("name")
+
+    def has(self, repo: str) -> bool:
+        fs, p = self._fs(self._folder("registry", repo))
+        return fs.exists(p)
 
     # ---------------------------------------------------------------- writes
-    def _replace_parts(self, table: str, new_rows: DataFrame | None, repos: Iterable[str],
-                       repo_col: str = "repo_name") -> None:
-        """Replace all rows of ``repos`` in ``table`` by ``new_rows``."""
-        from quarry.session import scratch_path
-
-        repos = sorted(set(repos))
-        touched = self.spark.createDataFrame([(r,) for r in repos], f"{repo_col} string") \
-            .select(self._part(repo_col).alias("part")).distinct()
-        old = self.read(table)
-        parts = []
-        if old is not None:
-            kept = old.join(F.broadcast(touched), "part", "left_semi") \
-                      .where(~F.col(repo_col).isin(*repos))
-            parts.append(kept)
-        if new_rows is not None:
-            parts.append(new_rows.withColumn("part", self._part(repo_col)))
-        if not parts:
-            return
-        staged_df = parts[0]
-        for p in parts[1:]:
-            staged_df = staged_df.unionByName(p, allowMissingColumns=True)
-        stage = scratch_path(self.spark, f"stage-{table}")
-        staged_df.write.mode("overwrite").partitionBy("part").parquet(stage)
-        staged = self.spark.read.schema(staged_df.schema).parquet(stage)
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("part").parquet(self.path(table)))
-        # partitions that became empty: delete their folders explicitly
-        present = {r.part for r in staged.select("part").distinct().collect()}
-        for r in touched.collect():
-            if r.part not in present:
-                fs, p = self._fs(f"{self.path(table)}/part={r.part}")
-                if fs.exists(p):
-                    fs.delete(p, True)
-        fs, p = self._fs(stage)
-        fs.delete(p, True)
-
-    def add(self, docs: DataFrame, vectors: DataFrame, registry: DataFrame) -> int:
-        """Add or re-add repositories (idempotent: their old rows are
-        replaced, not duplicated).  Returns the number of documents
-        written, observed during the write (no extra count job)."""
-        from pyspark.sql import Observation
-
-        repos = [r.name for r in registry.select("name").distinct().collect()]
-        obs = Observation("added")
-        docs = docs.observe(obs, F.count(F.lit(1)).alias("n"))
-        self._replace_parts("docs", docs, repos)
-        self._replace_parts("vectors", vectors, repos)
-        self._replace_parts("registry", registry.withColumnRenamed("name", "repo_name"), repos)
-        return int(obs.get.get("n", 0))
-
-    def remove(self, repos: Iterable[str]) -> None:
-        repos = list(repos)
-        for t in ("registry", "docs", "vectors"):      # registry first: hide, then drop
-            if self._exists(t):
-                self._replace_parts(t, None, repos)
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        (rows.withColumn("part", self._part(F.col("repo_name"))).withColumn("repo_key", repo_key(F.col("repo_name")))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "repo_key").parquet(self.path(table)))
+
+    def add(self, docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None = None) -> DataFrame:
+        """Add or replace repositories; returns one summary row each
+        (repo_name, files_processed, documents_added).  A repository without
+        documents is refused, and vectors of another width than each other
+        or than the index has."""
+        registry = registry.withColumnRenamed("name", "repo_name")
+        empty = registry.join(docs.select("repo_name"), "repo_name", "left_anti").select("repo_name").limit(5).collect()
+        if empty:
+            raise ValueError(f"no files to index in {[r[0] for r in empty]}")
+        if vec_col is not None:
+            from quarry.operators.knn import vector_dims
+
+            both = vectors.select(vec_col)
+            if (old := self.read("vectors")) is not None:
+                both = both.union(old.select(vec_col))
+            if len(widths := vector_dims(both, vec_col).limit(3).collect()) > 1:
+                raise ValueError(f"vector widths differ: {sorted(r['dim'] for r in widths)}")
+        self._replace("docs", docs)
+        self._replace("vectors", vectors)
+        self._replace("registry", registry)
+        added = self.read("docs").groupBy("repo_name").agg(F.count(F.lit(1)).alias("documents_added"))
+        return registry.select("repo_name", "files_processed").join(added, "repo_name")
+
+    def update(self, repo: str, docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None = None) -> DataFrame:
+        """Replace one registered repository by a new scan of it."""
+        if not self.has(repo):
+            raise KeyError(f"repository {repo!r} is not in the index")
+        return self.add(docs, vectors, registry, vec_col)
+
+    def remove(self, repos: Iterable[str]) -> dict[str, bool]:
+        """Drop repositories, with the snapshots their registry rows name;
+        False for those that were not there."""
+        out = {}
+        for repo in repos:
+            out[repo] = self.has(repo)
+            if not out[repo]:
+                continue
+            row = self.read("registry", repo).limit(1).collect()
+            if row and row[0].asDict().get("data_file"):
+                fs, p = self._fs(row[0]["data_file"])
+                fs.delete(p, True)
+            for t in ("registry", "docs", "vectors"):
+                fs, p = self._fs(self._folder(t, repo))
+                fs.delete(p, True)
+        return out
 
     def wipe(self) -> None:
+        """Drop everything and leave an empty store."""
         for t in TABLES:
             fs, p = self._fs(self.path(t))
-            if fs.exists(p):
-                fs.delete(p, True)
+            fs.delete(p, True)
+            fs.mkdirs(p)

@@ -40,13 +40,13 @@ def derived_path(doc_id="doc_id", source="source"):
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
     """documents -> file records: repo_name=source, content=text,
-    size=n_chars, path derived per :func:`derived_path`."""
+    size=bytes of the text, path derived per :func:`derived_path`."""
     return docs.select(
         "doc_id",
         F.col("source").alias("repo_name"),
         derived_path().alias("path"),
         F.col("text").alias("content"),
-        F.col("n_chars").alias("size"),
+        F.octet_length("text").cast("bigint").alias("size"),
         "lang",
     ).withColumn("extension", path_extension("path"))
 
@@ -65,17 +65,9 @@ def pages_as_files(pages: DataFrame) -> DataFrame:
     )
 
 
-def embeddings_as_index(emb: DataFrame) -> DataFrame:
-    """embeddings -> index vectors: doc_id=vec_id, repo_name=label."""
-    return emb.select(
-        F.col("vec_id").alias("doc_id"),
-        F.col("label").cast("string").alias("repo_name"),
-        "embedding",
-    )
-
-
 def query_turns(conv: DataFrame) -> DataFrame:
-    """conversations -> a batch of text queries: every user turn."""
+    """conversations -> a batch of text queries: every user turn, with
+    "conversation/turn" as its id."""
     return conv.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query")
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.col("text").alias("query")
     )

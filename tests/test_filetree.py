@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from quarry.sources.filetree import list_files, read_rejects, roots_frame, scan_files, validate_root
+from quarry.sources.filetree import list_files, roots_frame, scan_files, scan_rejects, validate_root
 
 MIB = 1024 * 1024
 
@@ -68,7 +68,7 @@ def test_multi_root_and_names(spark, tmp_path):
     assert got == [("b", "x.py"), ("first", "x.py")]
 
 
-def test_deep_tree_is_split_across_levels(spark, tmp_path):
+def test_deep_tree_is_split_into_rounds(spark, tmp_path):
     root = str(tmp_path / "deep")
     for i in range(5):
         for j in range(3):
@@ -76,9 +76,27 @@ def test_deep_tree_is_split_across_levels(spark, tmp_path):
             os.makedirs(d)
             with open(os.path.join(d, "m.py"), "w") as fh:
                 fh.write(f"{i}{j}")
-    lst = list_files(roots_frame(spark, [root]), expand_depth=2)
-    assert lst.where("kind = 'f'").count() == 15
-    assert read_rejects(lst).count() == 0
+    for budget in (1, 3, 2000):                            # directories a task lists before it hands back the rest
+        lst = list_files(roots_frame(spark, [root]), budget=budget)
+        paths = [r.path for r in lst.where("kind = 'f'").collect()]
+        assert len(paths) == len(set(paths)) == 15
+    assert scan_rejects(lst).count() == 0
+
+
+def test_links_and_lost_files(spark, tmp_path):
+    root = str(tmp_path / "links")
+    os.makedirs(os.path.join(root, "a"))
+    for name in ("x.py", "a/y.py", "a/gone.py"):
+        with open(os.path.join(root, name), "w") as fh:
+            fh.write(name)
+    os.symlink("..", os.path.join(root, "a", "loop"))     # a cycle
+    os.symlink("x.py", os.path.join(root, "z.py"))        # a link to a file is a file
+    os.symlink("nowhere", os.path.join(root, "broken.py"))
+    lst = list_files(roots_frame(spark, [root])).cache()
+    assert sorted(r.path for r in lst.where("kind = 'f'").collect()) == ["a/gone.py", "a/y.py", "x.py", "z.py"]
+    os.remove(os.path.join(root, "a", "gone.py"))
+    assert [(r.path, r.reason) for r in scan_rejects(lst).collect()] == [("a/gone.py", "FileNotFoundError")]
+    lst.unpersist()
 
 
 def test_validate_root(tmp_path):

@@ -54,8 +54,8 @@ def test_decode_latin1_fallback(spark):
 def test_repo_name_from_url(spark):
     urls = ["https://github.com/a/b.git", "https://github.com/a/b/", "https://github.com/a/my.github.io", "/x/y"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
-    strict = [r.n for r in df.select(T.repo_name_from_url("u").alias("n")).collect()]
-    clean = [r.n for r in df.select(T.repo_name_from_url("u", strict_compat=False).alias("n")).collect()]
+    strict = [r.n for r in df.select(T.repo_name_from_url("u", strict_compat=True).alias("n")).collect()]
+    clean = [r.n for r in df.select(T.repo_name_from_url("u").alias("n")).collect()]
     assert strict == [u.split("/")[-1].replace(".git", "") for u in urls]
     assert clean == ["b", "b", "my.github.io", "y"]
 

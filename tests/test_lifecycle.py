@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarry.operators import lifecycle as L
@@ -28,35 +30,79 @@ def test_incremental_upsert_equals_full_rebuild(spark):
         return embed_tf(f.withColumn("doc_id", L.doc_id()), "content", "doc_id", 64,
                         keep=("repo_name", "path", "hash"))
 
-    inc = L.incremental_upsert(embed(old), new, embed).drop("change")
+    def embed_delta(f):
+        return embed_tf(f.withColumn("doc_id", L.doc_id()), "content", "doc_id", 64, keep=("repo_name", "path", "hash", "change"))
+
+    inc = L.incremental_upsert(embed(old), new, embed_delta).drop("change")
     full = embed(new)
     norm = lambda df: sorted((r.path, r.hash, tuple(r.terms), tuple(round(w, 9) for w in r.weights))
                              for r in df.collect())
     assert norm(inc) == norm(full)
 
 
+def test_null_hashes_and_names(spark):
+    rows = [("r", "a", None), ("r", "b", "x")]
+    old = spark.createDataFrame(rows, "repo_name string, path string, hash string")
+    new = spark.createDataFrame([*rows, ("r", "c", None)], "repo_name string, path string, hash string")
+    got = {(r.path, r.change) for r in L.diff_snapshots(old, new).collect()}
+    assert got == {("a", "unchanged"), ("b", "unchanged"), ("c", "added")}
+    index = spark.createDataFrame([(None, "n"), ("x", "p"), ("y", "q")], "repo_name string, path string")
+    kept = L.update_repo(index, index.limit(0), "x").collect()
+    assert sorted(r.path for r in kept) == ["n", "q"]
+
+
+def test_upsert_plan_has_one_full_join(spark):
+    old = files_df(spark, [("r", "a", "1")]).withColumn("v", F.lit(1))
+    out = L.incremental_upsert(old, old.drop("v"), lambda f: f.withColumn("v", F.lit(2)))
+    assert [(r.path, r.v, r.change) for r in out.collect()] == [("a", 1, "unchanged")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()       # joined once, before
+
+
 def test_store_lifecycle_invariants(spark, scratch):
     store = IndexStore(spark, scratch + "/idx", num_parts=4)
 
-    def repo(name, paths):
+    def repo(name, paths, width=1):
         f = files_df(spark, [(name, p, f"{name}:{p}") for p in paths]).withColumn("doc_id", L.doc_id())
-        return f, f.select("doc_id", "repo_name", F.array(F.lit(1.0)).alias("embedding")), \
-            L.registry_from_files(f)
+        vectors = f.select("doc_id", "repo_name", F.array(*[F.lit(1.0)] * width).alias("embedding"))
+        return f, vectors, L.registry_from_files(f)
 
-    assert store.add(*repo("r1", ["a", "b"])) == 2
-    assert store.add(*repo("r2", ["c"])) == 1
-    assert store.add(*repo("r1", ["a", "b"])) == 2                       # idempotent re-add
+    summary = lambda df: [tuple(r) for r in df.collect()]
+    assert summary(store.add(*repo("r1", ["a", "b"]), vec_col="embedding")) == [("r1", 2, 2)]
+    assert summary(store.add(*repo("2024", ["c"]), vec_col="embedding")) == [("2024", 1, 1)]
+    assert summary(store.add(*repo("r1", ["a", "b"]))) == [("r1", 2, 2)]                # idempotent re-add
     assert store.read("docs").count() == 3
-    store.add(*repo("r1", ["z"]))                                        # update = replace
+    store.update("r1", *repo("r1", ["z"]))                                             # update = replace
     assert sorted(r.path for r in store.read("docs").collect()) == ["c", "z"]
     assert sorted(r.path for r in store.visible("vectors").join(store.read("docs"), "doc_id").collect()) == ["c", "z"]
-    store.remove(["r1"])
+    one = store.read("docs", "2024")
+    assert [r.path for r in one.collect()] == ["c"]
+    assert "PartitionFilters: []" not in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="no files"):
+        store.add(*repo("r3", ["x"])[:2], repo("empty", ["y"])[2])
+    with pytest.raises(ValueError, match="width"):
+        store.add(*repo("r3", ["x"], width=2), vec_col="embedding")
+    with pytest.raises(KeyError):
+        store.update("unknown", *repo("unknown", ["x"]))
+    assert store.remove(["r1", "unknown"]) == {"r1": True, "unknown": False}
     assert [r.path for r in store.read("docs").collect()] == ["c"]
-    assert [r.name for r in store.repos().collect()] == ["r2"]
-    store.remove(["r2"])
-    assert store.read("docs") is None or store.read("docs").count() == 0
-    store.wipe()
+    assert [r.name for r in store.repos().collect()] == ["2024"]
+    store.remove(["2024"])
     assert store.read("docs") is None
+    store.add(*repo("r1", ["a"]))
+    store.wipe()
+    assert store.read("docs") is None and store.repos() is None
+
+
+def test_payload_defaults(spark):
+    from quarry.operators.records import index_payload, with_repo_name
+
+    docs = spark.createDataFrame([("a.py", "text", None, None)], "path string, content string, repo_name string, size long")
+    row = index_payload(docs).first()
+    assert (row.repo_name, row.extension, row.size, row.hash) == ("unknown", "", 0, "") and row.added_at is not None
+    with pytest.raises(Exception, match="without content"):
+        index_payload(spark.createDataFrame([("a.py", None)], "path string, content string")).collect()
+    assert with_repo_name(docs, "", F.lit("derived")).first().repo_name == "derived"
+    assert with_repo_name(docs, "given", F.lit("derived")).first().repo_name == "given"
 
 
 def test_snapshot_roundtrip_and_nested(spark, scratch):
