@@ -40,7 +40,7 @@ RULES = (
     Rule("repeat_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 18 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("dup_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("dup_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines"),      # a heading or two may repeat
     Rule("shouting", "100 * n_upper > 50 * n_letters"),
 )
 
