@@ -51,12 +51,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A subfolder of the shared checkpoint folder for written tables,
-    stream checkpoints and sinks."""
+    stream checkpoints and sinks.  Results are lazy and read it, so it stays
+    until :func:`clear_scratch`."""
     import uuid
 
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that :func:`scratch_path` gave out in this session,
+    once their results have been used.  Returns how many there were."""
+    sc = spark.sparkContext
+    gone = 0
+    while _SCRATCH:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 _SHIPPED: set[int] = set()

@@ -21,3 +21,11 @@ def spark():
 @pytest.fixture()
 def scratch(tmp_path):
     return str(tmp_path)
+
+
+@pytest.fixture(autouse=True, scope="module")
+def _clear_scratch(spark):
+    yield
+    from quarry.session import clear_scratch
+
+    clear_scratch(spark)
