@@ -18,8 +18,9 @@ Coding a token (model state per block):
 * if it is wrong, the id is coded by the order-0 distribution.
 
 Both go through a range coder (48-bit low, 16-bit words; carries are
-resolved when a block ends).  All arithmetic is on integers, so a reader
-gets exactly the writer's model.  All blocks of a segment are coded in step
+resolved when a block ends).  The model uses integers and single IEEE
+additions and multiplications only (logarithms come from tables whose
+checksum is stored), so a reader gets exactly the writer's model.  All blocks of a segment are coded in step
 with NumPy, one lane each.
 
 Edge cases: a null or empty text is only the end id; texts of any length are
@@ -62,7 +63,7 @@ def _logistic_tables() -> tuple[np.ndarray, np.ndarray]:
     top = 1 << _BITS
     stretch = [max(-2047, min(2047, round(256 * math.log((p + 0.5) / (top - p - 0.5))))) for p in range(top)]
     squash = [max(16, min(top - 16, round(top / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)]
-    return np.array(stretch, np.int64), np.array(squash, np.int64)
+    return np.array(stretch, np.float32), np.array(squash, np.int32)
 
 
 _STRETCH, _SQUASH = _logistic_tables()
@@ -112,54 +113,59 @@ class Model:
     """Predictions for one step of all lanes; reset by construction."""
 
     def __init__(self, lanes: int, freq: np.ndarray):
-        self.prior = _order0_stretch(freq)
+        self.prior = _order0_stretch(freq).astype(np.float32)
         self.t1 = np.zeros(lanes * _SLOTS, np.int32)          # predicted id << 3 | confidence
         self.t2 = np.zeros(lanes * _SLOTS, np.int32)
-        self.rate1 = np.full(lanes * 16, 1 << 15, np.int64)
-        self.rate2 = np.full(lanes * 8, 1 << 15, np.int64)
+        self.rate1 = np.full(lanes * 16, 1 << 15, np.int32)
+        self.rate2 = np.full(lanes * 8, 1 << 15, np.int32)
         for i in range(8):                                    # start: more past hits, more trust
             self.rate2[i::8] = (6 + 7 * i) << 10
             self.rate1[2 * i::16] = (2 + 2 * i) << 10
             self.rate1[2 * i + 1::16] = (4 + 7 * i) << 10
-        self.w0, self.w1, self.w2 = (np.full(lanes, w, np.int64) for w in (1 << 13, 3 << 14, 3 << 14))
+        self.w0, self.w1, self.w2 = (np.full(lanes, w, np.float32) for w in (0.125, 0.75, 0.75))
         lane = np.arange(lanes, dtype=np.int64)
         self.slot0, self.row1, self.row2 = lane * _SLOTS, lane * 16, lane * 8
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id, 16-bit probability that it is right)."""
+        """(predicted id, 12-bit probability that it is right)."""
         self.i1 = self.slot0 + ((last * 40503 >> 5) & (_SLOTS - 1))
-        self.i2 = self.slot0 + (((last * 0x9E3779B1 ^ before * 0x85EBCA6B) >> 15) & (_SLOTS - 1))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, c2 = self.e1 >> 3, self.e2 >> 3
-        self.c2 = c2
-        n1, n2 = self.e1 & 7, self.e2 & 7
-        guess = np.where(n2 > 0, c2, self.c1)
-        self.k1 = self.row1 + (n1 * 2 + (self.c1 == guess))
+        self.i2 = self.slot0 + (((last * 0x1E3779B1 ^ before * 0x05EBCA6B) >> 15) & (_SLOTS - 1))
+        e1, e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
+        c1, c2 = e1 >> 3, e2 >> 3
+        n1, n2 = e1 & 7, e2 & 7
+        guess = np.where(n2, c2, c1)
+        self.k1 = self.row1 + (n1 + n1 + (c1 == guess))
         self.k2 = self.row2 + n2
-        self.p1, self.p2 = self.rate1[self.k1], self.rate2[self.k2]
-        self.s1, self.s2, self.s0 = _STRETCH[self.p1 >> 4], _STRETCH[self.p2 >> 4], self.prior[guess]
-        mix = (self.w0 * self.s0 + self.w1 * self.s1 + self.w2 * self.s2) >> 16
-        self.p = _SQUASH[np.minimum(np.maximum(mix, -2047), 2047) + 2047]
-        return guess, self.p << 4
+        self.p1, self.p2 = self.rate1.take(self.k1, mode="clip"), self.rate2.take(self.k2, mode="clip")
+        self.s1, self.s2 = _STRETCH.take(self.p1 >> 4, mode="clip"), _STRETCH.take(self.p2 >> 4, mode="clip")
+        self.s0 = self.prior.take(guess, mode="clip")
+        mix = self.w0 * self.s0
+        mix += self.w1 * self.s1
+        mix += self.w2 * self.s2
+        mix += np.float32(2047)
+        self.p = _SQUASH.take(mix.astype(np.int32), mode="clip")
+        self.e1, self.e2, self.c1, self.c2, self.n1, self.n2 = e1, e2, c1, c2, n1, n2
+        return guess, self.p
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
-        up = hit.astype(np.int64)
-        err = (up << _BITS) - self.p
-        self.w0 += (self.s0 * err + 8192) >> 14
-        self.w1 += (self.s1 * err + 8192) >> 14
-        self.w2 += (self.s2 * err + 8192) >> 14
-        goal = up * 65535
+        up = hit.astype(np.int32)
+        err = ((up << _BITS) - self.p).astype(np.float32)
+        err *= np.float32(2.0 ** -30)
+        self.w0 += self.s0 * err
+        self.w1 += self.s1 * err
+        self.w2 += self.s2 * err
+        goal = (up << 16) - up
         self.rate1[self.k1] = self.p1 + ((goal - self.p1) >> _RATE)
         self.rate2[self.k2] = self.p2 + ((goal - self.p2) >> _RATE)
-        for table, at, entry, guess in ((self.t1, self.i1, self.e1, self.c1), (self.t2, self.i2, self.e2, self.c2)):
-            n = entry & 7
-            table[at] = np.where(guess == ids, entry + (n < 7), np.where(n > 1, (entry & ~7) | (n >> 1), ids << 3 | 1))
+        fresh = (ids << 3) | 1
+        for table, at, entry, guess, n in ((self.t1, self.i1, self.e1, self.c1, self.n1), (self.t2, self.i2, self.e2, self.c2, self.n2)):
+            table[at] = np.where(guess == ids, entry + (n < 7), np.where(n > 1, entry - ((n + 1) >> 1), fresh))
 
 
 # --- range coder ------------------------------------------------------------------
 
 _LOW_MASK = np.uint64((1 << 32) - 1)
-_U16, _U32 = np.uint64(16), np.uint64(32)
+_U12, _U16, _U32 = np.uint64(_BITS), np.uint64(16), np.uint64(32)
 
 
 def encode_lanes(x: np.ndarray, freq: np.ndarray) -> list[bytes]:
@@ -182,17 +188,17 @@ def encode_lanes(x: np.ndarray, freq: np.ndarray) -> list[bytes]:
             low[small] = (part & _LOW_MASK) << _U16
             rng[small] <<= _U16
 
-    last = before = np.zeros(lanes, np.int64)
+    last = before = np.zeros(lanes, np.int32)
     for ids in x:
         guess, p = model.predict(last, before)
         hit = guess == ids
-        bound = (rng >> _U16) * p.astype(np.uint64)
+        bound = (rng >> _U12) * p.astype(np.uint64)
         low += np.where(hit, zero, bound)
         rng = np.where(hit, bound, rng - bound)
         settle(low, rng)
         r = rng >> _U16
-        low += r * np.where(hit, zero, cum[ids])
-        rng = r * np.where(hit, whole, f[ids])
+        low += r * np.where(hit, zero, cum.take(ids, mode="clip"))
+        rng = r * np.where(hit, whole, f.take(ids, mode="clip"))
         settle(low, rng)
         model.learn(hit, ids)
         last, before = ids, last
@@ -212,7 +218,7 @@ def decode_lanes(payloads: list[bytes], steps: int, freq: np.ndarray) -> np.ndar
     lanes = len(payloads)
     model = Model(lanes, freq)
     f, cum = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-    ids_of = np.repeat(np.arange(len(freq)), freq)             # slot -> id
+    ids_of = np.repeat(np.arange(len(freq), dtype=np.int32), freq)             # slot -> id
     width = max(map(len, payloads)) // 2 + 2
     words = np.zeros((lanes, width), np.uint64)
     for i, raw in enumerate(payloads):
@@ -230,19 +236,19 @@ def decode_lanes(payloads: list[bytes], steps: int, freq: np.ndarray) -> np.ndar
             at[small] += 1
             rng[small] <<= _U16
 
-    out = np.empty((steps, lanes), np.int64)
-    last = before = np.zeros(lanes, np.int64)
+    out = np.empty((steps, lanes), np.int32)
+    last = before = np.zeros(lanes, np.int32)
     for i in range(steps):
         guess, p = model.predict(last, before)
-        bound = (rng >> _U16) * p.astype(np.uint64)
+        bound = (rng >> _U12) * p.astype(np.uint64)
         hit = code < bound
         code -= np.where(hit, zero, bound)
         rng = np.where(hit, bound, rng - bound)
         settle(code, rng)
         r = rng >> _U16
-        ids = np.where(hit, guess, ids_of[np.minimum(code // r, top)])
-        code -= r * np.where(hit, zero, cum[ids])
-        rng = r * np.where(hit, whole, f[ids])
+        ids = np.where(hit, guess, ids_of.take(np.minimum(code // r, top).astype(np.int64), mode="clip"))
+        code -= r * np.where(hit, zero, cum.take(ids, mode="clip"))
+        rng = r * np.where(hit, whole, f.take(ids, mode="clip"))
         settle(code, rng)
         out[i] = ids
         model.learn(hit, ids)
@@ -258,7 +264,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[byt
     lanes = -(-len(ids) // block)
     padded = np.concatenate([ids, np.full(lanes * block - len(ids), ids[-1], ids.dtype)]).reshape(lanes, block)
     steps = min(block, len(ids))
-    payloads = encode_lanes(np.ascontiguousarray(padded[:, :steps].T).astype(np.int64), freq)
+    payloads = encode_lanes(np.ascontiguousarray(padded[:, :steps].T).astype(np.int32), freq)
     return pack_table(freq), payloads, [zlib.crc32(ids[i:i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
 
 
