@@ -14,18 +14,24 @@ import os
 import re
 
 END_MARKS = ".,;:!?"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 LONGEST_CHUNK = 64
 
 _odd = re.compile("[\x1c-\x1f]").search
+_blank = re.compile(r"\s").search
 # A chunk takes one leading space along, as byte-level vocabularies do; of a
 # run of white space the last character stays with (or before) the next word.
 _spaced_chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+# Where a space follows white space, cutting at every space is not the same.
+_run = re.compile(r"\s ").search
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.  ``spaced``:
-    white space is part of the vocabulary (else it is dropped)."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    ``spaced``: white space is part of the vocabulary (else it is dropped).
+    A text is cut at its spaces; ``words`` has the ids of a piece with its
+    leading space (if ``spaced``), ``bare`` those of a piece as it stands."""
 
     def __init__(self, path: str, spaced: bool, limit: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,46 +39,107 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
-        self.split = _spaced_chunks if spaced else str.split
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.spaced, self.limit = spaced, limit
+        self.words: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _direct(self, chunks: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in got]
-
-    def _learn(self, chunks: set[str], make_room: bool) -> None:
-        """A word followed by one punctuation mark is two pieces, so only the
-        word (often known) and the mark need encoding."""
-        known = self.known
-        if make_room and len(known) + 2 * len(chunks) > self.limit:
-            known.clear()
-        pairs = {c: (c[:-1], c[-1]) for c in chunks if c[-1] in END_MARKS and len(c) > 2 and c[-2].isalpha()}
-        need = [c for c in (chunks - pairs.keys()) | {x for p in pairs.values() for x in p} if c not in known]
-        for i in range(0, len(need), 4096):
-            part = need[i:i + 4096]
-            known.update(zip(part, self._direct(part), strict=True))
-        known.update((c, known[a] + known[b]) for c, (a, b) in pairs.items())
+        out = []
+        for i in range(0, len(chunks), 4096):
+            got = self.tokenizer.encode_batch_fast(chunks[i:i + 4096], add_special_tokens=False)
+            out += [b"".join([x.to_bytes(4, "little") for x in e.ids]) for e in got]
+        return out
+
+    def _exact(self, chunk: str) -> tuple[bool, str]:
+        """(is a word with its leading space, key) of a chunk of ``_spaced_chunks``."""
+        word = len(chunk) > 1 and chunk[0] == " " and not chunk.isspace()
+        return word, chunk[1:] if word else chunk
+
+    def _parts(self, word: str) -> list[tuple[bool, str]] | None:
+        """Smaller pieces whose ids make up the word's, if it has any: a line
+        break inside, or one punctuation mark after a letter."""
+        if self.spaced and _blank(word):
+            return [self._exact(c) for c in _spaced_chunks(" " + word)]
+        if len(word) > 2 and word[-1] in END_MARKS and word[-2].isalpha():
+            return [(True, word[:-1]), (not self.spaced, word[-1])]
+        return None
+
+    def _learn(self, words: set[str], bare: set[str]) -> None:
+        """Encode what is not known, each distinct piece once."""
+        known, plan, direct, todo = self.words, {}, [], [w for w in words if w not in self.words]
+        seen = set(todo)
+        while todo:
+            w = todo.pop()
+            parts = self._parts(w)
+            if parts is None:
+                direct.append(w)
+                continue
+            plan[w] = parts
+            for is_word, x in parts:
+                if not is_word:
+                    bare.add(x)
+                elif x not in known and x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        known.update(zip(direct, self._direct([" " + w for w in direct] if self.spaced else direct), strict=True))
+        new = [b for b in bare if b not in self.bare]
+        self.bare.update(zip(new, self._direct(new), strict=True))
+
+        def ids(is_word: bool, x: str) -> bytes:
+            if not is_word:
+                return self.bare[x]
+            if x not in known:
+                known[x] = b"".join([ids(*p) for p in plan[x]])
+            return known[x]
+
+        for w in plan:
+            ids(True, w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t is None or _odd(t) else self.split(t) for t in texts]
-        distinct = set().union(*[x for x in split if x])
-        longer = {c for c in distinct if len(c) > LONGEST_CHUNK}
-        missing = distinct - longer
-        missing.difference_update(self.known)
-        if missing:
-            self._learn(missing, make_room=True)
-            self._learn(distinct - longer - self.known.keys(), make_room=False)     # if room had to be made
-        of = self.known.__getitem__
-        if longer:
-            direct = dict(zip(longer, self._direct(list(longer)), strict=True))
-            of = lambda c: direct[c] if len(c) > LONGEST_CHUNK else self.known[c]
-        out = []
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is not None:
-                out.append(b"".join(map(of, chunks)))
+        if len(self.words) + len(self.bare) > self.limit:
+            self.words.clear()
+            self.bare.clear()
+        split: list[tuple[list[str], list[str]] | list[tuple[bool, str]] | None] = []
+        words: set[str] = set()
+        bare: set[str] = set()
+        for t in texts:
+            if not t or _odd(t):
+                split.append(None)
+            elif not self.spaced:
+                w = t.split()
+                words.update(w)
+                split.append(([], w))
+            elif _run(t):
+                exact = [self._exact(c) for c in _spaced_chunks(t)]
+                words.update([x for is_word, x in exact if is_word])
+                bare.update([x for is_word, x in exact if not is_word])
+                split.append(exact)
             else:
+                first, *w = t.split(" ")
+                b = _spaced_chunks(first)
+                if w and not w[-1]:                     # the text ends with a space
+                    w.pop()
+                    words.update(w)
+                    bare.update(b, " ")
+                    split.append([*[(False, x) for x in b], *[(True, x) for x in w], (False, " ")])
+                else:
+                    words.update(w)
+                    bare.update(b)
+                    split.append((b, w))
+        once = {x for x in words if len(x) > LONGEST_CHUNK}        # long ones are not kept
+        self._learn(words, bare)
+        out = []
+        for t, s in zip(texts, split, strict=True):
+            if s is None:
                 out.append(self._direct([t])[0] if t else b"")
+            elif isinstance(s, tuple):
+                out.append(b"".join([self.bare[x] for x in s[0]] + list(map(self.words.__getitem__, s[1]))))
+            else:
+                out.append(b"".join([(self.words if is_word else self.bare)[x] for is_word, x in s]))
+        for x in once:
+            del self.words[x]
+        for x in [x for x in bare if len(x) > LONGEST_CHUNK]:
+            del self.bare[x]
         return out
 
 
