@@ -33,13 +33,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def empty_like(df: DataFrame) -> bool:
-    return len(df.take(1)) == 0
+# Rows of whole texts handed to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def prepare_python(spark: SparkSession) -> None:
+    """Ship this package to the workers, and keep Arrow batches of texts
+    small: the default of 10,000 rows is far too many when a row is a
+    document."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers."""
-    ship_package(df.sparkSession)
+    prepare_python(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import find_words, stage_table
-from quarry.session import ship_package
+from quarry.llm.common import find_words, prepare_python, stage_table
 
 MAX_LABELLED = 20_000
 BROADCAST_SITES = 200_000
@@ -198,7 +197,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, columns: list[Column], max_labelled: int) -> DataFrame:
-    ship_package(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     model = train(docs, labels, max_labelled=max_labelled)
     rate = 0.5 if model is None else 1 / (1 + math.exp(-model.prior))
     scored = docs.select(*columns, F.col(host).alias("host"), F.col(path).alias("path"), evidence(F.col("text"), model).alias("evidence"))

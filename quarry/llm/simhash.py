@@ -42,8 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, shuffle_partitions, stage_table
-from quarry.session import ship_package
+from quarry.llm.common import map_batches, prepare_python, shuffle_partitions, stage_table
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -321,7 +320,7 @@ def component_ids(prints: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROW
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``."""
-    ship_package(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     prints = stage_table(docs.select("doc_id", simhash(F.col("text"), shingle).alias("fp")), "simhash-prints")
     ids = component_ids(prints, max_bits, crowd).withColumnRenamed("fp", "__fp")
     return prints.join(ids, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
@@ -330,7 +329,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest
     doc_id (among rows that repeat it, the first written; null ids last)."""
-    ship_package(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     rows = stage_table(docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), simhash(F.col("text"), shingle).alias("fp"),
                                    F.monotonically_increasing_id().alias("row")), "simhash-rows")
     ids = component_ids(rows.select("doc_id", "fp"), max_bits, crowd).withColumnRenamed("fp", "__fp")

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import find_words
-from quarry.session import ship_package
+from quarry.llm.common import find_words, prepare_python
 
 WORD_MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
@@ -139,5 +138,5 @@ def token_count(text: Column, path: str) -> Column:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    ship_package(docs.sparkSession)
+    prepare_python(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), token_count(F.col(text), path).alias("c")).select("doc_id", "c.n_words", "c.n_tokens")

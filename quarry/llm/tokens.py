@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 END_MARKS = ".,;:!?"
 CACHE_CHUNKS = 1_000_000
@@ -26,6 +28,9 @@ _spaced_chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _run = re.compile(r"\s ").search
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -47,7 +52,7 @@ class ChunkEncoder:
         out = []
         for i in range(0, len(chunks), 4096):
             got = self.tokenizer.encode_batch_fast(chunks[i:i + 4096], add_special_tokens=False)
-            out += [b"".join([x.to_bytes(4, "little") for x in e.ids]) for e in got]
+            out += [array("I", e.ids).tobytes() for e in got]
         return out
 
     def _exact(self, chunk: str) -> tuple[bool, str]:
