@@ -47,7 +47,9 @@ def _query_vector(query, vec_col: str) -> Column:
 def score(corpus: DataFrame, query, metric: str = "cosine", vec_col: str = "embedding",
           query_vec_col: str = "embedding", squared: bool = True, digits: int | None = None,
           out: str = "score") -> DataFrame:
-    """Add a similarity ``score`` column (higher is better) against one query."""
+    """Add a similarity ``score`` column (higher is better) against one query.
+    A vector of another width than the query's fails the job; a null one
+    scores null."""
     q = _query_vector(query, query_vec_col)
     # Materialise the vector once per row; Spark's analyzer refuses a
     # subquery directly inside a lambda, the optimiser inlines it after.
@@ -55,6 +57,8 @@ def score(corpus: DataFrame, query, metric: str = "cosine", vec_col: str = "embe
     s = similarity(vec_col, "__q", metric, squared=squared)
     if digits is not None:
         s = F.round(s, digits)
+    wrong = F.raise_error(F.concat(F.lit("vector width "), F.size(vec_col).cast("string"), F.lit(" does not match the query's"))).cast("double")
+    s = F.when(F.col(vec_col).isNull() | (F.size(vec_col) == F.size("__q")), s).otherwise(wrong)
     return scored.withColumn(out, s).drop("__q")
 
 

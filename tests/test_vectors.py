@@ -102,3 +102,8 @@ def test_udf_embedder_width_checked(spark):
     bad = docs.withColumn("embedding", udf_embedder(lambda: toy, width=4)("text"))
     with pytest.raises(Exception):
         bad.collect()
+
+
+def test_query_of_another_width_fails(spark, small):
+    with pytest.raises(Exception, match="vector width"):
+        K.knn(small, [1.0, 0.0], k=1).collect()
