@@ -75,7 +75,7 @@ class ChunkEncoder:
         seen = set(todo)
         while todo:
             w = todo.pop()
-            parts = self._parts(w)
+            parts = None if w.isalpha() else self._parts(w)
             if parts is None:
                 direct.append(w)
                 continue
@@ -104,16 +104,23 @@ class ChunkEncoder:
         if len(self.words) + len(self.bare) > self.limit:
             self.words.clear()
             self.bare.clear()
-        split: list[tuple[list[str], list[str]] | list[tuple[bool, str]] | None] = []
-        words: set[str] = set()
+        split: list = []            # per text: (bare pieces, words, their ids as far as known), exact pieces, or None
+        words: set[str] = set()     # not known yet
         bare: set[str] = set()
+        known = self.words.get
+
+        def look_up(w: list[str]) -> list[bytes | None]:
+            got = list(map(known, w))
+            if None in got:
+                words.update([x for x, g in zip(w, got, strict=True) if g is None])
+            return got
+
         for t in texts:
             if not t or _odd(t):
                 split.append(None)
             elif not self.spaced:
                 w = t.split()
-                words.update(w)
-                split.append(([], w))
+                split.append(([], w, look_up(w)))
             elif _run(t):
                 exact = [self._exact(c) for c in _spaced_chunks(t)]
                 words.update([x for is_word, x in exact if is_word])
@@ -122,29 +129,30 @@ class ChunkEncoder:
             else:
                 first, *w = t.split(" ")
                 b = _spaced_chunks(first)
+                bare.update(b)
                 if w and not w[-1]:                     # the text ends with a space
                     w.pop()
                     words.update(w)
-                    bare.update(b, " ")
+                    bare.add(" ")
                     split.append([*[(False, x) for x in b], *[(True, x) for x in w], (False, " ")])
                 else:
-                    words.update(w)
-                    bare.update(b)
-                    split.append((b, w))
-        once = {x for x in words if len(x) > LONGEST_CHUNK}        # long ones are not kept
+                    split.append((b, w, look_up(w)))
         self._learn(words, bare)
         out = []
         for t, s in zip(texts, split, strict=True):
             if s is None:
                 out.append(self._direct([t])[0] if t else b"")
-            elif isinstance(s, tuple):
-                out.append(b"".join([self.bare[x] for x in s[0]] + list(map(self.words.__getitem__, s[1]))))
-            else:
+            elif isinstance(s, list):
                 out.append(b"".join([(self.words if is_word else self.bare)[x] for is_word, x in s]))
-        for x in once:
-            del self.words[x]
+            else:
+                b, w, got = s
+                if None in got:
+                    got = [g if g is not None else self.words[x] for x, g in zip(w, got, strict=True)]
+                out.append(b"".join([self.bare[x] for x in b] + got))
+        for x in [x for x in words if len(x) > LONGEST_CHUNK]:      # long ones are not kept
+            self.words.pop(x, None)
         for x in [x for x in bare if len(x) > LONGEST_CHUNK]:
-            del self.bare[x]
+            self.bare.pop(x, None)
         return out
 
 
