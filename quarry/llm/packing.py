@@ -26,8 +26,8 @@ not matter; a text of any length is tokenised whole.
 
 from __future__ import annotations
 
-import random
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,41 +89,48 @@ class Shelf:
 
     def __init__(self, capacity: int, free: list[int]):
         self.capacity, self.free = capacity, free
-        self.by_free: dict[int, list[int]] = {}
-        self.mask = 0
+        self.by_free: dict[int, list[int]] = defaultdict(list)
         for b, f in enumerate(free):
-            self._put(b, f)
-
-    def _put(self, b: int, f: int) -> None:
-        if f:
-            self.by_free.setdefault(f, []).append(b)
-            self.mask |= 1 << f
-
-    def place(self, size: int) -> int:
-        """Bin that fits ``size`` most tightly (a new one if none does)."""
-        m = self.mask >> size
-        if m:
-            f = size + (m & -m).bit_length() - 1
-            bins = self.by_free[f]
-            b = bins.pop()
-            if not bins:
-                self.mask ^= 1 << f
-        else:
-            b, f = len(self.free), self.capacity
-            self.free.append(f)
-        self.free[b] = f - size
-        self._put(b, f - size)
-        return b
+            self.by_free[f].append(b)
+        self.mask = sum(1 << f for f in self.by_free if f)
+
+    def place(self, items: Iterable[int], lens: list[int], bins: np.ndarray) -> None:
+        """Put every item, in order, into the bin it fits most tightly (a
+        new one if it fits none)."""
+        mask, free, by_free, capacity = self.mask, self.free, self.by_free, self.capacity
+        for i in items:
+            size = lens[i]
+            m = mask >> size
+            if m:
+                f = size + (m & -m).bit_length() - 1
+                at = by_free[f]
+                b = at.pop()
+                if not at:
+                    mask ^= 1 << f
+                f -= size
+                free[b] = f
+            else:
+                b, f = len(free), capacity - size
+                free.append(f)
+            if f:
+                by_free[f].append(b)
+                mask |= 1 << f
+            bins[i] = b
+        self.mask = mask
 
 
 def best_fit(sizes: np.ndarray, order: Iterable[int], capacity: int) -> np.ndarray:
     """Bin of every item when placed in ``order`` by best fit."""
-    shelf, out, lens = Shelf(capacity, []), np.empty(len(sizes), np.int32), sizes.tolist()
-    for i in order:
-        out[i] = shelf.place(lens[i])
+    out = np.empty(len(sizes), np.int32)
+    Shelf(capacity, []).place(order, sizes.tolist(), out)
     return out
 
 
+def shuffled_by_size(sizes: np.ndarray, spread: float, rng: np.random.Generator) -> list[int]:
+    """Positions from large to small, sizes blurred by up to ``spread``."""
+    return np.argsort(-sizes * rng.uniform(1 - spread, 1 + spread, len(sizes)), kind="stable").tolist()
+
+
 def fills(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(bins, weights=sizes)
 
@@ -134,58 +141,52 @@ def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> float:
     return -len(f) + float(np.mean((f / capacity) ** 2))
 
 
-def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Child of ``a`` with whole well-filled bins of ``b`` injected."""
     fb = fills(b, sizes)
     good = np.flatnonzero(fb >= 0.98 * capacity)
     if not len(good):
         good = np.argsort(-fb)[:max(1, len(fb) // 4)]
     chosen = np.zeros(len(fb), bool)
-    chosen[rng.sample(good.tolist(), max(1, int(len(good) * rng.uniform(0.1, 0.5))))] = True
+    chosen[rng.choice(good, max(1, int(len(good) * rng.uniform(0.1, 0.5))), replace=False)] = True
     injected = chosen[b]                                       # items that arrive in b's bins
-    broken = np.zeros(int(a.max()) + 1, bool)
+    fa = fills(a, sizes)
+    broken = np.zeros(len(fa), bool)
     broken[a[injected]] = True                                 # bins of a that hold one of them
-    worst = np.argsort(fills(a, sizes))[:max(1, len(broken) // 20)]
-    broken[worst] = True                                       # the emptiest bins are opened, too
-    loose = np.flatnonzero(broken[a] & ~injected)
+    broken[np.argsort(fa)[:max(1, len(fa) // 20)]] = True      # the emptiest bins are opened, too
     child = np.where(injected, b + len(broken), a)
-    kept = ~(broken[a] & ~injected)
+    kept = injected | ~broken[a]
     used, place = np.unique(child[kept], return_inverse=True)
     child[kept] = place
     shelf = Shelf(capacity, (capacity - np.bincount(place, weights=sizes[kept], minlength=len(used))).astype(int).tolist())
-    lens = sizes.tolist()
-    order = sorted(loose.tolist(), key=lambda i: -lens[i])
-    if rng.random() < 0.5:                                     # vary the order a little
-        order = sorted(order, key=lambda i: -lens[i] * rng.uniform(0.9, 1.1))
-    for i in order:
-        child[i] = shelf.place(lens[i])
+    loose = np.flatnonzero(~kept)
+    order = shuffled_by_size(sizes[loose], 0.1 * (rng.random() < 0.5), rng)      # half of the time a little out of order
+    shelf.place(loose[order].tolist(), sizes.tolist(), child)
     return child.astype(np.int32)
 
 
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, generations: int, population: int,
-           rng: random.Random) -> np.ndarray:
+           rng: np.random.Generator) -> np.ndarray:
     """Best grouping of one island after some generations."""
     fewest = -(-int(sizes.sum()) // capacity)
-    lens = sizes.tolist()
-    pool = list(elites)
-    if not pool:
-        pool.append(best_fit(sizes, sorted(range(len(lens)), key=lambda i: -lens[i]), capacity))
+    pool = list(elites) or [best_fit(sizes, np.argsort(-sizes, kind="stable").tolist(), capacity)]
     scored = [(fitness(p, sizes, capacity), p) for p in pool]
-    while len(scored) < population and -int(max(s for s, _ in scored)) > fewest - 1 and int(max(p.max() for _, p in scored)) + 1 > fewest:
-        p = best_fit(sizes, sorted(range(len(lens)), key=lambda i: -lens[i] * rng.uniform(0.8, 1.2)), capacity)
+    while len(scored) < population and min(int(p.max()) for _, p in scored) + 1 > fewest:
+        p = best_fit(sizes, shuffled_by_size(sizes, 0.2, rng), capacity)
         scored.append((fitness(p, sizes, capacity), p))
     for _ in range(generations):
         best = max(scored, key=lambda x: x[0])
         if int(best[1].max()) + 1 <= fewest or len(scored) < 2:
             break
-        children = [best]
-        while len(children) < population:
-            one, two = (max(rng.sample(scored, 2), key=lambda x: x[0]) for _ in range(2))
+        children = []
+        while len(children) < population - 1:
+            # Two tournaments of two; the parents must differ.
+            one, two = (max((scored[i] for i in rng.choice(len(scored), 2, replace=False)), key=lambda x: x[0]) for _ in range(2))
             if one[1] is two[1]:
-                two = rng.choice([s for s in scored if s[1] is not one[1]])
+                two = scored[(next(i for i, x in enumerate(scored) if x[1] is one[1]) + 1 + int(rng.integers(len(scored) - 1))) % len(scored)]
             c = crossover(one[1], two[1], sizes, capacity, rng)
             children.append((fitness(c, sizes, capacity), c))
-        scored = sorted(scored + children[1:], key=lambda x: -x[0])[:population]
+        scored = sorted([*scored, *children], key=lambda x: -x[0])[:population]
     return max(scored, key=lambda x: x[0])[1]
 
 
@@ -200,7 +201,7 @@ def _evolve_rows(batches: Iterator[pa.RecordBatch], capacity: int, generations:
         for row in rb.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
             elites = [np.array(e, np.int32) for e in row["elites"]]
-            rng = random.Random(f"{seed}/{row['shard']}/{row['island']}/{row['epoch']}")
+            rng = np.random.default_rng([seed, row["shard"], row["island"], row["epoch"]])
             bins = evolve(sizes, elites, capacity, generations, population, rng)
             out = [[row["shard"]], [row["island"]], [row["epoch"]], [row["items"]], [row["sizes"]], [bins.tolist()],
                    [fitness(bins, sizes, capacity)]]

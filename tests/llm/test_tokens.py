@@ -127,8 +127,8 @@ def test_evolution_never_worse_than_best_fit():
     for _ in range(5):
         sizes = np.array([r.randint(200, 700) for _ in range(150)])
         base = packing.best_fit(sizes, np.argsort(-sizes, kind="stable").tolist(), 1024)
-        best = packing.evolve(sizes, [], 1024, 10, 6, random.Random(1))
+        best = packing.evolve(sizes, [], 1024, 10, 6, np.random.default_rng(1))
         assert len(set(best.tolist())) == best.max() + 1 <= base.max() + 1
         assert packing.fills(best, sizes).max() <= 1024
-        child = packing.crossover(base, best, sizes, 1024, random.Random(2))
+        child = packing.crossover(base, best, sizes, 1024, np.random.default_rng(2))
         assert packing.fills(child, sizes).max() <= 1024 and len(set(child.tolist())) == child.max() + 1
