@@ -13,7 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from quarry.session import local_session
 
-    s = local_session(4, app="quarry-tests", **{"spark.sql.shuffle.partitions": "8"})
+    s = local_session(8, app="quarry-tests", **{"spark.sql.shuffle.partitions": "4"})
     yield s
     s.stop()
 
