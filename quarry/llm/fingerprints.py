@@ -45,6 +45,7 @@ SAMPLES = 64
 SEED = 7
 TABLE_ROWS = 1 << 16
 BLOCK = 4096                       # distinct words gathered at once
+RANGES_PER_TASK = 4                # id ranges are dealt to tasks by hash: several each even out the load
 
 
 def _uniform(h: np.ndarray, samples: int) -> np.ndarray:
@@ -144,11 +145,11 @@ def neighbour_stream(docs: DataFrame) -> DataFrame:
     order; the row with ``peek`` is the next bucket's first document."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    bounds = id_bounds(docs, parts)
+    bounds = id_bounds(docs, RANGES_PER_TASK * parts)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
                         F.coalesce("doc_id", F.lit(_LOWEST)).cast("bigint").alias("k"))
     keyed = keyed.withColumn("bucket", range_bucket(F.col("k"), bounds).cast("int"))
-    heads = {r["bucket"]: r["h"] for r in keyed.groupBy("bucket").agg(F.max("k").alias("h")).collect()}   # at most `parts` rows
+    heads = {r["bucket"]: r["h"] for r in keyed.groupBy("bucket").agg(F.max("k").alias("h")).collect()}   # a row per range
     used = sorted(heads)
     above = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}
     n = len(bounds) + 1
