@@ -224,7 +224,9 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, *,
 
         def run(it, shipped=shipped):
             scorer = _make_scorer(kind, shipped.value, metric, squared)
-            yield _scan(scorer, it, "cid", ccols, k, digits)
+            hits = _scan(scorer, it, "cid", ccols, k, digits)
+            if len(hits):                       # a task without rows has no id type to go by
+                yield hits
 
         c.mapInPandas(run, schema).write.mode("append").parquet(out)
         shipped.destroy()
