@@ -48,6 +48,7 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 CROWD = 256
+BROADCAST_ROWS = 2_000_000     # ids of dropped rows (8 bytes each) sent to every task at most
 LEVELS = 3
 
 _find = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -334,6 +335,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                                    F.monotonically_increasing_id().alias("row")), "simhash-rows")
     ids = component_ids(rows.select("doc_id", "fp"), max_bits, crowd).withColumnRenamed("fp", "__fp")
     best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    keep = stage_table(best.join(ids, F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min("best").alias("best"))
-                       .select(F.col("best.row").alias("kept_row")), "simhash-kept")
-    return rows.join(keep, F.col("row") == F.col("kept_row")).select("doc.*")
+    keep = (best.join(ids, F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min("best").alias("best"))
+            .select(F.col("best.row").alias("kept_row")))
+    # Ids of the rows that go, so that texts need not be shuffled: broadcast
+    # up to a measured count, else joined by shuffle.
+    gone = stage_table(rows.select("row").join(keep, F.col("row") == F.col("kept_row"), "left_anti").select(F.col("row").alias("gone_row")),
+                       "simhash-gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, F.col("row") == F.col("gone_row"), "left_anti").select("doc.*")

@@ -91,7 +91,9 @@ def test_other_distances(spark, d):
     assert _ids(spark, prints, 2, d) == brute_groups(prints, d)
 
 
-def test_documents_end_to_end(spark, make_docs):
+@pytest.mark.parametrize("bound", [2_000_000, -1])
+def test_documents_end_to_end(spark, make_docs, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
     r = random.Random(2)
     words = [f"w{k}" for k in range(300)]
     base = [[r.choice(words) for _ in range(200)] for _ in range(5)]
