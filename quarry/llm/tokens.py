@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 END_MARKS = ".,;:!?"
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 LONGEST_CHUNK = 64
 CUT = "<|endoftext|>"
 TOGETHER = 64
