@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stage_table
 
-MAX_RATIO = 0.1
+# One page in twenty.  A share counted over n pages is off by sqrt(p(1-p)/n),
+# so a ratio at the rate of the block itself would drop or keep it by chance;
+# at half a rate of one in ten a block is 3.7 such errors away on 500 pages.
+MAX_RATIO = 0.05
 MIN_PAGES = 5
 # Lists are broadcast only when their measured total is at most this many
 # hashes (8 bytes each) and hosts; else they are joined by shuffle.

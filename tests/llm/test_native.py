@@ -82,3 +82,12 @@ def test_lines_without_broadcast(make_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
     got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(make_docs(rows)).collect())
     assert got == [(i, f"body {i}") for i in range(30)]
+
+
+def test_block_on_fewer_than_a_tenth_of_the_pages_is_dropped(make_docs):
+    """Shares measured for one block in sources of 500 pages: 8.6% to 13.2%;
+    the next most frequent line is on at most 4.8%."""
+    rows = [(1000 * h + i, "\n".join([f"body {i}", *["Subscribe to our newsletter"] * (i < n), *["Indeed."] * (i >= 476)]), f"h{h}")
+            for h, n in enumerate((43, 66)) for i in range(500)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert got == {i: t.replace("\nSubscribe to our newsletter", "") for i, t, _ in rows}
