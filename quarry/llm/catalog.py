@@ -44,7 +44,7 @@ def op1_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_token_file")
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.round_trip(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_file.round_trip(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), special=True)
 
 
 @query("op3_quality")
@@ -97,7 +97,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), special=True)
 
 
 @query("op7_simhash")

@@ -55,8 +55,8 @@ SEED = 11
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int) -> Iterable[pa.RecordBatch]:
-    enc = encoder(path, spaced=True)
+def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int, special: bool) -> Iterable[pa.RecordBatch]:
+    enc = encoder(path, spaced=True, special=special)
     end = end_id.to_bytes(4, "little")
     for rb in batches:
         ids, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
@@ -75,10 +75,10 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, length: int, end_i
                                          names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, special: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece."""
     return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"),
-                       lambda it: _piece_rows(it, path, length, end_id), _PIECES)
+                       lambda it: _piece_rows(it, path, length, end_id, special), _PIECES)
 
 
 # --- grouping genetic algorithm -------------------------------------------------
@@ -270,8 +270,8 @@ def pack(pieces: DataFrame, capacity: int = LENGTH, shard_size: int = SHARD, rou
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = LENGTH, end_id: int = END_ID, shard_size: int = SHARD,
-                   rounds: int = ROUNDS, good_fill: float = GOOD_FILL, seed: int = SEED) -> DataFrame:
+                   rounds: int = ROUNDS, good_fill: float = GOOD_FILL, seed: int = SEED, special: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    pieces = token_pieces(docs, path, capacity, end_id).withColumn("item", F.monotonically_increasing_id())
+    pieces = token_pieces(docs, path, capacity, end_id, special).withColumn("item", F.monotonically_increasing_id())
     pieces = stage_table(pieces, "pack-pieces")
     return pack(pieces, capacity, shard_size, rounds, good_fill, seed).drop("item")

@@ -280,8 +280,8 @@ _SEGMENT = ("bucket int, segment int, n_tokens bigint, doc_ids array<bigint>, do
             "order0 binary, payloads array<binary>, block_crcs array<bigint>")
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, target: int) -> Iterable[pa.RecordBatch]:
-    enc = encoder(path, spaced=False)
+def _segment_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, target: int, special: bool) -> Iterable[pa.RecordBatch]:
+    enc = encoder(path, spaced=False, special=special)
     end = end_id.to_bytes(4, "little")
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.binary()),
@@ -314,14 +314,14 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tar
         yield close()
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, target: int = SEGMENT) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, target: int = SEGMENT, special: bool = False) -> None:
     """Write the ids of every text of ``docs``, in ascending doc_id order,
     as segments under ``out``."""
     parts = shuffle_partitions(docs.sparkSession)
     bounds = id_bounds(docs, parts)
     keyed = docs.select(range_bucket(F.col("doc_id"), bounds).cast("int").alias("bucket"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     dealt = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
-    map_batches(dealt, lambda it: _segment_rows(it, path, end_id, target), _SEGMENT).write.parquet(out)
+    map_batches(dealt, lambda it: _segment_rows(it, path, end_id, target, special), _SEGMENT).write.parquet(out)
 
 
 _DOCS = "bucket int, segment int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -362,8 +362,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
             .select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"))
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, target: int = SEGMENT) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int = END_ID, target: int = SEGMENT, special: bool = False) -> DataFrame:
     """Write ``docs`` to a token file in the shared folder and read it back."""
     out = scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, out, end_id, target)
+    write_tokens(docs, path, out, end_id, target, special)
     return read_tokens(docs.sparkSession, out)

@@ -6,6 +6,10 @@ of its white-space chunks, one after the other.  A worker therefore encodes
 each distinct chunk once, with the library, and remembers its ids in a
 bounded table.  A text with a control character that the library and Python
 class differently (U+001C to U+001F) is encoded in one piece.
+
+``special`` says what the string of an added token (``<|endoftext|>``) in a
+text is: that token, as the library reads it by default, in which case the
+text is encoded in one piece too; or else ordinary text.
 """
 
 from __future__ import annotations
@@ -42,26 +46,36 @@ class ChunkEncoder:
     A text is cut at its spaces; ``words`` has the ids of a piece with its
     leading space (if ``spaced``), ``bare`` those of a piece as it stands."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = CACHE_CHUNKS):
+    def __init__(self, path: str, spaced: bool, limit: int = CACHE_CHUNKS, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         # A second reader in which this token stays special separates pieces
         # that are encoded together, which costs less than one call each.
         self.cutter = Tokenizer.from_file(path)
-        self.cut_id = self.cutter.token_to_id(CUT)
-        self.spaced, self.limit = spaced, limit
+        self.added = [t.content for t in self.cutter.get_added_tokens_decoder().values()]
+        self.cut_id = self.cutter.token_to_id(CUT) if CUT in self.added else None
+        self.spaced, self.limit, self.special = spaced, limit, special
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
+    def _holds_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def _direct(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(chunks), 64 * TOGETHER):
             part = chunks[i:i + 64 * TOGETHER]
-            if self.cut_id is None or any(CUT in c for c in part):
-                out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            # A piece's ids must not depend on its company: one that holds
+            # any added token never goes through the cutter.
+            alone = [self.cut_id is None or self._holds_added(c) for c in part]
+            if any(alone):
+                single = [c for c, a in zip(part, alone, strict=True) if a]
+                ids_alone = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)])
+                rest = iter(self._direct([c for c, a in zip(part, alone, strict=True) if not a]))
+                out += [next(ids_alone if a else rest) for a in alone]
                 continue
             joined = [CUT.join(part[j:j + TOGETHER]) for j in range(0, len(part), TOGETHER)]
             for e in self.cutter.encode_batch_fast(joined, add_special_tokens=False):
@@ -134,7 +148,7 @@ class ChunkEncoder:
             return got
 
         for t in texts:
-            if not t or _odd(t):
+            if not t or _odd(t) or self.special and self._holds_added(t):
                 split.append(None)
             elif not self.spaced:
                 w = t.split()
@@ -174,13 +188,13 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}          # per worker process
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}          # per worker process
 
 
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path, spaced)
-    return _ENCODERS[path]
+def encoder(path: str, spaced: bool, special: bool = False) -> ChunkEncoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = ChunkEncoder(path, spaced, special=special)
+    return _ENCODERS[path, special]
 
 
 def text_groups(texts: list[str | None], chars: int = 2_000_000) -> list[slice]:

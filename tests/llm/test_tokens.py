@@ -3,12 +3,13 @@
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import packing, token_counts, token_file
+from quarry.llm import catalog, packing, token_counts, token_file
 from quarry.llm.catalog import tokenizer_path
 from quarry.llm.tokens import ChunkEncoder
 
@@ -132,3 +133,41 @@ def test_evolution_never_worse_than_best_fit():
         assert packing.fills(best, sizes).max() <= 1024
         child = packing.crossover(base, best, sizes, 1024, np.random.default_rng(2))
         assert packing.fills(child, sizes).max() <= 1024 and len(set(child.tolist())) == child.max() + 1
+
+
+ADDED = ["hi <|endoftext|> there", "<|startoftext|>", "a <|startoftext|>b<|endoftext|>. c", "<|ENDOFTEXT|> x", "<|endoftext|><|endoftext|>  y\n",
+         "x\n\n<|endoftext|>\n z", "<|endoftext| >", "plain words.", " a <|startoftext|> ", "é<|endoftext|>\x1cb"]
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_added_tokens_as_the_library_reads_them(name, spaced):
+    r = random.Random(6)
+    texts = ADDED + ["".join(r.choice(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "ab", " ", ".", "\n", "é"]) for _ in range(12)) for _ in range(200)]
+    t = Tokenizer.from_file(tokenizer_path(name))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for step in (1, 7, len(texts)):
+        enc = ChunkEncoder(tokenizer_path(name), spaced, special=True)
+        got = [np.frombuffer(g, "<u4").tolist() for i in range(0, len(texts), step) for g in enc.encode(texts[i:i + step])]
+        assert got == want
+
+
+def test_ids_do_not_depend_on_the_batch():
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        for batch in ([x] for x in ADDED), [ADDED], [["<|startoftext|>", "b"], ["<|endoftext|> <|startoftext|>x"]]:
+            enc = ChunkEncoder(tokenizer_path(name), spaced)
+            for part in batch:
+                assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(part)] == [whole(name, x) for x in part]
+
+
+def test_queries_read_added_tokens_as_the_library_does(spark, make_docs, monkeypatch):
+    docs = make_docs(list(enumerate(ADDED)))
+    monkeypatch.setattr(catalog, "load", lambda *_: docs)
+    crc = {}
+    for name, end in (("word_bpe_49k.json", 1), ("byte_bpe_50k.json", 2)):
+        t = Tokenizer.from_file(tokenizer_path(name))
+        ids = [np.array([*t.encode(x, add_special_tokens=False).ids, end], "<u4") for x in ADDED]
+        crc[name] = [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+    got = catalog.QUERIES["op2_token_file"](spark, "").collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == crc["word_bpe_49k.json"]
+    for out in (catalog.QUERIES["op6_packing"](spark, ""), corpus_pipeline.packing_stage(spark, docs, "")):
+        assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in out.collect()) == crc["byte_bpe_50k.json"]
