@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprints, line_dedup, mixing, packing, quality, rules, simhash, token_counts, token_file
+from quarry.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, rules, simhash, token_counts, token_file
 from quarry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,15 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), tokenizer_path(token_counts.VOCABULARY))
+
+
+@query("op13_exact_dedup", sql=r"""
+with d as (select row_number() over () as rid, doc_id, length(coalesce(text, '')) as size,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
+k as (select *, first_value(doc_id) over w as keep_id, first_value(rid) over w as keep_rid, count(*) over (partition by text_sha256) as group_size
+      from d window w as (partition by text_sha256 order by size desc, doc_id nulls last, rid))
+select doc_id, keep_id, group_size, rid = keep_rid as kept, text_sha256 from k
+""")
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact_dedup.mark_copies(load(spark, sf_dir, "documents"), columns=["doc_id"])
+    return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")

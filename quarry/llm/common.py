@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path, ship_package
@@ -78,3 +78,55 @@ def range_bucket(column: Column, bounds: list[int], stride: int = 64) -> Column:
     coarse = F.array(*[F.lit(b).cast("bigint") for b in bounds[stride - 1::stride]]).cast("array<bigint>")
     at = F.size(F.filter(coarse, lambda x: x <= column)) * stride
     return at + F.size(F.filter(F.slice(cuts, at + 1, stride), lambda x: x <= column))
+
+
+# ------------------------------------------------------------ ordered groups
+
+def in_order(df: DataFrame, key: str, order: list[Column], keep: list[str], name: str) -> DataFrame:
+    """``key``, ``keep`` and ``seq`` of every row, staged: ``seq`` rises along
+    each key in the given order, and its upper bits (``seq >> 33``) are the
+    task a row went to.
+
+    Rows are dealt by ranges of (key, order, row), so a key of any size, and
+    even one repeated row, is spread over tasks; what is only needed for the
+    order is not written."""
+    tie = df.withColumn("__tie", F.monotonically_increasing_id())
+    by = [F.col(key), *order, F.col("__tie")]
+    dealt = tie.repartitionByRange(shuffle_partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+    return stage_table(dealt.select(key, *keep, F.monotonically_increasing_id().alias("seq")), name)
+
+
+def running(dealt: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Running sums (own row included) along each non-null key of a table of
+    :func:`in_order`.  A window sums what one task holds of a key; the sum of
+    the tasks before it is looked up.  Only the first key of a task can have
+    rows in earlier tasks, so that table has at most a row per task and is
+    broadcast."""
+    rows = dealt.withColumn("__task", F.shiftright("seq", 33)).withColumns({f"__v_{n}": c for n, c in sums.items()})
+    first = rows.groupBy("__task").agg(F.min(key).alias(key)).select(key).distinct()
+    parts = rows.join(F.broadcast(first), key, "left_semi").groupBy(key, "__task").agg(*[F.sum(f"__v_{n}").alias(f"__b_{n}") for n in sums])
+    earlier = Window.partitionBy(key).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(key, "__task", *[F.sum(f"__b_{n}").over(earlier).alias(f"__b_{n}") for n in sums])
+    before = before.where(F.col(f"__b_{next(iter(sums))}").isNotNull())
+    before = stage_table(before, "sums-before")
+    here = Window.partitionBy(key, "__task").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({n: F.sum(f"__v_{n}").over(here) for n in sums})
+    out = local.join(F.broadcast(before), [key, "__task"], "left")
+    return out.withColumns({n: F.col(n) + F.coalesce(f"__b_{n}", F.lit(0)) for n in sums}).drop(
+        "__task", *[f"__{k}_{n}" for n in sums for k in "vb"])
+
+
+HOT_GROUPS = 1000
+
+
+def join_unique(rows: DataFrame, groups: DataFrame, on: str, size: str, n_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row per ``on`` and,
+    in ``size``, how many of the ``n_rows`` rows have it.  Groups with more
+    than ``n_rows / HOT_GROUPS`` rows, of which there are fewer than
+    ``HOT_GROUPS``, are broadcast and their rows stay where they are; the
+    others meet by a shuffle that no group of theirs can make uneven."""
+    limit = max(HOT_GROUPS, n_rows // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    cold = groups.where(F.col(size) <= limit)
+    rest = rows.join(hot.select(on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(cold, on))
