@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, quality, rules, simhash, token_counts, token_file
+from quarry.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, prefix_trie, quality, rules, simhash, token_counts, token_file
 from quarry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), tokenizer_path(token_counts.VOCABULARY))
 
 
+_CRC_STEP = "case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end"
+
+
+@query("op11_prefix_trie", sql=f"""
+with recursive t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+      from conversations where conv_id is not null),
+c as (select distinct conv_id, conv_id - conv_id % {prefix_trie.GROUP} as base, conv_id::varchar as s from t),
+crc as (select conv_id, s, 4294967295::bigint as c, 0 as bit from c
+        union all select conv_id, s, {_CRC_STEP.replace("c %", "d %").replace("c >>", "d >>").replace("else c", "else d")}, bit + 1
+        from (select *, case when bit % 8 = 0 then xor(c, ascii(substr(s, bit // 8 + 1, 1))::bigint) else c end as d from crc where bit < 8 * length(s))),
+h as (select conv_id, base, xor(arg_max(crc.c, bit), 4294967295) % {prefix_trie.BORROWED} as h from c join crc using (conv_id) group by all),
+lent as (select h.conv_id, pos, role, text from h join t on t.conv_id = base and pos <= h),
+m as (select conv_id, count(*) as m from lent group by 1),
+r as (select * from lent union all
+      select t.conv_id, pos - h + coalesce(m, 0), role, text from t join h using (conv_id) left join m using (conv_id) where pos > h),
+q as (select conv_id, coalesce(list({{'role': role, 'text': text}} order by pos) filter (where pos is not null), []) as seq
+      from c left join r using (conv_id) group by 1),
+p as (select conv_id, seq, unnest(range(len(seq) + 1)) as depth from q),
+n as (select seq[:depth] as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+        coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(seq) = depth), '') as ends from p group by 1, 2),
+k as (select seq[:depth - 1] as node, count(*) as n_children from (select distinct seq[:depth] as seq, depth from p where depth > 0) group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children, case when depth > 0 then (n_convs - 1) * length(node[depth].text) else 0 end as saved
+      from n left join k using (node)),
+u as (select f.node[:a.d] as node, sum(saved)::bigint as saved_tokens, sum((n_children = 0)::int)::bigint as n_leaves
+      from f, lateral (select unnest(range(f.depth + 1)) as d) a group by 1)
+select f.conv_id, f.depth, parent.conv_id as parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, sha256(f.ends) as ends_sha256
+from f join u using (node) left join f parent on f.depth > 0 and parent.node = f.node[:f.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_in_order(load(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie.prefix_trie(prefix_trie.rebuild(turns))
+    digests = prefix_trie.end_digests(ends)
+    full = nodes.join(digests, "key", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    return full.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @query("op13_exact_dedup", sql=r"""
 with d as (select row_number() over () as rid, doc_id, length(coalesce(text, '')) as size,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
