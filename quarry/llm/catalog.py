@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, packing, prefix_trie, quality, rules, simhash, token_counts, token_file
+from quarry.llm import chat, exact_dedup, fingerprints, hard_negatives, line_dedup, mixing, packing, prefix_trie, quality, rules, simhash, token_counts, token_file
 from quarry.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,30 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+_HN = hard_negatives
+
+
+@query("op12_hard_negatives", sql=f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor({_HN.SCALE} * x::double)) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as al, b.vec_id as id, b.label, list_dot_product(a.v, b.v)::bigint as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, al, id as positive_id, score as positive_score from s where label = al
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= {_HN.POSITIVES}),
+n as (select p.anchor_id, positive_id, id as negative_id, positive_score, score as negative_score,
+             row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::integer as rank
+      from p join s on p.anchor_id = s.anchor_id and s.label <> p.al
+       and {_HN.LOW} * positive_score <= 100 * score and 100 * score <= {_HN.HIGH} * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= {_HN.NEGATIVES}
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @query("op13_exact_dedup", sql=r"""
 with d as (select row_number() over () as rid, doc_id, length(coalesce(text, '')) as size,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
