@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 from array import array
 
 import numpy as np
@@ -39,6 +40,13 @@ _run = re.compile(r"\s ").search
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word still does once a vocabulary has normalised it (NFC,
+    lower case): some letters become a letter and a combining mark, which
+    would join the punctuation mark that follows."""
+    return word[-1].isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower()[-1].isalpha())
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -97,7 +105,7 @@ class ChunkEncoder:
         break inside, or one punctuation mark after a letter."""
         if self.spaced and _blank(word):
             return [self._exact(c) for c in _spaced_chunks(" " + word)]
-        if len(word) > 2 and word[-1] in END_MARKS and word[-2].isalpha():
+        if len(word) > 2 and word[-1] in END_MARKS and _ends_in_letter(word[:-1]):
             return [(True, word[:-1]), (not self.spaced, word[-1])]
         return None
 

@@ -1,6 +1,7 @@
 """Tokenising, token counts, token files and packing."""
 
 import random
+import unicodedata
 import zlib
 
 import corpus_pipeline
@@ -14,7 +15,7 @@ from quarry.llm.catalog import tokenizer_path
 from quarry.llm.tokens import ChunkEncoder
 
 ODD = ["", None, "  a  b ", "a\n\nb", "\n a\t b c  \n\n d", "don't 's x's.", "a\x1cb c.", "é é ΣΑΣ. ΣΑΣ,", "x" * 300 + " yy, zz!",
-       "<|endoftext|> hi <|endoftext|>", "12,3.4 5!", "　wide em", "a\r\nb\x85c"]
+       "GELD\u0130. \u0932\u095c. ab\u0915\u0958, \u05d0\ufb1d.", "<|endoftext|> hi <|endoftext|>", "12,3.4 5!", "　wide em", "a\r\nb\x85c"]
 
 
 def whole(name, text):
@@ -35,6 +36,23 @@ def test_chunked_ids_equal_the_library(name, spaced):
             assert np.frombuffer(got, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_letters_that_normalise_to_a_letter_and_a_mark(name, spaced):
+    """Before punctuation, against the library as it comes."""
+    r = random.Random(7)
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    apart = [c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalpha()]
+    assert {"\u0130", "\u0958", "\u095c", "\ufb1d"} <= set(apart)
+    texts = [f + c + m for c in apart for m in ".,;:!?" for f in ("", "ab", c)]
+    texts += ["".join(r.choice([r.choice(letters), r.choice(apart), r.choice("abAB"), r.choice(" .,;:!?"), chr(r.randrange(0x300, 0x370))])
+                      for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    texts += ["ab" + c + "." for c in letters[::5]]
+    t = Tokenizer.from_file(tokenizer_path(name))
+    got = ChunkEncoder(tokenizer_path(name), spaced, special=True).encode(texts)
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
 def greedy(s, vocab):
     n = i = 0
     while i < len(s):
