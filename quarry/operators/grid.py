@@ -45,19 +45,21 @@ def _cells(batches: Iterator[pa.RecordBatch], make: MakeKernel) -> Iterator[pa.R
                 yield from kernel(pa.RecordBatch.from_struct_array(rows.column("q")))
 
 
-def block_grid(queries: DataFrame, corpus: DataFrame, make: MakeKernel, schema, block_rows: int,
-               n_rows: int | None = None, deal: Column | None = None) -> DataFrame:
+def block_grid(queries: DataFrame, corpus: DataFrame, make: MakeKernel, schema, block_rows: int = 65536,
+               n_rows: int | None = None, parts: int | None = None, deal: Column | None = None) -> DataFrame:
     """What ``make``'s kernels return for all (block, batch) pairs.
 
-    ``n_rows``: the corpus' row count, if known.  ``deal``: a number that
-    says which part a corpus row goes to (rows are dealt in turn without)."""
+    ``n_rows``: the corpus' row count, if known.  A corpus that is already
+    cut gives the number of ``parts`` and the part of a row (``deal``);
+    otherwise rows are dealt in turn."""
     from quarry.session import ship_package
 
     spark = corpus.sparkSession
     ship_package(spark)
-    n = corpus.count() if n_rows is None else n_rows
-    # At least as many parts as a shuffle has, so that small inputs use all cores.
-    parts = max(math.ceil(n / block_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if parts is None:
+        n = corpus.count() if n_rows is None else n_rows
+        # At least as many parts as a shuffle has, so that small inputs use all cores.
+        parts = max(math.ceil(n / block_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = F.monotonically_increasing_id() if deal is None else deal
     c_row, q_row = F.struct(*corpus.columns), F.struct(*queries.columns)
     c_type, q_type = corpus.select(c_row).schema[0].dataType, queries.select(q_row).schema[0].dataType

@@ -9,8 +9,8 @@ Per-group top-k (``knn_per_group``) uses ``row_number() <= k``; Spark
 plans a partial ``WindowGroupLimit`` before the exchange, so even a group
 holding a third of the corpus ships at most k rows per map task.
 
-Many queries (``knn_join``): fixed passes of queries over the corpus, see
-:mod:`quarry.operators.kernels`.
+Many queries (``knn_join``): blocks of queries against blocks of the corpus,
+see :mod:`quarry.operators.grid`.
 
 Approximate search (``lsh_index`` / ``knn_lsh``): signed random projections
 give every vector one bucket per table; the buckets are stored once and
@@ -136,19 +136,65 @@ def index_stats(index: DataFrame, metric: str = "cosine", vec_col: str = "embedd
 
 # ---------------------------------------------------------------- many queries
 
+BLOCK_CELLS = 1 << 22          # vector elements of a corpus block that one task holds (32 MB)
+SCORE_CELLS = 1 << 21          # query x corpus scores made at once (16 MB)
+
+
+def _dense_kernel(k: int, width: int, metric: str, squared: bool, digits: int | None):
+    import pyarrow as pa
+
+    from quarry.operators.grid import best_k, vectors
+
+    def unit(x):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return x / np.linalg.norm(x, axis=1)[:, None] if metric in ("cosine", "cosine_distance") else x
+
+    def make(table):
+        table = table.sort_by("doc_id")
+        ids, block = table.column("doc_id").combine_chunks(), unit(vectors(table.column("vector"), width))
+        squares = np.einsum("ij,ij->i", block, block)
+        step = max(1, SCORE_CELLS // len(ids))
+
+        def run(batch):
+            qids, q = batch.column("qid"), unit(vectors(batch.column("vector"), width))
+            for lo in range(0, len(q), step):
+                part = q[lo:lo + step]
+                s = part @ block.T
+                if metric == "l2":
+                    d2 = np.maximum(np.einsum("ij,ij->i", part, part)[:, None] + squares[None, :] - 2.0 * s, 0.0)
+                    s = 1.0 / (1.0 + (d2 if squared else np.sqrt(d2)))
+                if digits is not None:
+                    s = np.round(s, digits)
+                r, c = best_k(s, k)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(r + lo)), ids.take(pa.array(c)), pa.array(s[r, c], from_pandas=True)],
+                                                 names=["qid", "doc_id", "score"])
+        return run
+    return make
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = config.SEARCH_LIMIT,
              metric: str = "cosine", q_id: str = "qid", q_vec: str = "embedding",
              c_id: str = "doc_id", c_vec: str = "embedding", squared: bool = True,
-             digits: int | None = None, **kw) -> DataFrame:
-    """Exact top-k corpus rows for every query row: (qid, doc_id, score, rank),
-    in passes of ``pass_rows`` queries."""
+             digits: int | None = None, block_rows: int | None = None) -> DataFrame:
+    """Exact top-k corpus rows for every query row: (qid, doc_id, score, rank).
+
+    Every query meets every corpus block in a grid.  A block has
+    ``block_rows`` corpus rows (``BLOCK_CELLS`` vector elements if not given);
+    the corpus is shuffled once and the queries once per block, and k rows per
+    query and block leave it.  Vectors of different widths fail the job; a
+    null or zero vector scores null, which ranks last."""
     if metric not in config.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    from quarry.operators.kernels import batch_topk
-
-    partial = batch_topk(queries, corpus, k, "dense", metric=metric, squared=squared, digits=digits,
-                         q_id=q_id, c_id=c_id, q_cols=(q_vec,), c_cols=(c_vec,), **kw)
-    return rank_within(partial, ["qid"], k, "doc_id")
+    from quarry.operators.grid import block_grid
+
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("vector"))
+    c = corpus.select(F.col(c_id).alias("doc_id"), F.col(c_vec).cast("array<double>").alias("vector"))
+    n, width = c.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    width = max(width or 0, 0)
+    types = {name: df.schema[name].dataType.simpleString() for df, name in ((q, "qid"), (c, "doc_id"))}
+    hits = block_grid(q, c, _dense_kernel(k, width, metric, squared, digits), f"qid {types['qid']}, doc_id {types['doc_id']}, score double",
+                      block_rows or max(1, BLOCK_CELLS // max(1, width)), n)
+    return rank_within(hits, ["qid"], k, "doc_id")
 
 
 # ---------------------------------------------------------------- approximate

@@ -794,10 +794,9 @@ def _stream_search(spark, d):
     from quarry.session import scratch_path
     from quarry.sources.tables import query_turns
     from quarry.streaming.ingest import run_available_now, stream_search
+    from quarry.operators.postings import write_postings
     docs, idf = _doc_tfidf(spark, d)
-    index_path = scratch_path(spark, "text-index")
-    docs.write.parquet(index_path)           # static index, built once
-    index = spark.read.parquet(index_path)
+    index = write_postings(docs, scratch_path(spark, "text-index"))          # static index, built once
     sink, ckpt = scratch_path(spark, "search-sink"), scratch_path(spark, "search-ckpt")
     queries = query_turns(_stream_of(spark, d, "conversations"))
     run_available_now(stream_search(queries, index, idf, sink, ckpt, k=K_HITS, num_buckets=NB, digits=DIGITS))

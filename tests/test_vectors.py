@@ -56,19 +56,36 @@ def _brute(q, c, k):
     return out
 
 
-@pytest.mark.parametrize("pass_rows", [4096, 7])
-def test_knn_join_matches_brute_force(spark, pass_rows):
+@pytest.mark.parametrize("block_rows", [None, 17])
+def test_knn_join_matches_brute_force(spark, block_rows):
     rng = np.random.default_rng(3)
     q = rng.normal(size=(37, 8))
     c = rng.normal(size=(211, 8))
     c[10] = c[11]                                   # tie
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, embedding array<double>")
     cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "doc_id long, embedding array<double>")
-    got = K.knn_join(qdf, cdf, k=5, digits=6, pass_rows=pass_rows).collect()
+    got = K.knn_join(qdf, cdf, k=5, digits=6, block_rows=block_rows).collect()
     assert {(r.qid, r.doc_id, round(r.score, 6)) for r in got} == _brute(q, c, 5)
     assert sorted({r.rank for r in got}) == [1, 2, 3, 4, 5]
 
 
+def test_knn_join_null_zero_and_wrong_widths(spark):
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", None)], "qid string, embedding array<double>")
+    c = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [2.0, 0.0]), ("c", None), ("d", [1.0, 1.0])], "doc_id string, embedding array<double>")
+    got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in K.knn_join(q, c, 3, digits=6).collect()}
+    assert got[("q1", 1)] == ("b", 1.0) and got[("q1", 2)] == ("d", 0.707107) and got[("q1", 3)] == ("a", None)
+    assert [got[("q2", i)] for i in (1, 2, 3)] == [("a", None), ("b", None), ("c", None)]
+    assert K.knn_join(q, c.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="vector width"):
+        K.knn_join(q, spark.createDataFrame([("x", [1.0])], c.schema).union(c), 3).collect()
+
+
+def test_knn_join_is_one_plan_without_the_driver(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, embedding array<double>")
+    plan = K.knn_join(q, q.withColumnRenamed("qid", "doc_id"), 1, block_rows=1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_knn_per_group_has_partial_window_limit(small):
     df = K.knn_per_group(small, [1.0, 0.0, 0.0], 1)
     plan = df._jdf.queryExecution().executedPlan().toString()
