@@ -173,5 +173,11 @@ def udf_embedder(factory, width: int | None = None):
     return embed
 
 
+def probe_width(spark: SparkSession, embedder) -> int:
+    """Width of an embedder's vectors, found by embedding one word."""
+    return spark.range(1).select(F.size(embedder(F.lit("test")))).first()[0]
+
+
 __all__ = ["embed_tf", "embed_tfidf", "embed_queries", "term_frequencies", "idf_table",
-           "idf_vector", "apply_idf", "explode_vectors", "udf_embedder"]
+           "idf_vector", "apply_idf", "explode_vectors", "udf_embedder",
+           "probe_width"]

@@ -74,21 +74,20 @@ def incremental_upsert(old_index: DataFrame, new_files: DataFrame, embed, key=KE
     embedded now; removed rows dropped.  ``embed`` maps a files frame to
     the index schema; it only sees the delta and must keep ``change``.
 
-    Both sides meet in one full outer join (whole rows as structs), written
-    once to the shared folder; the two outcomes are filters over it."""
+    Only keys and hashes meet in the full outer join.  What differs is
+    written once; old rows and new files are joined with that, so neither
+    vectors nor texts of unchanged rows move while the delta is small enough
+    for Spark to broadcast its keys."""
     from quarry.session import scratch_path
 
     spark = old_index.sparkSession
-    o = old_index.select(*key, F.struct(*old_index.columns).alias("__o"), F.lit(True).alias("__old"))
-    n = new_files.select(*key, F.struct(*new_files.columns).alias("__n"), F.lit(True).alias("__new"))
-    j = (o.join(n, list(key), "full_outer")
-         .withColumn("__oh", F.col(f"__o.{hash_col}")).withColumn("__nh", F.col(f"__n.{hash_col}")))
-    j = j.select("__o", "__n", _change("__oh", "__nh").alias("change")).where(F.col("change") != "removed")
-    path = scratch_path(spark, "upsert")
-    j.write.parquet(path)
-    j = spark.read.schema(j.schema).parquet(path)
-    unchanged = j.where(F.col("change") == "unchanged").select("__o.*", "change")
-    delta = embed(j.where(F.col("change") != "unchanged").select("__n.*", "change"))
+    key = list(key)
+    differs = diff_snapshots(old_index, new_files, key, hash_col).where(F.col("change") != "unchanged").select(*key, "change")
+    path = scratch_path(spark, "delta")
+    differs.write.parquet(path)
+    differs = spark.read.schema(differs.schema).parquet(path)
+    unchanged = old_index.join(differs.select(*key), key, "left_anti").withColumn("change", F.lit("unchanged"))
+    delta = embed(new_files.join(differs.where(F.col("change") != "removed"), key))
     return unchanged.unionByName(delta, allowMissingColumns=True)
 
 
@@ -97,7 +96,9 @@ def registry_from_files(files: DataFrame, source=None, is_url: bool = False, rep
     """One registry row per repository: name, source, is_url, processed_at,
     files_processed, data_file (its snapshot) and repo_path."""
     src = source if source is not None else F.concat(F.lit("local:"), F.col(repo_col))
-    snapshot = F.concat(F.lit(f"{data_file}/repo_name="), F.col(repo_col)) if data_file else F.lit(None).cast("string")
+    from quarry.sources.snapshot import snapshot_folder
+
+    snapshot = F.concat(F.lit(f"{data_file}/"), snapshot_folder(F.col(repo_col))) if data_file else F.lit(None).cast("string")
     return files.groupBy(repo_col).agg(F.count(F.lit(1)).alias("files_processed")).select(
         F.col(repo_col).alias("name"), src.alias("source"), F.lit(is_url).alias("is_url"),
         F.current_timestamp().alias("processed_at"), "files_processed",
@@ -116,3 +117,41 @@ def read_export(spark, path: str, stats_schema) -> DataFrame:
 
     schema = T.StructType([T.StructField("exported_at", T.StringType()), T.StructField("stats", stats_schema)])
     return spark.read.schema(schema).json(path).select("stats.*")
+
+
+def upsert_files(store, files: DataFrame, embed) -> int:
+    """Bring a store up to date with files that arrived (repo_name, path,
+    content, hash and other payload; of a repeated path any one counts): new
+    ones are added, changed ones replaced, others left; returns how many
+    differed.  ``embed`` maps payload rows to vector rows and sees only what
+    differs.  The repositories with a difference are switched in one step, and
+    files that are already in the store as they are change nothing, so a
+    batch that is applied again is harmless."""
+    from quarry.operators.records import index_payload
+    from quarry.session import scratch_path
+
+    spark = files.sparkSession
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    new = staged(index_payload(with_doc_id(files.dropDuplicates(list(KEY)))), "arrived")
+    docs = store.read("docs")
+    had = new.limit(0) if docs is None else docs.join(new.select("repo_name").distinct(), "repo_name", "left_semi")
+    differs = diff_snapshots(had, new).where(F.col("change").isin("added", "changed"))
+    differs = staged(differs.select(*KEY), "differs")
+    names = [r[0] for r in differs.select("repo_name").distinct().collect()]            # repositories of one micro-batch
+    if not names:
+        return 0
+    delta = new.join(differs, list(KEY), "left_semi")
+    if docs is None:
+        docs, vectors = delta, embed(delta)
+    else:
+        touched = F.col("repo_name").isin(names)
+        ids = delta.select("doc_id")
+        docs = had.where(touched).join(differs, list(KEY), "left_anti").unionByName(delta, allowMissingColumns=True)
+        vectors = store.read("vectors").where(touched).join(ids, "doc_id", "left_anti").unionByName(embed(delta))
+    store.add(docs, vectors, registry_from_files(docs))
+    return differs.count()

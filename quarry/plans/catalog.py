@@ -363,15 +363,17 @@ def _embeddable(spark, d) -> DataFrame:
     return _files(spark, d).withColumn("embedding_text", embedding_text("path", "content"))
 
 
-def _tasks(spark) -> int:
-    """The documents table is one Parquet row group, so one split: deal it
-    to every core before tokenising."""
-    return spark.sparkContext.defaultParallelism
+def _tasks(spark, d, table: str = "documents") -> int | None:
+    """How many tasks to deal a table to before tokenising: one per core if
+    its scan has fewer splits than cores (here: one row group), else none,
+    as then the shuffle of all texts would gain nothing."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores if load(spark, d, table).rdd.getNumPartitions() < cores else None
 
 
 def _doc_tfidf(spark, d, id_col="doc_id"):
     from quarry.operators.embed import embed_tfidf
-    return embed_tfidf(_embeddable(spark, d), "embedding_text", id_col, NB, partitions=_tasks(spark))
+    return embed_tfidf(_embeddable(spark, d), "embedding_text", id_col, NB, partitions=_tasks(spark, d))
 
 
 def _query_vectors(spark, d, idf):
@@ -384,7 +386,7 @@ def _query_vectors(spark, d, idf):
 SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM tf""")
 def _embed_tf(spark, d):
     from quarry.operators.embed import embed_tf, explode_vectors
-    vecs = embed_tf(_embeddable(spark, d), "embedding_text", "doc_id", NB, partitions=_tasks(spark))
+    vecs = embed_tf(_embeddable(spark, d), "embedding_text", "doc_id", NB, partitions=_tasks(spark, d))
     return explode_vectors(vecs, "doc_id", DIGITS)
 
 
@@ -454,7 +456,7 @@ def _index(spark, d):
     docs = index_payload(with_doc_id(files.drop("doc_id", "lang")))
     ids = with_doc_id(_embeddable(spark, d).drop("doc_id"))
     from quarry.operators.embed import embed_tfidf
-    vecs, idf = embed_tfidf(ids, "embedding_text", "doc_id", NB, keep=("repo_name",), partitions=_tasks(spark))
+    vecs, idf = embed_tfidf(ids, "embedding_text", "doc_id", NB, keep=("repo_name",), partitions=_tasks(spark, d))
     store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
     store.add(docs, vecs, registry_from_files(files))
     return store, idf
@@ -476,6 +478,8 @@ d AS (SELECT coalesce(o.repo_name, n.repo_name) AS repo_name, coalesce(o.path, n
                   WHEN o.hash = n.hash THEN 'unchanged' ELSE 'changed' END AS change
       FROM old o FULL OUTER JOIN new n ON o.repo_name = n.repo_name AND o.path = n.path)"""
 UPDATED_REPO = "src2"
+EMPTIED_REPO = "src4"
+OTHER_REPO = "src5"
 REMOVED_REPOS = ("src0", "src1")
 REGISTRY_PROBE = "src3"
 
@@ -499,44 +503,69 @@ def _diff_snapshots(spark, d):
 
 
 def _stored(spark, files):
-    """A store that holds these files (payload and one-number vectors)."""
+    """A store that holds these files (payload and term vectors)."""
     from quarry.operators.lifecycle import registry_from_files
     from quarry.session import scratch_path
     from quarry.sources.store import IndexStore
     store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
-    store.add(*_rows_of(files), registry_from_files(files), vec_col="embedding")
+    store.add(*_rows_of(files), registry_from_files(files))
     return store
 
 
 def _rows_of(files):
+    """Payload and term vectors (of path and content) of files."""
+    from quarry.operators.embed import embed_tf
     from quarry.operators.lifecycle import with_doc_id
-    from quarry.operators.records import index_payload
+    from quarry.operators.records import index_payload, with_embedding_text
     docs = index_payload(with_doc_id(files.drop("doc_id", "lang")))
-    return docs, docs.select("doc_id", "repo_name", F.array(F.col("size").cast("double")).alias("embedding"))
+    return docs, embed_tf(with_embedding_text(docs), "embedding_text", "doc_id", NB, keep=("repo_name",))
+
+
+def _with_vectors(store, *columns) -> DataFrame:
+    """Stored documents with figures that tell their stored vectors apart."""
+    vectors = store.read("vectors").select(
+        "doc_id", F.size("terms").cast("bigint").alias("n_terms"),
+        F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t).alias("bucket_sum"),
+        F.round(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w), DIGITS).alias("weight_sum"))
+    return store.read("docs").join(vectors, "doc_id").select(*columns, "n_terms", "bucket_sum", "weight_sum")
+
+
+def _vector_sql(cte: str) -> str:
+    return f"""
+vt AS (SELECT repo_name, path, unnest({_TOK.format(c=_ETEXT)}) AS t FROM {cte}),
+vb AS (SELECT repo_name, path, {_BK} AS bucket, count(*)::DOUBLE AS c FROM vt GROUP BY ALL),
+vd AS (SELECT repo_name, path, count(*) AS n_terms, sum(bucket)::BIGINT AS bucket_sum, round(sum(c) / sqrt(sum(c * c)), 6) AS weight_sum FROM vb GROUP BY ALL)"""
 
 
-@register("update_repo", f"""{_SNAP}
-SELECT repo_name, path, hash FROM old WHERE repo_name <> '{UPDATED_REPO}'
-UNION ALL SELECT repo_name, path, hash FROM new WHERE repo_name = '{UPDATED_REPO}'""")
+@register("update_repo", f"""{_SNAP},
+now AS (SELECT repo_name, path, content, hash FROM old WHERE repo_name NOT IN ('{UPDATED_REPO}', '{EMPTIED_REPO}')
+        UNION ALL SELECT repo_name, path, content, hash FROM new WHERE repo_name = '{UPDATED_REPO}'),{_vector_sql("now")}
+SELECT now.repo_name, now.path, hash, n_terms, bucket_sum, weight_sum FROM now JOIN vd USING (repo_name, path)""")
 def _update_repo(spark, d):
-    """Store the old snapshot, replace one repository, read the index."""
+    """Store the old snapshot, replace one repository, update another whose
+    scan finds nothing and a third with foreign rows (refused), read the index."""
     from quarry.operators.lifecycle import registry_from_files
     old, new = _snapshots(spark, d)
     store = _stored(spark, old)
     scan = new.where(F.col("repo_name") == UPDATED_REPO)
-    store.update(UPDATED_REPO, *_rows_of(scan), registry_from_files(scan), vec_col="embedding")
-    return store.visible("docs").select("repo_name", "path", "hash")
-
-
-@register("remove_repos", f"""{_SNAP}
-SELECT repo_name, path, hash, size::DOUBLE AS vector FROM old WHERE repo_name NOT IN ({', '.join(repr(r) for r in REMOVED_REPOS)})""")
+    store.update(UPDATED_REPO, *_rows_of(scan), registry_from_files(scan))
+    store.update(EMPTIED_REPO, *_rows_of(scan.limit(0)))
+    try:
+        store.update(OTHER_REPO, *_rows_of(scan))
+    except ValueError:
+        pass
+    return _with_vectors(store, "repo_name", "path", "hash")
+
+
+@register("remove_repos", f"""{_SNAP},
+now AS (SELECT * FROM old WHERE repo_name NOT IN ({', '.join(repr(r) for r in REMOVED_REPOS)})),{_vector_sql("now")}
+SELECT now.repo_name, now.path, hash, n_terms, bucket_sum, weight_sum FROM now JOIN vd USING (repo_name, path)""")
 def _remove_repos(spark, d):
     """Store the old snapshot, remove repositories, read what is left."""
     old, _ = _snapshots(spark, d)
     store = _stored(spark, old)
     store.remove(REMOVED_REPOS)
-    left = store.visible("vectors").select("doc_id", F.get("embedding", F.lit(0)).alias("vector"))
-    return store.visible("docs").join(left, "doc_id").select("repo_name", "path", "hash", "vector")
+    return _with_vectors(store, "repo_name", "path", "hash")
 
 
 @register("add_summary", f"""{_ELIG}
@@ -548,7 +577,7 @@ def _add_summary(spark, d):
     from quarry.sources.store import IndexStore
     files = _eligible(spark, d)
     store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
-    return store.add(*_rows_of(files), registry_from_files(files), vec_col="embedding")
+    return store.add(*_rows_of(files), registry_from_files(files))
 
 
 @register("incremental_upsert", f"""{_SNAP},
@@ -562,20 +591,60 @@ def _incremental_upsert(spark, d):
 
     def embed(files):
         keep = [c for c in ("repo_name", "path", "hash", "change") if c in files.columns]
-        return embed_tf(files, "content", "doc_id", NB, keep=keep, partitions=_tasks(spark))
+        return embed_tf(files, "content", "doc_id", NB, keep=keep, partitions=_tasks(spark, d))
 
     old, new = _snapshots(spark, d)
     idx = incremental_upsert(embed(old), new, embed)
     return idx.select("repo_name", "path", "hash", "change", F.size("terms").cast("bigint").alias("n_terms"))
 
 
-@register("index_append", f"""{_ELIG}
-SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash, true AS stamped FROM elig""")
+@register("index_append", f"""{_ELIG},{_vector_sql("elig")}
+SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash, true AS stamped,
+       n_terms, bucket_sum, weight_sum FROM elig JOIN vd USING (repo_name, path)""")
 def _index_append(spark, d):
-    """Add every repository to a new store and read the payload back."""
+    """Add every repository to a new store, read payload and vectors back."""
     from quarry.functions.text import content_hash
     store = _stored(spark, _eligible(spark, d).withColumn("hash", content_hash("content")))
-    return store.read("docs").select("doc_id", "repo_name", "path", "extension", "size", "hash", F.col("added_at").isNotNull().alias("stamped"))
+    return _with_vectors(store, "doc_id", "repo_name", "path", "extension", "size", "hash", F.col("added_at").isNotNull().alias("stamped"))
+
+
+TOY_LETTERS = "etaoinsr"
+
+
+def _toy_model():
+    """Stands in for a model that is loaded once per worker: letter counts."""
+    return lambda texts: [[float(t.count(c)) for c in TOY_LETTERS] for t in texts]
+
+
+_TOY_SQL = "[" + ", ".join(f"(length({{c}}) - length(replace({{c}}, '{c}', '')))::DOUBLE" for c in TOY_LETTERS) + "]"
+
+
+@register("embed_search", f"""{_ELIG},
+q AS (SELECT {_TOY_SQL.format(c="text")} AS qv FROM conversations WHERE role = 'user' ORDER BY conv_id || '/' || turn LIMIT 1),
+e AS (SELECT *, 'File: ' || path || chr(10) || chr(10) || 'Content:' || chr(10) || content AS etext FROM elig),
+v AS (SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, {_TOY_SQL.format(c="etext")} AS embedding FROM e)
+SELECT doc_id, repo_name, path, round(list_cosine_similarity(embedding, qv), 6) AS score, {len(TOY_LETTERS)} AS width
+FROM v, q ORDER BY score DESC NULLS LAST, doc_id LIMIT {K_HITS}""")
+def _embed_search(spark, d):
+    """A model of the user's: probe its width, embed and store every file,
+    search with the first user turn, fetch the hits' payload."""
+    from quarry.operators.embed import probe_width, udf_embedder
+    from quarry.operators.lifecycle import registry_from_files, with_doc_id
+    from quarry.operators.records import index_payload, with_embedding_text
+    from quarry.operators.retrieve import fetch_payload
+    from quarry.session import scratch_path
+    from quarry.sources.store import IndexStore
+    from quarry.sources.tables import query_turns
+    width = probe_width(spark, udf_embedder(_toy_model))
+    model = udf_embedder(_toy_model, width)
+    files = _eligible(spark, d)
+    docs = index_payload(with_doc_id(files.drop("doc_id", "lang")))
+    vectors = with_embedding_text(docs).select("doc_id", "repo_name", model("embedding_text").alias("embedding"))
+    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+    store.add(docs, vectors, registry_from_files(files), vec_col="embedding")
+    asked = query_turns(load(spark, d, "conversations")).orderBy("qid").limit(1).select(model("query").alias("embedding"))
+    hits = K.knn(store.read("vectors"), asked, k=K_HITS, digits=DIGITS).select("doc_id", "score", F.size("embedding").alias("width"))
+    return fetch_payload(hits, store.read("docs")).select("doc_id", "repo_name", "path", "score", "width")
 
 
 @register("union_indexes", f"""{_FILES}
@@ -587,7 +656,7 @@ def _union_indexes(spark, d):
     english = F.col("lang") == "en"
     store = _stored(spark, files.where(english))
     rest = files.where(~english)
-    store.add(*_rows_of(rest), registry_from_files(rest), vec_col="embedding")
+    store.add(*_rows_of(rest), registry_from_files(rest))
     lang, repo = F.element_at(F.split("repo_name", ":"), 1), F.element_at(F.split("repo_name", ":"), 2)
     return store.visible("docs").select(repo.alias("repo_name"), "path", lang.alias("lang"))
 
@@ -610,23 +679,44 @@ def _registry(spark, d):
     return registry_from_files(_eligible(spark, d))
 
 
+LATE_REPO = "src8"
+
+
+def _registered(spark, d):
+    """A store to which the repositories were added in two steps and whose
+    registry has since been damaged: one entry holds no Parquet."""
+    import warnings
+
+    from quarry.operators.lifecycle import registry_from_files
+    files = _eligible(spark, d)
+    late = F.col("repo_name") == LATE_REPO
+    store = _stored(spark, files.where(~late))
+    spark.range(1).selectExpr("'damaged' AS value").write.text(f"{store.path('registry')}/entry=1")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")                     # the store reports what it sets aside
+        store.add(*_rows_of(files.where(late)), registry_from_files(files.where(late)))
+    assert store.damaged == ["entry=1"]
+    return store
+
+
 @register("known_repos", f"""{_REG}
 SELECT DISTINCT source AS repo_name FROM documents WHERE source IN (SELECT name FROM reg)""")
 def _known_repos(spark, d):
     from quarry.operators.lifecycle import known_repos
     names = load(spark, d, "documents").select(F.col("source").alias("repo_name")).distinct()
-    return known_repos(names, _registry(spark, d))
+    return known_repos(names, _registered(spark, d).registry())
 
 
 @register("registry_list", f"{_REG} SELECT name, source, is_url, files_processed FROM reg ORDER BY name")
 def _registry_list(spark, d):
-    return _registry(spark, d).select("name", "source", "is_url", "files_processed").orderBy("name")
+    return _registered(spark, d).repos().select("name", "source", "is_url", "files_processed")
 
 
 @register("registry_get", f"{_REG} SELECT name, source, is_url, files_processed FROM reg WHERE name = '{REGISTRY_PROBE}'")
 def _registry_get(spark, d):
-    return _registry(spark, d).where(F.col("name") == REGISTRY_PROBE).select(
-        "name", "source", "is_url", "files_processed")
+    row = _registered(spark, d).get(REGISTRY_PROBE)
+    return spark.createDataFrame([(row["name"], row["source"], row["is_url"], row["files_processed"])] if row else [],
+                                 "name string, source string, is_url boolean, files_processed bigint")
 
 
 _STATS = f"""{_REG},
@@ -688,6 +778,19 @@ def _scan_files(spark, d):
     return rec.select("repo_name", "path", "extension", "size", "hash", F.col("modified").isNotNull().alias("dated"))
 
 
+@register("scan_source", f"""{_TREE_ELIG}
+SELECT 'data' AS repo_name, path, extension, strlen(content)::BIGINT AS size, md5(content) AS hash FROM elig""")
+def _scan_source(spark, d):
+    """The tree as a data source, with size and extension pushed into it."""
+    from quarry import config
+    from quarry.operators.records import file_records
+    from quarry.session import scratch_path
+    from quarry.sources.datasource import open_files, write_listing
+    files = open_files(spark, write_listing(spark, _tree(spark, d), scratch_path(spark, "listed")))
+    wanted = files.where(F.col("size") <= SIZE_CAP).where(F.col("extension").isin(*config.SUPPORTED_EXTENSIONS)).where(F.col("error").isNull())
+    return file_records(wanted, raw_col="raw", keep=("repo_name",)).select("repo_name", "path", "extension", "size", "hash")
+
+
 @register("scan_files_multi", f"""{_TREE_ELIG}
 SELECT repo_name, substr(path, length(repo_name) + 2) AS path, extension, strlen(content)::BIGINT AS size,
        md5(content) AS hash FROM elig""")
@@ -733,6 +836,22 @@ def _read_snapshot(spark, d):
     return read_snapshot(spark, path).select("repo_name", "path", "extension", "size", "hash")
 
 
+@register("snapshot_history", f"""{_SNAP}
+SELECT d.repo_name, d.path, d.old_hash, d.new_hash, d.change, o.n_files AS files_then
+FROM d LEFT JOIN (SELECT repo_name, count(*) AS n_files FROM old GROUP BY 1) o ON o.repo_name = d.repo_name""")
+def _snapshot_history(spark, d):
+    """Two stored snapshots of every repository, compared from disk, with
+    the files each repository had at the earlier time."""
+    import datetime as dt
+
+    from quarry.operators.aggregates import repo_names
+    from quarry.session import scratch_path
+    from quarry.sources.snapshot import diff_stored, snapshot_log, write_snapshot
+    path, (old, new) = scratch_path(spark, "history"), _snapshots(spark, d)
+    then = write_snapshot(old, path, dt.datetime(2024, 1, 1))
+    write_snapshot(new, path, dt.datetime(2024, 6, 1, 12), repos=repo_names(_files(spark, d)))
+    sizes = snapshot_log(spark, path).where(F.col("at") == then).select("repo_name", F.col("n_files").alias("files_then"))
+    return diff_stored(spark, path, dt.datetime(2024, 3, 1)).join(sizes, "repo_name", "left")
 
 
 # ------------------------------------------------------------------ streaming
@@ -757,6 +876,32 @@ def _stream_ingest(spark, d):
     return latest_arrivals(spark.read.parquet(sink)).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"))
 
 
+@register("stream_upsert", f"""{_SNAP},
+now AS (SELECT o.repo_name, o.path, o.content, o.hash FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.repo_name = o.repo_name AND n.path = o.path)
+        UNION ALL SELECT repo_name, path, content, hash FROM new),{_vector_sql("now")}
+SELECT now.repo_name, now.path, hash, n_terms, bucket_sum, weight_sum FROM now JOIN vd USING (repo_name, path)""")
+def _stream_upsert(spark, d):
+    """Both snapshots arrive as a stream of files, the later one after the
+    earlier one; the store ends as a batch build of what arrived last."""
+    from quarry.operators.embed import embed_tf
+    from quarry.operators.records import with_embedding_text
+    from quarry.session import scratch_path
+    from quarry.sources.store import IndexStore
+    from quarry.streaming.ingest import run_available_now, stream_upsert
+    source = scratch_path(spark, "arrivals")
+    old, new = _snapshots(spark, d)
+    for files in (old, new):
+        files.write.mode("append").parquet(source)
+    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+
+    def embed(rows):
+        return embed_tf(with_embedding_text(rows), "embedding_text", "doc_id", NB, keep=("repo_name",))
+
+    arrivals = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1).parquet(source).drop("doc_id", "lang")
+    run_available_now(stream_upsert(arrivals, store, embed, scratch_path(spark, "upsert-ckpt")))
+    return _with_vectors(store, "repo_name", "path", "hash")
+
+
 _FIRST_ARRIVALS = """
 SELECT event_id, user_id, event_type FROM (
   SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events) t

@@ -51,48 +51,104 @@ def test_null_hashes_and_names(spark):
     assert sorted(r.path for r in kept) == ["n", "q"]
 
 
-def test_upsert_plan_has_one_full_join(spark):
-    old = files_df(spark, [("r", "a", "1")]).withColumn("v", F.lit(1))
-    out = L.incremental_upsert(old, old.drop("v"), lambda f: f.withColumn("v", F.lit(2)))
-    assert [(r.path, r.v, r.change) for r in out.collect()] == [("a", 1, "unchanged")]
-    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()       # joined once, before
+def test_upsert_moves_only_the_delta(spark):
+    old = files_df(spark, [("r", "a", "1"), ("r", "gone", "2"), ("r", "b", "3")]).withColumn("v", F.lit(1))
+    new = files_df(spark, [("r", "a", "1"), ("r", "b", "33"), ("r", "c", "4")])
+    out = L.incremental_upsert(old, new, lambda f: f.withColumn("v", F.lit(2)))
+    assert sorted((r.path, r.v, r.change) for r in out.collect()) == [("a", 1, "unchanged"), ("b", 2, "changed"), ("c", 2, "added")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "FullOuter" not in plan and "SortMergeJoin" not in plan
 
 
-def test_store_lifecycle_invariants(spark, scratch):
-    store = IndexStore(spark, scratch + "/idx", num_parts=4)
+def repo(spark, name, paths, width=1):
+    f = files_df(spark, [(name, p, f"{name}:{p}") for p in paths]).withColumn("doc_id", L.doc_id())
+    vectors = f.select("doc_id", "repo_name", F.array(*[F.lit(1.0)] * width).alias("embedding"))
+    return f, vectors, L.registry_from_files(f)
+
+
+def held(store):
+    docs, vectors = store.read("docs"), store.read("vectors")
+    found = [] if docs is None else sorted((r.repo_name, r.path) for r in docs.collect())
+    assert found == ([] if docs is None else sorted((r.repo_name, r.path) for r in docs.join(vectors.select("doc_id"), "doc_id").collect()))
+    return found
 
-    def repo(name, paths, width=1):
-        f = files_df(spark, [(name, p, f"{name}:{p}") for p in paths]).withColumn("doc_id", L.doc_id())
-        vectors = f.select("doc_id", "repo_name", F.array(*[F.lit(1.0)] * width).alias("embedding"))
-        return f, vectors, L.registry_from_files(f)
 
+def test_store_lifecycle_invariants(spark, scratch):
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)
     summary = lambda df: [tuple(r) for r in df.collect()]
-    assert summary(store.add(*repo("r1", ["a", "b"]), vec_col="embedding")) == [("r1", 2, 2)]
-    assert summary(store.add(*repo("2024", ["c"]), vec_col="embedding")) == [("2024", 1, 1)]
-    assert summary(store.add(*repo("r1", ["a", "b"]))) == [("r1", 2, 2)]                # idempotent re-add
-    assert store.read("docs").count() == 3
-    store.update("r1", *repo("r1", ["z"]))                                             # update = replace
-    assert sorted(r.path for r in store.read("docs").collect()) == ["c", "z"]
-    assert sorted(r.path for r in store.visible("vectors").join(store.read("docs"), "doc_id").collect()) == ["c", "z"]
+    assert summary(store.add(*repo(spark, "r1", ["a", "b"]), vec_col="embedding")) == [("r1", 2, 2)]
+    assert summary(store.add(*repo(spark, "2024", ["c"]), vec_col="embedding")) == [("2024", 1, 1)]
+    assert summary(store.add(*repo(spark, "r1", ["a", "b"]))) == [("r1", 2, 2)]         # idempotent re-add
+    assert summary(store.add(*[df.limit(0) for df in repo(spark, "r1", ["a"])])) == []         # nothing to add
+    assert held(store) == [("2024", "c"), ("r1", "a"), ("r1", "b")]
+    store.update("r1", *repo(spark, "r1", ["z"]))                                       # update = replace
+    assert held(store) == [("2024", "c"), ("r1", "z")]
     one = store.read("docs", "2024")
     assert [r.path for r in one.collect()] == ["c"]
-    assert "PartitionFilters: []" not in one._jdf.queryExecution().executedPlan().toString()
+    assert all("repo_key=" in f and f.count("/gen=") == 1 for f in one.inputFiles()) and len(one.inputFiles()) == 1
     with pytest.raises(ValueError, match="no files"):
-        store.add(*repo("r3", ["x"])[:2], repo("empty", ["y"])[2])
+        store.add(*repo(spark, "r3", ["x"])[:2], repo(spark, "empty", ["y"])[2])
     with pytest.raises(ValueError, match="width"):
-        store.add(*repo("r3", ["x"], width=2), vec_col="embedding")
+        store.add(*repo(spark, "r3", ["x"], width=2), vec_col="embedding")
     with pytest.raises(KeyError):
-        store.update("unknown", *repo("unknown", ["x"]))
+        store.update("unknown", *repo(spark, "unknown", ["x"]))
+    assert held(store) == [("2024", "c"), ("r1", "z")] and not store.has("r3")
     assert store.remove(["r1", "unknown"]) == {"r1": True, "unknown": False}
-    assert [r.path for r in store.read("docs").collect()] == ["c"]
-    assert [r.name for r in store.repos().collect()] == ["2024"]
+    assert held(store) == [("2024", "c")]
+    assert [r.name for r in store.repos().collect()] == ["2024"] and store.get("r1") is None
     store.remove(["2024"])
-    assert store.read("docs") is None
-    store.add(*repo("r1", ["a"]))
+    assert held(store) == [] and store.repos().count() == 0
+    store.add(*repo(spark, "r1", ["a"]))
     store.wipe()
     assert store.read("docs") is None and store.repos() is None
 
 
+def test_update_by_an_empty_or_a_foreign_scan(spark, scratch):
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)
+    both = [a.unionByName(b) for a, b in zip(repo(spark, "a", ["x", "y"]), repo(spark, "b", ["z"]), strict=True)]
+    store.add(*both, vec_col="embedding")
+    with pytest.raises(ValueError, match="other repositories"):
+        store.update("a", *repo(spark, "b", ["new"]))
+    with pytest.raises(ValueError, match="other repositories"):
+        store.update("a", repo(spark, "a", ["new"])[0], repo(spark, "b", ["new"])[1])
+    assert held(store) == [("a", "x"), ("a", "y"), ("b", "z")]
+    gone = [df.limit(0) for df in repo(spark, "a", ["x"])]
+    assert [tuple(r) for r in store.update("a", *gone).collect()] == [("a", 0, 0)]
+    assert held(store) == [("b", "z")] and store.get("a")["files_processed"] == 0      # rows gone, registry row stays
+
+
+@pytest.mark.parametrize("step", ["docs", "vectors", "registry", "commit", "clean"])
+def test_a_failure_between_any_two_writes_leaves_a_whole_index(spark, scratch, monkeypatch, step):
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)
+    store.add(*repo(spark, "r", ["old"]))
+    store.add(*repo(spark, "other", ["o"]))
+
+    def fail(name):
+        if name == step:
+            raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(store, "_step", fail)
+    with pytest.raises(RuntimeError):
+        store.update("r", *repo(spark, "r", ["new", "newer"]))
+    after = [("other", "o"), ("r", "new"), ("r", "newer")] if step == "clean" else [("other", "o"), ("r", "old")]
+    assert held(store) == after
+    assert store.get("r")["files_processed"] == (2 if step == "clean" else 1)
+    monkeypatch.undo()
+    store.vacuum()
+    assert held(store) == after
+    assert len(store._entries()) == 1 and all(len(store._children(f"{store.path(t)}/{p}")) == 1 for t in ("docs", "vectors") for p in store._folders(["r", "other"]).values())
+
+
+def test_a_damaged_registry_entry_is_set_aside(spark, scratch):
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)
+    store.add(*repo(spark, "r", ["a"]))
+    store.add(*repo(spark, "s", ["b"]))
+    spark.range(1).selectExpr("'no parquet' AS value").write.text(store.path("registry") + "/entry=5")
+    with pytest.warns(UserWarning, match="set aside"):
+        assert [r.name for r in store.repos().collect()] == ["r", "s"]
+    assert store.damaged == ["entry=5"] and held(store) == [("r", "a"), ("s", "b")]
+
+
 def test_payload_defaults(spark):
     from quarry.operators.records import index_payload, with_repo_name
 
@@ -120,3 +176,26 @@ def test_snapshot_roundtrip_and_nested(spark, scratch):
         json.dump(doc, fh, indent=2)
     rows = read_nested_snapshot(spark, scratch + "/demo.json").collect()
     assert sorted((r.repo_name, r.path) for r in rows) == [("demo", "a.py"), ("demo", "b.py")]
+
+
+def test_snapshot_history(spark, scratch):
+    import datetime as dt
+
+    from quarry.sources.snapshot import diff_stored, snapshot_log
+
+    path, day = scratch + "/history", lambda n: dt.datetime(2024, 1, n)
+    one = files_df(spark, [("r", "a", "1"), ("r", "b", "2"), ("s/s", "c", "3")])
+    write_snapshot(one, path, day(1))
+    write_snapshot(files_df(spark, [("r", "b", "22"), ("r", "d", "4")]), path, day(5))
+    write_snapshot(one.limit(0), path, day(9), repos=spark.createDataFrame([("s/s",)], "repo_name string"))      # now without a file
+    at = lambda n: sorted((r.repo_name, r.path) for r in read_snapshot(spark, path, day(n)).collect())
+    assert at(1) == at(4) == [("r", "a"), ("r", "b"), ("s/s", "c")]
+    assert at(5) == [("r", "b"), ("r", "d"), ("s/s", "c")] and at(9) == [("r", "b"), ("r", "d")]
+    changes = {(r.path, r.change) for r in diff_stored(spark, path, day(2)).collect()}
+    assert changes == {("a", "removed"), ("b", "changed"), ("d", "added"), ("c", "removed")}
+    assert {(r.repo_name, r.n_files) for r in snapshot_log(spark, path).collect()} == {("r", 2), ("s/s", 1), ("s/s", 0)}
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)                     # removal deletes the snapshots
+    f, vectors, _ = repo(spark, "s/s", ["c"])
+    store.add(f, vectors, L.registry_from_files(f, data_file=path))
+    store.remove(["s/s"])
+    assert {r.repo_name for r in read_snapshot(spark, path, day(4)).collect()} == {"r"}
