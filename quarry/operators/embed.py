@@ -74,30 +74,27 @@ def embed_tf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return _l2_normalise(term_frequencies(docs, text_col, id_col, num_buckets, keep, partitions))
 
 
+def _with_idf(df: DataFrame, n_docs: Column) -> DataFrame:
+    return df.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
+
+
 def idf_table(tf: DataFrame) -> DataFrame:
     """(bucket, df, idf) with idf = ln((N+1)/(df+1)) + 1 over the corpus.
     At most ``num_buckets`` rows whatever the corpus size."""
-    n_docs = tf.select(F.count(F.lit(1))).scalar()
     # explode_outer + IS NOT NULL, not explode: for a plain explode Spark
     # infers size(terms) > 0 and pushes it under the projection, which
     # would re-evaluate the whole vectoriser inside that predicate.
     buckets = tf.select(F.explode_outer("terms").alias("bucket")).where(F.col("bucket").isNotNull())
     df = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
+    return _with_idf(df, tf.select(F.count(F.lit(1))).scalar())
 
 
-def idf_vector(tf: DataFrame, num_buckets: int = config.DEFAULT_NUM_BUCKETS) -> Column:
-    """Dense idf array indexed by bucket (0-based ``get``); buckets no
-    document uses get ln(N+1) + 1.  Document frequencies are computed once,
-    here, and written to the shared folder; the returned scalar subquery
-    reads that one row (``num_buckets`` doubles, fixed by the parameter)
-    wherever it is used."""
+def _dense_idf(table: DataFrame, n_docs: Column, num_buckets: int) -> Column:
     from quarry.session import scratch_path
 
-    spark = tf.sparkSession
-    n_docs = tf.select(F.count(F.lit(1))).scalar()
+    spark = table.sparkSession
     every = spark.range(num_buckets).select(F.col("id").cast("int").alias("bucket"))
-    full = every.join(idf_table(tf).select("bucket", "idf"), "bucket", "left").select(
+    full = every.join(table.select("bucket", "idf"), "bucket", "left").select(
         "bucket", F.coalesce(F.col("idf"), F.log(n_docs + 1) + 1).alias("idf"))
     dense = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "idf"))).alias("e")).select(
         F.transform("e", lambda x: x["idf"]).alias("idf"))
@@ -106,6 +103,15 @@ def idf_vector(tf: DataFrame, num_buckets: int = config.DEFAULT_NUM_BUCKETS) ->
     return spark.read.schema(dense.schema).parquet(path).scalar()
 
 
+def idf_vector(tf: DataFrame, num_buckets: int = config.DEFAULT_NUM_BUCKETS) -> Column:
+    """Dense idf array indexed by bucket (0-based ``get``); buckets no
+    document uses get ln(N+1) + 1.  Document frequencies are computed once,
+    here, and written to the shared folder; the returned scalar subquery
+    reads that one row (``num_buckets`` doubles, fixed by the parameter)
+    wherever it is used."""
+    return _dense_idf(idf_table(tf), tf.select(F.count(F.lit(1))).scalar(), num_buckets)
+
+
 def apply_idf(tf: DataFrame, idf: Column) -> DataFrame:
     """Weight raw counts by idf and L2-normalise."""
     staged = tf.withColumn("__idf", idf)
@@ -173,6 +179,58 @@ def udf_embedder(factory, width: int | None = None):
     return embed
 
 
+class DocumentFrequencies:
+    """Stored document frequencies that follow an index.
+
+    Each operation adds one folder ``delta=<id>`` with signed counts per
+    bucket (documents added minus removed; bucket -1: the documents
+    themselves), so the cost is that of the documents that differ.  Applying
+    an operation again under its id replaces its folder.  :meth:`compact`
+    sums the folders up."""
+
+    def __init__(self, spark: SparkSession, path: str, num_buckets: int = config.DEFAULT_NUM_BUCKETS):
+        self.spark, self.path, self.num_buckets = spark, path.rstrip("/"), num_buckets
+
+    def apply(self, operation: int, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Count packed vectors (``terms``) in and out."""
+        parts = []
+        for docs, sign in ((added, 1), (removed, -1)):
+            if docs is not None:
+                buckets = docs.select(F.explode(F.concat(F.array(F.lit(-1)), "terms")).alias("bucket"))
+                parts.append(buckets.groupBy("bucket").agg((F.count(F.lit(1)) * sign).alias("n")))
+        if parts:
+            both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            both.groupBy("bucket").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.path}/delta={operation}")
+
+    def counts(self) -> DataFrame:
+        """(bucket, df) of buckets that some document has; bucket -1: all documents."""
+        deltas = self.spark.read.schema("bucket int, n bigint, delta bigint").parquet(self.path)
+        return deltas.groupBy("bucket").agg(F.sum("n").alias("df")).where(F.col("df") != 0)
+
+    def idf(self) -> DataFrame:
+        """(bucket, df, idf) as :func:`idf_table` gives it for the documents counted."""
+        counts = self.counts()
+        n = counts.agg(F.coalesce(F.max(F.when(F.col("bucket") == -1, F.col("df"))), F.lit(0)).alias("n"))
+        return _with_idf(counts.where(F.col("bucket") >= 0), n.scalar())
+
+    def vector(self) -> Column:
+        """The dense idf array (see :func:`idf_vector`)."""
+        n = self.counts().where(F.col("bucket") == -1).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n")).scalar()
+        return _dense_idf(self.idf(), n, self.num_buckets)
+
+    def compact(self, operation: int) -> None:
+        """Sum all folders up into one, of the given (newest) id."""
+        sc = self.spark.sparkContext
+        root = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in fs.listStatus(root)]
+        whole = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_whole")             # readers skip it
+        self.counts().select("bucket", F.col("df").alias("n")).write.mode("overwrite").parquet(whole.toString())
+        for p in old:
+            fs.delete(p, True)
+        fs.rename(whole, sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/delta={operation}"))
+
+
 def probe_width(spark: SparkSession, embedder) -> int:
     """Width of an embedder's vectors, found by embedding one word."""
     return spark.range(1).select(F.size(embedder(F.lit("test")))).first()[0]
@@ -180,4 +238,4 @@ def probe_width(spark: SparkSession, embedder) -> int:
 
 __all__ = ["embed_tf", "embed_tfidf", "embed_queries", "term_frequencies", "idf_table",
            "idf_vector", "apply_idf", "explode_vectors", "udf_embedder",
-           "probe_width"]
+           "probe_width", "DocumentFrequencies"]

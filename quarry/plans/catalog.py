@@ -598,6 +598,34 @@ def _incremental_upsert(spark, d):
     return idx.select("repo_name", "path", "hash", "change", F.size("terms").cast("bigint").alias("n_terms"))
 
 
+@register("maintained_idf", f"""{_SNAP},
+ntok AS (SELECT repo_name, path, unnest({_TOK.format(c='content')}) AS t FROM new),
+ntf AS (SELECT DISTINCT repo_name, path, {_BK} AS bucket FROM ntok),
+nn AS (SELECT count(*) AS n FROM new)
+SELECT bucket, count(*) AS df, round(ln((nn.n + 1.0) / (count(*) + 1.0)) + 1, 6) AS idf FROM ntf, nn GROUP BY bucket, nn.n""")
+def _maintained_idf(spark, d):
+    """Document frequencies of the old snapshot, brought to the new one by
+    the counts of the files that differ; one operation is applied twice."""
+    from quarry.operators.embed import DocumentFrequencies, embed_tf
+    from quarry.operators.lifecycle import KEY, diff_snapshots
+    from quarry.session import scratch_path
+    old, new = _snapshots(spark, d)
+    path = scratch_path(spark, "differing")
+    diff_snapshots(old, new).select(*KEY, "change").where(F.col("change") != "unchanged").write.parquet(path)
+    differs = spark.read.parquet(path)
+
+    def vectors(files):
+        return embed_tf(files, "content", "doc_id", NB, partitions=_tasks(spark, d))
+
+    counts = DocumentFrequencies(spark, scratch_path(spark, "df"), NB)
+    counts.apply(1, vectors(old))
+    gone = old.join(differs.where(F.col("change") != "added"), list(KEY), "left_semi")
+    come = new.join(differs.where(F.col("change") != "removed"), list(KEY), "left_semi")
+    for _ in range(2):
+        counts.apply(2, vectors(come), vectors(gone))
+    return counts.idf().select("bucket", "df", F.round("idf", DIGITS).alias("idf"))
+
+
 @register("index_append", f"""{_ELIG},{_vector_sql("elig")}
 SELECT sha256(repo_name || chr(31) || path) AS doc_id, repo_name, path, extension, size, md5(content) AS hash, true AS stamped,
        n_terms, bucket_sum, weight_sum FROM elig JOIN vd USING (repo_name, path)""")
@@ -934,6 +962,36 @@ def _stream_dedupe(spark, d):
     return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
+RESENT_EVERY, LATE_EVERY, SLICES, SLICE_FILES = 10, 50, 4, 4
+
+
+@register("stream_drop_repeats", f"""
+SELECT event_id, user_id, event_type FROM events
+WHERE NOT (event_id % {LATE_EVERY} = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY)""")
+def _stream_drop_repeats(spark, d):
+    """The events in time order, each tenth sent again an hour later (and some
+    of them before the first one), a few of the old ones only at the end,
+    when the watermark has passed them."""
+    from quarry.session import scratch_path
+    from quarry.streaming.ingest import drop_repeats, run_available_now
+    events, source = load(spark, d, "events"), scratch_path(spark, "repeats-source")
+    newest = events.select(F.max("ts")).scalar()
+    late = (F.col("event_id") % LATE_EVERY == 7) & (F.col("ts") < newest - F.expr("INTERVAL 10 DAYS"))
+    again = events.where(~late & (F.col("event_id") % RESENT_EVERY == 3)).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    sent = events.where(~late).unionByName(again)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    slice_ = F.least(F.floor((at - first) * SLICES / (last - first + 1)), F.lit(SLICES - 1))
+    for i in range(SLICES):                                 # a slice of bounded files is a micro-batch
+        sent.where(slice_ == i).repartition(SLICE_FILES).write.mode("append").parquet(source)
+    events.where(late).repartition(SLICE_FILES).write.mode("append").parquet(source)
+    sink, ckpt = scratch_path(spark, "repeats-sink"), scratch_path(spark, "repeats-ckpt")
+    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(source)
+    run_available_now(drop_repeats(arrivals, ["event_id"]).writeStream.format("parquet").option("path", sink)
+                      .option("checkpointLocation", ckpt).outputMode("append"))
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
+
+
 @register("stream_search", ORACLE_SQL["search_text"])
 def _stream_search(spark, d):
     from quarry.session import scratch_path

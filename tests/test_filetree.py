@@ -106,3 +106,33 @@ def test_validate_root(tmp_path):
     f.write_text("x")
     with pytest.raises(ValueError):
         validate_root(str(f))
+
+
+def test_data_source_opens_only_what_a_query_wants(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry.sources.datasource import open_files, write_listing
+
+    root = tmp_path / "tree"
+    (root / "node_modules").mkdir(parents=True)
+    for name, text in (("small.py", "x"), ("big.py", "y" * 5000), ("notes.bin", "z"), (".hidden.py", "h"), ("empty.py", ""), ("node_modules/skip.py", "s")):
+        (root / name).write_text(text)
+    listing = write_listing(spark, str(root), str(tmp_path / "listing"), parts=3)
+    files = open_files(spark, listing)
+    every = {r.path: (bytes(r.raw), r.size, r.extension) for r in files.collect()}
+    assert set(every) == {"small.py", "big.py", "notes.bin", ".hidden.py", "empty.py"} and every["big.py"] == (b"y" * 5000, 5000, ".py")
+    for gone in ("big.py", "notes.bin"):                     # to open one now would give a row with an error
+        (root / gone).unlink()
+    wanted = files.where(F.col("size") <= 1000).where(F.col("extension").isin(".py", ".md"))
+    assert {(r.path, r.error) for r in wanted.collect()} == {("small.py", None), (".hidden.py", None), ("empty.py", None)}
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "<= 1000" not in plan and " IN " not in plan          # nothing is left to filter above the source
+    assert {r.path for r in files.where(F.col("error").isNotNull()).collect()} == {"big.py", "notes.bin"}
+    assert files.where(F.col("size") < 1).count() == 1
+
+
+def test_data_source_refuses_a_listing_that_executors_cannot_open(spark):
+    from quarry.sources.datasource import open_files
+
+    with pytest.raises(Exception, match="executors see as files"):
+        open_files(spark, "hdfs://store/listing").collect()

@@ -199,3 +199,55 @@ def test_snapshot_history(spark, scratch):
     store.add(f, vectors, L.registry_from_files(f, data_file=path))
     store.remove(["s/s"])
     assert {r.repo_name for r in read_snapshot(spark, path, day(4)).collect()} == {"r"}
+
+
+def test_upsert_is_harmless_when_repeated(spark, scratch, monkeypatch):
+    store = IndexStore(spark, scratch + "/idx", num_parts=4)
+    embedded = []
+
+    def embed(rows):
+        embedded.append(rows.count())
+        return embed_tf(rows, "content", "doc_id", 64, keep=("repo_name",))
+
+    first = files_df(spark, [("r", "a", "one"), ("r", "b", "two"), ("s", "c", "three"), ("r", "a", "one")])
+    assert L.upsert_files(store, first, embed) == 3
+    assert L.upsert_files(store, first, embed) == 0                                   # the same batch again
+    before = store.get("s")["gen"]
+    second = files_df(spark, [("r", "b", "two changed"), ("r", "d", "four"), ("s", "c", "three")])
+    assert L.upsert_files(store, second, embed) == 2
+    assert embedded == [3, 2] and store.get("s")["gen"] == before                       # s was not touched
+    got = {(r.repo_name, r.path, r.content) for r in store.read("docs").collect()}
+    assert got == {("r", "a", "one"), ("r", "b", "two changed"), ("r", "d", "four"), ("s", "c", "three")}
+    want = embed_tf(L.with_doc_id(files_df(spark, sorted(got))), "content", "doc_id", 64)
+    tidy = lambda df: sorted((r.doc_id, tuple(r.terms)) for r in df.collect())
+    assert tidy(store.read("vectors")) == tidy(want) and store.get("r")["files_processed"] == 3
+    monkeypatch.setattr(store, "_step", lambda name: (_ for _ in ()).throw(RuntimeError("lost")) if name == "commit" else None)
+    third = files_df(spark, [("r", "a", "uno"), ("t", "x", "new")])
+    with pytest.raises(RuntimeError):
+        L.upsert_files(store, third, embed)
+    monkeypatch.undo()
+    assert {(r.repo_name, r.path, r.content) for r in store.read("docs").collect()} == got
+    assert L.upsert_files(store, third, embed) == 2                                   # and again, whole
+    assert store.read("docs", "t").count() == 1
+
+
+def test_maintained_frequencies_equal_a_rebuild(spark, scratch):
+    from quarry.operators.embed import DocumentFrequencies, idf_table, idf_vector
+
+    def vectors(*texts):
+        return embed_tf(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), num_buckets=64)
+
+    tidy = lambda df: sorted((r.bucket, r.df, round(r.idf, 9)) for r in df.collect())
+    counts = DocumentFrequencies(spark, scratch + "/df", 64)
+    counts.apply(1, vectors("a b c", "b c", "c", ""))
+    assert tidy(counts.idf()) == tidy(idf_table(vectors("a b c", "b c", "c", "")))
+    for _ in range(2):                                         # applied again under its id
+        counts.apply(2, vectors("c d", "e"), vectors("a b c"))
+    now = vectors("b c", "c", "", "c d", "e")
+    assert tidy(counts.idf()) == tidy(idf_table(now))
+    counts.compact(2)
+    counts.apply(3, None, vectors("", "e"))
+    now = vectors("b c", "c", "c d")
+    assert tidy(counts.idf()) == tidy(idf_table(now))
+    one = spark.range(1)
+    assert [round(x, 9) for x in one.select(counts.vector().alias("v")).first().v] == [round(x, 9) for x in one.select(idf_vector(now, 64).alias("v")).first().v]
