@@ -114,7 +114,8 @@ k as (select *, nullif(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12)
 h as (select source, count(*) as host_pages from d group by source),
 f as (select source, bare, count(distinct rid) as pages from k where bare is not null group by 1, 2),
 bad as (select f.source, f.bare from f join h on f.source is not distinct from h.source
-        where pages >= {line_dedup.MIN_PAGES} and pages / host_pages > {line_dedup.MAX_RATIO}),
+        where pages >= 2 and (pages / host_pages + 0.5 / host_pages::double - sqrt(pages / host_pages * (1 - pages / host_pages) / host_pages
+          + 0.25 / (host_pages::double * host_pages))) / (1 + 1.0 / host_pages::double) > {line_dedup.MAX_RATIO}),
 m as (select k.rid, k.line, k.pos, b.bare is not null as dropped
       from k left join bad b on k.source is not distinct from b.source and k.bare = b.bare),
 o as (select rid, coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '') as text,
@@ -124,10 +125,10 @@ select doc_id, source, o.text, coalesce(n_dropped, 0) as n_dropped from d left j
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs, host="source")
-    return out.select("doc_id", "source", F.col("__kept").alias("text"), F.col("__dropped").alias("n_dropped"))
+    return out.select("row.doc_id", "row.source", F.col("kept").alias("text"), F.col("dropped").alias("n_dropped"))
 
 
-@query("op9_rule_ledger", sql=rf"""
+_LEDGER_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
 ln as (select rid, unnest(string_split(text, chr(10))) as line from d),
 nl as (select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
@@ -146,16 +147,34 @@ m as (select doc_id, len(w) as n_words,
         length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as n_upper
       from d left join nl using (rid) left join cov using (rid)),
 v as (select *, {" + ".join(f"(case when {r.fails} then {1 << i} else 0 end)" for i, r in enumerate(rules.RULES))} as fail_bits from m)
+"""
+
+
+@query("op9_rule_ledger", sql=_LEDGER_SQL + f"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
        (fail_bits & {rules.mask_of(rules.POLICIES["base"])}) <> 0 as base_failed,
-       (fail_bits & {rules.mask_of(rules.POLICIES[rules.PRODUCTION])}) = 0 as kept
+       (fail_bits & {rules.mask_of(rules.POLICIES[rules.PRODUCTION])}) = 0 as kept,
+       (fail_bits & {rules.mask_of(rules.POLICIES["v1"])}) = 0 as kept_v1
 from v
 """)
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(load(spark, sf_dir, "documents"))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "fail_bits", (~rules.passes("base")).alias("base_failed"), rules.passes(rules.PRODUCTION).alias("kept"))
+        "fail_bits", (~rules.passes("base")).alias("base_failed"), rules.passes(rules.PRODUCTION).alias("kept"),
+        rules.passes("v1").alias("kept_v1"))
+
+
+def _ablation_sql() -> str:
+    one = """select '{policy}' as policy, '{rule}' as rule, sum((fail_bits & {bit} <> 0)::int)::bigint as n_failed,
+       sum((fail_bits & {mask} = {bit})::int)::bigint as n_only_this, count(*) as n_docs, bit_or(fail_bits)::bigint as bits_seen from v having count(*) > 0"""
+    bits = {r.name: 1 << i for i, r in enumerate(rules.RULES)}
+    return " union all ".join(one.format(policy=p, rule=r, bit=bits[r], mask=rules.mask_of(names)) for p, names in rules.POLICIES.items() for r in names)
+
+
+@query("rule_ablations", sql=_LEDGER_SQL + _ablation_sql())
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.all_ablations(rules.ledger(load(spark, sf_dir, "documents")))
 
 
 @query("op10_token_counts")

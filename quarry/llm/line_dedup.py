@@ -1,9 +1,12 @@
 """Site-relative line dedup (DataFrame functions only).
 
 A line is boilerplate of a host when the share of the host's pages that
-contain it exceeds ``max_ratio`` (and at least ``min_pages`` pages do, so
-that a site of a few pages is not emptied by coincidence).  Such lines are
-dropped from every page of that host; other hosts keep them.
+contain it exceeds ``max_ratio`` beyond what chance explains: the share minus
+one standard error (the lower end of its Wilson interval) has to exceed it,
+and the line has to be on two pages at least.  The rule is the same for a host
+of two pages and of millions; the more pages, the closer it is to the plain
+ratio.  Such lines are dropped from every page of that host; other hosts keep
+them.
 
 Lines are compared after trimming ASCII white space, by 64-bit hash; blank
 lines never count and always stay.  Every line of every page is counted:
@@ -15,8 +18,10 @@ joined back; texts are never shuffled when the lists fit the checked
 broadcast bound.
 
 Edge cases: a null host is a host of its own; a null text is a page without
-lines and stays null; repeated rows are separate pages; an empty table gives
-an empty result.
+lines and stays null; repeated rows are separate pages; a text of any length
+is read whole, line by line, and a line counts once per page; equal shares are
+treated alike, no order decides; rows are carried in a struct, so other
+columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,6 @@ from quarry.llm.common import stage_table
 # so a ratio at the rate of the block itself would drop or keep it by chance;
 # at half a rate of one in ten a block is 3.7 such errors away on 500 pages.
 MAX_RATIO = 0.05
-MIN_PAGES = 5
 # Lists are broadcast only when their measured total is at most this many
 # hashes (8 bytes each) and hosts; else they are joined by shuffle.
 BROADCAST_LINES = 1_000_000
@@ -54,45 +58,48 @@ def line_frequencies(docs: DataFrame, host: str = "source", text: str = "text")
             .select("l.host", "l.line", "l.pages", "p.host_pages"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
-                max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def sure_share(pages: Column, host_pages: Column) -> Column:
+    """Lower end of the Wilson interval of one standard error around a share."""
+    p, n = pages / host_pages, host_pages.cast("double")
+    return (p + 0.5 / n - F.sqrt(p * (1 - p) / n + 0.25 / (n * n))) / (1 + 1 / n)
+
+
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
     """(host, lines): the hashes to drop, one row per host that has any."""
     freq = line_frequencies(docs, host, text)
-    return (freq.where((F.col("pages") >= min_pages) & (F.col("pages") / F.col("host_pages") > max_ratio))
+    return (freq.where((F.col("pages") >= 2) & (sure_share(F.col("pages"), F.col("host_pages")) > max_ratio))
             .groupBy("host").agg(F.collect_list("line").alias("lines")))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
-                     max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with ``__kept`` (the text without boilerplate lines) and
-    ``__dropped`` (number of lines dropped) added."""
-    bad = stage_table(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+    """Every row of ``docs`` as the struct ``row``, with ``kept`` (the text
+    without boilerplate lines) and ``dropped`` (number of lines dropped)."""
+    bad = stage_table(boilerplate(docs, host, text, max_ratio), "boilerplate")
     size = bad.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"]
-    bad = bad.select(F.col("host").alias("__host"), F.col("lines").alias("__bad"))
+    bad = bad.select(F.col("host").alias("bad_host"), F.col("lines").alias("bad"))
     if size <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    joined = docs.join(bad, docs[host].eqNullSafe(bad["__host"]), "left").drop("__host")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__bad"), line_key(x)), F.lit(False)))
-    out = joined.withColumn("__lines", F.when(F.col("__bad").isNotNull(), kept))
+    rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    joined = rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
+    lines = F.split("text", "\n")
+    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), line_key(x)), F.lit(False)))
+    out = joined.withColumn("left", F.when(F.col("bad").isNotNull(), left))
     return out.select(
-        *[F.col(c) for c in docs.columns],
-        F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join("__lines", "\n")).alias("__kept"),
-        F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__lines")).cast("bigint").alias("__dropped"),
-    )
+        "row", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("kept"),
+        F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("left")).cast("bigint").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = None,
-                max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
     """``docs`` with boilerplate lines removed from the text, and the
     ``length`` column (code points), if named, brought up to date."""
-    out = drop_boilerplate(docs, host, text, max_ratio, min_pages)
+    out = drop_boilerplate(docs, host, text, max_ratio)
     cols = []
     for c in docs.columns:
+        own = F.col("row").getField(c)
         if c == text:
-            cols.append(F.col("__kept").alias(c))
+            cols.append(F.col("kept").alias(c))
         elif c == length:
-            cols.append(F.when(F.col("__dropped") > 0, F.length("__kept")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(F.col("dropped") > 0, F.length("kept")).otherwise(own).cast(docs.schema[c].dataType).alias(c))
         else:
-            cols.append(F.col(c))
+            cols.append(own.alias(c))
     return out.select(*cols)

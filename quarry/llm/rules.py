@@ -6,10 +6,11 @@ mask over those bits, so a new policy, a comparison of versions, or an
 ablation ("how many documents would come back without rule r?") reads the
 ledger and never the texts again.
 
-Edge cases: a null text has no words and all measurements 0 (it fails
-``few_words``); an empty table gives an empty ledger; repeated rows are
-measured row by row; only the ``keys`` columns are carried along, so other
-columns may have any names.
+Edge cases: a null or empty text has no words and all measurements 0 (it
+fails ``few_words``); a text of any length is measured whole; an empty table
+gives an empty ledger; a null key stays null and repeated rows are measured
+row by row; nothing is ordered between rows, so there are no ties; only the
+``keys`` columns are carried along, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE_PATTERN, WORD_PATTERN
+from quarry.llm.common import SPACE_PATTERN, WORD_PATTERN, stage_table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -112,15 +113,21 @@ def passes(policy: str, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy], rules))) == 0
 
 
+def mask_counts(book: DataFrame) -> DataFrame:
+    """(fail_bits, n): the ledger reduced to one count per distinct bitmask
+    (at most 2^rules rows, combined map-side)."""
+    return book.groupBy("fail_bits").agg(F.count("*").alias("n"))
+
+
 def ablations(book: DataFrame, policy: str = PRODUCTION, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per rule of a policy: documents that fail it, and documents that
-    only it rejects (they come back when the rule is dropped).
+    only it rejects (they come back when the rule is dropped), read off the
+    ledger's bitmask counts with bit arithmetic."""
+    return mask_ablations(mask_counts(book), policy, rules)
+
 
-    The ledger is first reduced to one count per distinct bitmask (at most
-    2^rules rows, combined map-side); the rules are then read off the masks
-    with bit arithmetic."""
+def mask_ablations(masks: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     mask = mask_of(POLICIES[policy], rules)
-    masks = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
     names = F.array(*[
         F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("bigint").alias("bit"))
         for i, r in enumerate(rules) if r.name in POLICIES[policy]
@@ -133,3 +140,14 @@ def ablations(book: DataFrame, policy: str = PRODUCTION, rules: tuple[Rule, ...]
                  F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n_only_this"),
                  F.sum("n").alias("n_docs"),
                  F.bit_or("fail_bits").alias("bits_seen")))
+
+
+def all_ablations(book: DataFrame) -> DataFrame:
+    """:func:`ablations` of every policy version, with ``policy``, over one
+    pass of the ledger (its bitmask counts are written once)."""
+    masks = stage_table(mask_counts(book), "rule-masks")
+    out = None
+    for name in POLICIES:
+        one = mask_ablations(masks, name).select(F.lit(name).alias("policy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

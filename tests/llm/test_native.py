@@ -1,5 +1,6 @@
 """Line dedup and rule ledger: brute force and edge cases."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -51,12 +52,17 @@ def test_empty_tables(make_docs):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def brute_lines(rows, ratio, least):
+def sure_share(k, n):
+    p = k / n
+    return (p + 0.5 / n - math.sqrt(p * (1 - p) / n + 0.25 / n ** 2)) / (1 + 1 / n)
+
+
+def brute_lines(rows, ratio):
     pages, seen = Counter(s for _, _, s in rows), defaultdict(int)
     for _, t, s in rows:
         for k in {x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")} - {""}:
             seen[s, k] += 1
-    bad = {k for k, n in seen.items() if n >= least and n / pages[k[0]] > ratio}
+    bad = {k for k, n in seen.items() if n >= 2 and sure_share(n, pages[k[0]]) > ratio}
     out = []
     for i, t, s in rows:
         out.append((i, None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\n\x0b\x0c\r")) not in bad)))
@@ -65,15 +71,18 @@ def brute_lines(rows, ratio, least):
 
 def test_lines_match_brute_force_with_hot_and_sparse_hosts(make_docs):
     rows = [(i, f"Menu\nbody {i}\n\n  Menu \nFooter\nshared {i % 2}", "hot") for i in range(40)]
-    rows += [(100 + i, f"Menu\nother {i}", f"h{i}") for i in range(6)]                    # too few pages
+    rows += [(100 + i, f"Menu\nother {i}", f"h{i}") for i in range(6)]                    # hosts of one page
     rows += [(200 + i, "Menu\nall lines\n" + ("rare" if i == 0 else "tail"), None) for i in range(8)]
     rows += [(300, None, "hot"), (301, "", "hot"), (302, "Menu", "hot"), (0, rows[0][1], "hot")]
+    rows += [(400 + i, f"Small menu\nsmall {i}", "two") for i in range(2)] + [(410 + i, f"Small menu\nsmall {i}" if i < 3 else "x", "four") for i in range(4)]
+    rows += [(500, "\n".join(f"long line {i % 3000}" for i in range(20000)) + "\nMenu", "hot")]
     docs = make_docs(rows).withColumn("host", F.lit("clash")).withColumn("lines", F.lit(0))
+    docs = docs.withColumns({c: F.lit("clash") for c in ("__kept", "__bad", "__dropped", "__host", "row", "kept", "dropped", "left", "bad", "bad_host")})
     key = lambda x: (x[0], x[1] is None, x[1] or "")
     out = line_dedup.dedup_lines(docs, length="n_chars")
     assert out.columns == docs.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key)
-    assert got == sorted(brute_lines(rows, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES), key=key)
+    assert got == sorted(brute_lines(rows, line_dedup.MAX_RATIO), key=key)
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
@@ -84,6 +93,24 @@ def test_lines_without_broadcast(make_docs, monkeypatch):
     assert got == [(i, f"body {i}") for i in range(30)]
 
 
+def test_small_hosts_lose_their_boilerplate_too(make_docs):
+    """The rule has no page floor: a line on every page of a host of two to
+    four pages goes, one on a single page stays."""
+    for n in (1, 2, 3, 4):
+        got = sorted(r["text"] for r in line_dedup.dedup_lines(make_docs([(i, f"Menu\nbody {i}", "h") for i in range(n)])).collect())
+        assert got == ([f"body {i}" for i in range(n)] if n > 1 else ["Menu\nbody 0"])
+
+
+def test_all_policies_and_ablations_in_one_pass(make_docs):
+    book = rules.ledger(make_docs([(i, t) for i, t in enumerate(TEXTS)] + [(None, "w " * 3500)]))
+    assert book.where("doc_id is null").first()["n_words"] == 3500
+    got = {(r["policy"], r["rule"]): (r["n_failed"], r["n_only_this"], r["n_docs"]) for r in rules.all_ablations(book).collect()}
+    assert set(got) == {(p, r) for p, names in rules.POLICIES.items() for r in names}
+    for p in rules.POLICIES:
+        assert {r["rule"]: (r["n_failed"], r["n_only_this"], r["n_docs"]) for r in rules.ablations(book, p).collect()} == {r: v for (q, r), v in got.items() if q == p}
+    assert rules.all_ablations(rules.ledger(make_docs([]))).count() == 0
+
+
 def test_block_on_fewer_than_a_tenth_of_the_pages_is_dropped(make_docs):
     """Shares measured for one block in sources of 500 pages: 8.6% to 13.2%;
     the next most frequent line is on at most 4.8%."""

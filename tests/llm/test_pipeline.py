@@ -26,7 +26,7 @@ def test_stages_match_brute_force(spark):
     quality = {r["doc_id"]: r["quality"] for r in load(spark, SF, "labels").collect()}
     assert all(quality.get(i, 1) == 1 for i, *_ in kept)                        # every labelled bad document is gone
     assert {i for i, q in quality.items() if q == 1} <= {i for i, *_ in kept}    # every labelled good one stays
-    lines = brute_lines(kept, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)
+    lines = brute_lines(kept, line_dedup.MAX_RATIO)
     source = {i: s for i, _, s in kept}
     got = stages[names[1]](spark, out, SF)
     assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(lines)
