@@ -967,7 +967,7 @@ RESENT_EVERY, LATE_EVERY, SLICES, SLICE_FILES = 10, 50, 4, 4
 
 @register("stream_drop_repeats", f"""
 SELECT event_id, user_id, event_type FROM events
-WHERE NOT (event_id % {LATE_EVERY} = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY)""")
+WHERE NOT (event_id % {LATE_EVERY} = 7 AND ts < (SELECT max(ts) FROM events) - INTERVAL 15 DAY)""")
 def _stream_drop_repeats(spark, d):
     """The events in time order, each tenth sent again an hour later (and some
     of them before the first one), a few of the old ones only at the end,
@@ -976,7 +976,7 @@ def _stream_drop_repeats(spark, d):
     from quarry.streaming.ingest import drop_repeats, run_available_now
     events, source = load(spark, d, "events"), scratch_path(spark, "repeats-source")
     newest = events.select(F.max("ts")).scalar()
-    late = (F.col("event_id") % LATE_EVERY == 7) & (F.col("ts") < newest - F.expr("INTERVAL 10 DAYS"))
+    late = (F.col("event_id") % LATE_EVERY == 7) & (F.col("ts") < newest - F.expr("INTERVAL 15 DAYS"))
     again = events.where(~late & (F.col("event_id") % RESENT_EVERY == 3)).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
     sent = events.where(~late).unionByName(again)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
