@@ -12,18 +12,21 @@ holding a third of the corpus ships at most k rows per map task.
 Many queries (``knn_join``): blocks of queries against blocks of the corpus,
 see :mod:`quarry.operators.grid`.
 
-Approximate search (``lsh_index`` / ``knn_lsh``): signed random projections
-give every vector one bucket per table; the buckets are stored once and
-joined on equality, so a query touches only the vectors that share a
-bucket, which are then re-ranked exactly.
+Approximate search (``write_lsh`` / ``knn_lsh``): signed random projections
+give every distinct vector one bucket per table, stored once; codes have as
+many bits as the wanted recall, measured against brute force when the index is
+built, allows.  A query probes, in every table, the buckets around its own and
+meets their ids by an equality join; vectors are fetched once per candidate and
+re-ranked exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import config
@@ -199,49 +202,192 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = config.SEARCH_LIMIT
 
 # ---------------------------------------------------------------- approximate
 
-LSH_TABLES = 24
-LSH_BITS = 4
-
-
-def planes(width: int, tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7) -> np.ndarray:
-    """Random hyperplanes, (tables * bits, width), fixed by the seed."""
-    return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables * bits, width))
-
-
-def lsh_buckets(vec: Column, width: int, tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7) -> Column:
-    """ARRAY<INT>: per table the signs of ``bits`` projections as one
-    number.  Projections onto +1/-1 planes are sums and differences of the
-    vector's elements, evaluated JVM-side."""
-    out = []
-    p = planes(width, tables, bits, seed)
-    for t in range(tables):
-        code = F.lit(0)
-        for b in range(bits):
-            signs = F.array(*[F.lit(float(x)) for x in p[t * bits + b]])
-            dot_ = F.aggregate(F.zip_with(vec, signs, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x)
-            code = code + F.when(dot_ >= 0, 1 << b).otherwise(0)
-        out.append(code)
-    return F.array(*out)
-
-
-def lsh_index(corpus: DataFrame, width: int, id_col: str = "doc_id", vec_col: str = "embedding", tables: int = LSH_TABLES,
-              bits: int = LSH_BITS, seed: int = 7) -> DataFrame:
-    """(tab, code, id, vector): one row per vector and table, to be stored
-    (partitioned by ``tab``).  Zero vectors have no direction and no rows."""
-    own = corpus.select(id_col, vec_col, lsh_buckets(F.col(vec_col), width, tables, bits, seed).alias("__codes"))
-    own = own.where(F.exists(vec_col, lambda x: x != 0))
-    return own.select(F.posexplode("__codes").alias("tab", "code"), id_col, vec_col)
-
-
-def knn_lsh(queries: DataFrame, index: DataFrame, width: int, k: int = config.SEARCH_LIMIT, q_id: str = "qid", q_vec: str = "embedding",
-            c_id: str = "doc_id", c_vec: str = "embedding", tables: int = LSH_TABLES, bits: int = LSH_BITS, seed: int = 7,
-            digits: int | None = None) -> DataFrame:
-    """Approximate top-k by cosine of every query: equality join of the
-    queries' buckets with a stored ``lsh_index``, one row per candidate
-    pair, exact re-rank.  (qid, doc_id, score, rank)."""
-    q = lsh_index(queries, width, q_id, q_vec, tables, bits, seed).select("tab", "code", F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"))
-    c = index.select(F.col("tab").alias("ctab"), F.col("code").alias("ccode"), F.col(c_id).alias("doc_id"), F.col(c_vec).alias("cv"))
-    pairs = q.join(c, (F.col("tab") == F.col("ctab")) & (F.col("code") == F.col("ccode")))
-    s = similarity("qv", "cv", "cosine")
-    pairs = pairs.select("qid", "doc_id", (F.round(s, digits) if digits is not None else s).alias("score")).distinct()
-    return rank_within(pairs, ["qid"], k, "doc_id")
+LSH_TABLES = 72
+LSH_OPEN = 3                   # bits a query leaves open: 2^3 buckets per table
+LSH_MOST_BITS = 30
+LSH_RECALL = 0.95              # of the sample's neighbours that the index has to find
+LSH_SAMPLE = 64                # vectors whose neighbours are found by brute force to fit the bits
+LSH_NEAR = 10                  # neighbours of each
+LSH_KEEP = 100                 # ids kept of equal vectors, and so the most hits of a search
+QUERY_BYTES = 64 << 20         # query vectors are broadcast up to this measured size
+
+
+def lsh_bits(vectors: int) -> int:
+    """The most bits a code may have: as many as number the vectors.  Then a
+    bucket holds about one of evenly spread ones; more bits spare nothing."""
+    return min(LSH_MOST_BITS, max(LSH_OPEN + 1, (max(vectors, 1) - 1).bit_length()))
+
+
+def planes(width: int, tables: int = LSH_TABLES, seed: int = 7) -> np.ndarray:
+    """Random +1/-1 hyperplanes, (tables, LSH_MOST_BITS, width), fixed by the
+    seed; codes of b bits use the first b of each table."""
+    return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, LSH_MOST_BITS, width))
+
+
+def lsh_buckets(df: DataFrame, id_col: str, vec_col: str, width: int, bits: int, tables: int = LSH_TABLES, open_bits: int = 0,
+                seed: int = 7) -> DataFrame:
+    """(id, bucket): the buckets of every vector, ``table << 30 | code``.  A
+    code has the signs of ``bits`` projections.  With ``open_bits``, the
+    buckets that differ in any of the so many bits whose projections are
+    closest to zero (equal ones: the lower bit first) are given too."""
+    from quarry.session import ship_package
+
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from quarry.operators.grid import vectors
+
+        p = planes(width, tables, seed)[:, :bits].reshape(tables * bits, width).T
+        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+        table = (np.arange(tables, dtype=np.int64) << LSH_MOST_BITS)[None, :]
+        subsets = (np.arange(1 << open_bits)[:, None] >> np.arange(open_bits)) & 1
+        step = max(1, SCORE_CELLS // (tables * max(bits, 1 << open_bits)))
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                x = (vectors(part.column(1), width) @ p).reshape(len(part), tables, bits)
+                code = ((x >= 0) @ weight)[:, :, None]
+                if open_bits:
+                    near = np.argsort(np.abs(x), axis=2, kind="stable")[:, :, :open_bits]
+                    code = code ^ (weight[near] @ subsets.T)
+                key = (code | table[:, :, None]).reshape(len(part), -1)
+                ends = np.arange(len(part) + 1, dtype=np.int32) * key.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.ravel()))], names=["id", "buckets"])
+
+    own = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, buckets array<bigint>").select("id", F.explode("buckets").alias("bucket"))
+
+
+def with_direction(df: DataFrame, vec_col: str) -> DataFrame:
+    """Rows whose vector has a direction: not null, not zero, every component
+    finite."""
+    usable = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(vec_col).isNotNull() & usable & F.exists(vec_col, lambda x: x != 0))
+
+
+def _sample_neighbours(vectors: DataFrame, width: int, sample: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, neighbours): the vectors of ``sample`` rows (first by the MD5
+    of their ids) beside each of their ``near`` nearest others among all rows.
+    The sample goes to every task; ``near + 1`` rows of each per batch come
+    back from the scan, ``sample * near`` in all to the driver."""
+    from quarry.session import ship_package
+
+    ship_package(vectors.sparkSession)
+    rows = vectors.orderBy(F.md5(F.col("cid").cast("string")), "cid").limit(sample).select("cid", "vector").collect()
+    if not rows:
+        return np.empty((0, width)), np.empty((0, width))
+    q = np.array([r.vector for r in rows])
+    unit_q = q / np.linalg.norm(q, axis=1)[:, None]
+
+    def run(batches):
+        import pyarrow as pa
+
+        from quarry.operators.grid import best_k
+        from quarry.operators.grid import vectors as matrix
+
+        for batch in batches:
+            x = matrix(batch.column("vector"), width)
+            s = np.round(unit_q @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
+            r, c = best_k(s, near + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(r), batch.column("cid").take(pa.array(c)), pa.array(s[r, c])], names=["at", "cid", "score"])
+
+    key = vectors.schema["cid"].dataType.simpleString()
+    best = rank_within(vectors.select("cid", "vector").mapInArrow(run, f"at bigint, cid {key}, score double"), ["at"], near + 1, "cid")
+    found = F.broadcast(best.select("at", "cid"))                # sample * (near + 1) rows
+    pairs = [(r.at, r.vector) for r in vectors.join(found, "cid").select("at", "cid", "vector").collect() if r.cid != rows[r.at].cid]
+    return q[[at for at, _ in pairs]], np.array([v for _, v in pairs]).reshape(-1, width)
+
+
+def fit_bits(queries: np.ndarray, neighbours: np.ndarray, most: int, tables: int, seed: int, recall: float) -> int:
+    """The most bits with which at least ``recall`` of the (query, neighbour)
+    pairs meet in a probed bucket; ``LSH_OPEN + 1`` at least."""
+    if not len(queries):
+        return most
+    p = planes(queries.shape[1], tables, seed)[:, :most].reshape(tables * most, -1).T
+    x = (queries @ p).reshape(-1, tables, most)
+    differ = (x >= 0) != ((neighbours @ p).reshape(x.shape) >= 0)
+    for bits in range(most, LSH_OPEN + 1, -1):
+        near = np.argsort(np.abs(x[:, :, :bits]), axis=2, kind="stable")[:, :, :LSH_OPEN]
+        closed = differ[:, :, :bits].sum(2) - np.take_along_axis(differ[:, :, :bits], near, 2).sum(2)
+        if (closed == 0).any(1).mean() >= recall:
+            return bits
+    return min(most, LSH_OPEN + 1)
+
+
+@dataclass(frozen=True)
+class LshIndex:
+    """A stored index.  ``buckets``: (bucket, cid); ``vectors``: a row per
+    distinct vector (cid, the smallest of its ``ids``, and the vector)."""
+
+    buckets: DataFrame
+    vectors: DataFrame
+    width: int
+    bits: int
+    tables: int
+    seed: int
+    keep: int
+
+
+def write_lsh(corpus: DataFrame, path: str, id_col: str = "doc_id", vec_col: str = "embedding", tables: int = LSH_TABLES,
+              seed: int = 7, keep: int = LSH_KEEP, recall: float = LSH_RECALL) -> LshIndex:
+    """Index the vectors of ``corpus`` (ids are unique) under ``path``.
+
+    The number of bits is fitted: the most with which ``recall`` of the
+    ``LSH_NEAR`` nearest others of ``LSH_SAMPLE`` vectors, found by brute force
+    over all, share a probed bucket.  Clustered vectors get many bits and small
+    buckets; vectors without any structure get few, because there is no
+    shorter way to their neighbours.
+
+    Rows with the same vector are indexed once, so that copies fill no
+    bucket; of their ids the ``keep`` smallest are stored, which is all that a
+    search for at most ``keep`` hits can return.  Null, zero and non-finite
+    vectors have no direction and are not indexed; vectors of different widths
+    fail the job."""
+    spark = corpus.sparkSession
+    rows = with_direction(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")), "vector")
+    rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))       # trimmed in every task before the shuffle
+    same = rows.withColumn("at", rank).where(F.col("at") <= keep).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    same.select(F.col("ids")[0].alias("cid"), "ids", "vector").write.parquet(f"{path}/vectors")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    bits = fit_bits(*_sample_neighbours(vectors, width or 0, LSH_SAMPLE, LSH_NEAR), lsh_bits(n), tables, seed, recall)
+    spark.range(1).select(*[F.lit(v).alias(c) for c, v in (("width", width or 0), ("bits", bits), ("tables", tables), ("seed", seed), ("keep", keep))]
+                          ).write.parquet(f"{path}/meta")
+    lsh_buckets(vectors, "cid", "vector", width or 0, bits, tables, seed=seed).select("bucket", F.col("id").alias("cid")).write.parquet(f"{path}/buckets")
+    return read_lsh(spark, path)
+
+
+def read_lsh(spark: SparkSession, path: str) -> LshIndex:
+    m = spark.read.parquet(f"{path}/meta").first()
+    return LshIndex(spark.read.parquet(f"{path}/buckets"), spark.read.parquet(f"{path}/vectors"), m.width, m.bits, m.tables, m.seed, m.keep)
+
+
+def lsh_candidates(queries: DataFrame, index: LshIndex, q_id: str = "qid", q_vec: str = "embedding", open_bits: int = LSH_OPEN) -> DataFrame:
+    """(qid, cid): the distinct vectors that share a probed bucket with a
+    query, once each.  Only ids move; they are dealt by ``cid``, which serves
+    the removal of repeats and the join with the vectors alike."""
+    probes = lsh_buckets(with_direction(queries, q_vec), q_id, q_vec, index.width, index.bits, index.tables, min(open_bits, index.bits), index.seed)
+    return probes.withColumnRenamed("id", "qid").join(index.buckets, "bucket").select("qid", "cid").repartition("cid").distinct()
+
+
+def knn_lsh(queries: DataFrame, index: LshIndex, k: int = config.SEARCH_LIMIT, q_id: str = "qid", q_vec: str = "embedding",
+            open_bits: int = LSH_OPEN, digits: int | None = None) -> DataFrame:
+    """Approximate top-k by cosine of every query (ids are unique):
+    (qid, doc_id, score, rank).
+
+    Candidates by :func:`lsh_candidates`, each vector fetched once per
+    candidate pair and scored exactly.  The first k distinct vectors of a query
+    hold its first k rows, so ids of equal vectors are only listed for those.
+    ``k`` may not exceed the index's ``keep``.  A query without direction has
+    no hits."""
+    if k > index.keep:
+        raise ValueError(f"the index keeps {index.keep} ids of equal vectors, fewer than k = {k}")
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"))
+    small = q.count() * max(index.width, 1) * 8 <= QUERY_BYTES
+    found = lsh_candidates(q, index, "qid", "qv", open_bits).join(index.vectors, "cid").join(F.broadcast(q) if small else q, "qid")
+    s = similarity("qv", "vector", "cosine")
+    scored = found.select("qid", "cid", "ids", (F.round(s, digits) if digits is not None else s).alias("score"))
+    best = rank_within(scored, ["qid"], k, "cid").select("qid", F.explode("ids").alias("doc_id"), "score")
+    return rank_within(best, ["qid"], k, "doc_id")

@@ -1016,17 +1016,45 @@ def _stream_search(spark, d):
 LSH_EVERY = 20
 
 
+LSH_SQL_BITS = 16        # planes per table that the SQL lists: enough for 65,536 distinct vectors
+
+
 def _lsh_sql() -> str:
-    p, n = K.planes(64), K.LSH_BITS
-    codes = ", ".join(
-        "[" + " + ".join(f"(CASE WHEN list_dot_product(v, [{', '.join(str(x) for x in p[t * n + b])}]) >= 0 THEN {1 << b} ELSE 0 END)"
-                         for b in range(n)) + f", {t}]" for t in range(K.LSH_TABLES))
+    signs = ", ".join(f"({t}, '{''.join('1' if x > 0 else '0' for x in p[:LSH_SQL_BITS].ravel())}')" for t, p in enumerate(K.planes(64)))
+    least = K.LSH_OPEN + 1
     return f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_dot_product(embedding, embedding) > 0),
-b AS (SELECT vec_id, v, unnest([{codes}]) AS k FROM e),
-c AS (SELECT DISTINCT q.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(q.v, b.v), 6) AS score
-      FROM b q JOIN b ON q.k = b.k WHERE q.vec_id % {LSH_EVERY} = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM c)
+u AS (SELECT min(vec_id) AS vec_id, v FROM e GROUP BY v),
+n AS (SELECT greatest({least}, CASE WHEN count(*) > 1 THEN length(to_base(count(*) - 1, 2)) ELSE 0 END) AS most FROM u),
+s AS (SELECT * FROM (VALUES {signs}) AS s(tab, signs)),
+p AS (SELECT tab, b, [2.0 * substr(signs, (b * 64 + i + 1)::INT, 1)::INT - 1.0 for i in range(64)]::DOUBLE[] AS plane
+      FROM s, range({LSH_SQL_BITS}) AS r(b)),
+d AS MATERIALIZED (SELECT vec_id, tab, b::INT AS b, list_dot_product(v, plane) AS x FROM e, p),
+c AS MATERIALIZED (SELECT vec_id, tab, sum(CASE WHEN x >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM d GROUP BY vec_id, tab),
+sample AS (SELECT vec_id, v FROM u ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {K.LSH_SAMPLE}),
+near AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r
+    FROM (SELECT a.vec_id AS qid, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM sample a, u b))
+    WHERE r <= {K.LSH_NEAR + 1} AND qid <> doc_id),
+so AS (SELECT vec_id, tab, bits, sum(1 << b)::BIGINT AS free
+       FROM (SELECT d.*, bits, row_number() OVER (PARTITION BY vec_id, tab, bits ORDER BY abs(x), b) AS r
+             FROM d, range({least}, {LSH_SQL_BITS + 1}) AS w(bits) WHERE b < bits AND vec_id IN (SELECT vec_id FROM sample))
+       WHERE r <= {K.LSH_OPEN} GROUP BY vec_id, tab, bits),
+met AS (SELECT qid, doc_id, bits, bool_or(xor(a.code, b.code) & ((1 << bits::INT) - 1) & ~free = 0) AS hit
+        FROM near JOIN c a ON a.vec_id = qid JOIN c b ON b.vec_id = doc_id AND a.tab = b.tab
+        JOIN so ON so.vec_id = qid AND so.tab = a.tab GROUP BY qid, doc_id, bits),
+fit AS (SELECT coalesce(max(bits), {least}) AS bits
+        FROM (SELECT bits FROM met, n WHERE bits <= most GROUP BY bits HAVING avg(hit::INT) >= {K.LSH_RECALL})),
+o AS (SELECT vec_id, tab, sum(1 << b)::BIGINT AS free
+      FROM (SELECT d.*, row_number() OVER (PARTITION BY vec_id, tab ORDER BY abs(x), b) AS r
+            FROM d, fit WHERE b < bits AND vec_id % {LSH_EVERY} = 0)
+      WHERE r <= {K.LSH_OPEN} GROUP BY vec_id, tab),
+pairs AS (SELECT DISTINCT q.vec_id AS qid, c.vec_id AS doc_id
+          FROM c q JOIN o ON q.vec_id = o.vec_id AND q.tab = o.tab JOIN c ON q.tab = c.tab, fit
+          WHERE xor(q.code, c.code) & ((1 << bits::INT) - 1) & ~free = 0),
+m AS (SELECT qid, doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score
+      FROM pairs JOIN e a ON a.vec_id = qid JOIN e b ON b.vec_id = doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM m)
 SELECT qid, doc_id, score, rank FROM r WHERE rank <= {K_HITS}"""
 
 
@@ -1034,10 +1062,8 @@ SELECT qid, doc_id, score, rank FROM r WHERE rank <= {K_HITS}"""
 def _knn_lsh(spark, d):
     from quarry.session import scratch_path
     emb = _emb(spark, d)
-    path = scratch_path(spark, "lsh-index")
-    K.lsh_index(emb, 64, "vec_id").write.partitionBy("tab").parquet(path)
-    queries = emb.where(F.col("vec_id") % LSH_EVERY == 0)
-    return K.knn_lsh(queries, spark.read.parquet(path), 64, K_HITS, q_id="vec_id", c_id="vec_id", digits=DIGITS)
+    index = K.write_lsh(emb, scratch_path(spark, "lsh-index"), "vec_id")
+    return K.knn_lsh(emb.where(F.col("vec_id") % LSH_EVERY == 0), index, K_HITS, q_id="vec_id", digits=DIGITS)
 
 
 FLAGSHIP = "search_text"

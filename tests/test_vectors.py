@@ -93,17 +93,82 @@ def test_knn_per_group_has_partial_window_limit(small):
     assert {r.repo_name: r.doc_id for r in df.collect()} == {"a": 1, "b": 3, "c": 5}
 
 
-def test_lsh_recall_and_zero_vectors(spark):
+def test_lsh_recall_and_zero_vectors(spark, tmp_path):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    zero = spark.createDataFrame([(-1, [0.0] * 64)], "vec_id long, embedding array<float>")
-    both = emb.select("vec_id", "embedding").union(zero)
-    index = K.lsh_index(both, 64, "vec_id").cache()
-    assert index.where("vec_id = -1").count() == 0
+    odd = spark.createDataFrame([(-20, [0.0] * 64), (-40, None), (-60, [float("nan")] * 64), (-80, [float("inf")] * 64)],
+                                "vec_id long, embedding array<float>")
+    both = emb.select("vec_id", "embedding").union(odd)
+    index = K.write_lsh(both, str(tmp_path / "lsh"), "vec_id")
+    assert index.vectors.where("cid < 0").count() == 0 and K.LSH_OPEN < index.bits <= K.lsh_bits(emb.count())
     queries = both.where("vec_id % 20 = 0")
-    approx = {(r.qid, r.doc_id) for r in K.knn_lsh(queries, index, 64, 10, q_id="vec_id", c_id="vec_id").collect()}
-    exact = {(r.qid, r.doc_id) for r in K.knn_join(queries, emb, 10, q_id="vec_id", c_id="vec_id").collect()}
+    approx = {(r.qid, r.doc_id) for r in K.knn_lsh(queries, index, 10, q_id="vec_id").collect()}
+    exact = {(r.qid, r.doc_id) for r in K.knn_join(queries.where("vec_id >= 0"), emb, 10, q_id="vec_id", c_id="vec_id").collect()}
     assert len(approx & exact) / len(exact) >= 0.9
-    index.unpersist()
+    assert {q for q, _ in approx} == {q for q, _ in exact}
+    with pytest.raises(ValueError, match="keeps"):
+        K.knn_lsh(queries, index, K.LSH_KEEP + 1, q_id="vec_id")
+
+
+def test_lsh_copies_are_indexed_once_and_all_listed(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 16))
+    rows = [(i, base[i].tolist()) for i in range(300)] + [(1000 + i, base[7].tolist()) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    index = K.write_lsh(corpus, str(tmp_path / "lsh"), keep=12)
+    assert index.vectors.count() == 300 and index.buckets.count() == 300 * K.LSH_TABLES
+    again = K.read_lsh(spark, str(tmp_path / "lsh"))
+    hits = K.knn_lsh(spark.createDataFrame([(1, base[7].tolist())], "qid long, embedding array<double>"), again, 12, digits=6)
+    got = [(r.doc_id, r.score, r["rank"]) for r in hits.orderBy("rank").collect()]
+    assert got == [(d, 1.0, i + 1) for i, d in enumerate([7, *range(1000, 1011)])]
+
+
+def test_lsh_probes_the_least_certain_bits_and_buckets_shrink(spark, tmp_path):
+    one = spark.createDataFrame([(1, [3.0, -1.0, 0.5, 2.0])], "id long, v array<double>")
+    p = K.planes(4, tables=2)[:, :5]
+    want = set()
+    for t in range(2):
+        x = p[t] @ np.array([3.0, -1.0, 0.5, 2.0])
+        code = sum(1 << b for b in range(5) if x[b] >= 0)
+        near = sorted(range(5), key=lambda b: (abs(x[b]), b))[:2]
+        want |= {t << K.LSH_MOST_BITS | code ^ (i & 1) << near[0] ^ (i >> 1) << near[1] for i in range(4)}
+    assert {r.bucket for r in K.lsh_buckets(one, "id", "v", 4, 5, 2, 2).collect()} == want
+    assert [K.lsh_bits(n) for n in (0, 1, 16, 17, 1 << 20, 1 << 40)] == [4, 4, 4, 5, 20, K.LSH_MOST_BITS]
+    empty = spark.createDataFrame([], "doc_id long, embedding array<double>")
+    index = K.write_lsh(empty, str(tmp_path / "none"))
+    assert K.knn_lsh(empty.withColumnRenamed("doc_id", "qid"), index, 5).count() == 0
+
+
+def test_lsh_bits_follow_the_measured_recall(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 64))
+    met, recall, bits = {}, {}, {}
+    for name, v in (("clustered", centres[np.arange(3000) % 100] + 0.3 * rng.normal(size=(3000, 64))), ("random", rng.normal(size=(3000, 64)))):
+        corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<double>")
+        q = corpus.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid")
+        index = K.write_lsh(corpus, str(tmp_path / name))
+        met[name], bits[name] = K.lsh_candidates(q, index).count() / (60 * 3000), index.bits
+        got = {(r.qid, r.doc_id) for r in K.knn_lsh(q, index, 10).collect()}
+        exact = {(r.qid, r.doc_id) for r in K.knn_join(q, corpus, 10).collect()}
+        recall[name] = len(got & exact) / len(exact)
+    assert min(recall.values()) >= 0.9
+    assert bits["clustered"] == K.lsh_bits(3000) > bits["random"], (bits, met)
+    assert 2 * met["clustered"] < met["random"] < 0.6, (bits, met)
+
+
+def test_fit_bits_against_buckets_met(spark):
+    rng = np.random.default_rng(2)
+    q, near = rng.normal(size=(20, 8)), rng.normal(size=(20, 8)) * 0.6
+    near += q
+    frames = [spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>") for v in (q, near)]
+
+    def share(bits):
+        probes, own = (K.lsh_buckets(f, "id", "v", 8, bits, 4, o) for f, o in zip(frames, (K.LSH_OPEN, 0), strict=True))
+        return probes.join(own, ["id", "bucket"]).select("id").distinct().count() / 20
+
+    shares = {bits: share(bits) for bits in range(K.LSH_OPEN + 1, 13)}
+    for recall in (0.5, 0.9):
+        good = [b for b, s in shares.items() if s >= recall]
+        assert K.fit_bits(q, near, 12, 4, 7, recall) == max([K.LSH_OPEN + 1, *good])
 
 
 def test_udf_embedder_width_checked(spark):
