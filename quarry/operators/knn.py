@@ -319,7 +319,7 @@ def fit_bits(queries: np.ndarray, neighbours: np.ndarray, most: int, tables: int
 @dataclass(frozen=True)
 class LshIndex:
     """A stored index.  ``buckets``: (bucket, cid); ``vectors``: a row per
-    distinct vector (cid, the smallest of its ``ids``, and the vector)."""
+    distinct vector (cid, the smallest of its ``ids``, the vector and its norm)."""
 
     buckets: DataFrame
     vectors: DataFrame
@@ -349,7 +349,7 @@ def write_lsh(corpus: DataFrame, path: str, id_col: str = "doc_id", vec_col: str
     rows = with_direction(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")), "vector")
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))       # trimmed in every task before the shuffle
     same = rows.withColumn("at", rank).where(F.col("at") <= keep).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    same.select(F.col("ids")[0].alias("cid"), "ids", "vector").write.parquet(f"{path}/vectors")
+    same.select(F.col("ids")[0].alias("cid"), "ids", "vector", norm("vector").alias("norm")).write.parquet(f"{path}/vectors")
     vectors = spark.read.parquet(f"{path}/vectors")
     n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     bits = fit_bits(*_sample_neighbours(vectors, width or 0, LSH_SAMPLE, LSH_NEAR), lsh_bits(n), tables, seed, recall)
@@ -384,10 +384,10 @@ def knn_lsh(queries: DataFrame, index: LshIndex, k: int = config.SEARCH_LIMIT, q
     no hits."""
     if k > index.keep:
         raise ValueError(f"the index keeps {index.keep} ids of equal vectors, fewer than k = {k}")
-    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv"))
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("qv")).withColumn("qnorm", norm("qv"))
     small = q.count() * max(index.width, 1) * 8 <= QUERY_BYTES
     found = lsh_candidates(q, index, "qid", "qv", open_bits).join(index.vectors, "cid").join(F.broadcast(q) if small else q, "qid")
-    s = similarity("qv", "vector", "cosine")
+    s = similarity("qv", "vector", "cosine", a_norm="qnorm", b_norm="norm")      # norms once per vector, not per pair
     scored = found.select("qid", "cid", "ids", (F.round(s, digits) if digits is not None else s).alias("score"))
     best = rank_within(scored, ["qid"], k, "cid").select("qid", F.explode("ids").alias("doc_id"), "score")
     return rank_within(best, ["qid"], k, "doc_id")
