@@ -17,7 +17,8 @@ texts are never shuffled to be sampled.
 
 Edge cases: a null source is a source (ordered last); a null or empty text
 has size 0 and takes 0 words; rows that repeat a doc_id are taken or left
-together; an empty table gives an empty result; a source of size 0 has
+together; texts of any length are counted whole; rows are carried in a
+struct, so other columns may have any name; an empty table gives an empty result; a source of size 0 has
 target 0; if even all clamps together fall short of the budget, every
 source gets its clamp.
 """

@@ -21,7 +21,9 @@ Edge cases: a null text is an empty one; null hosts and paths are sites of
 their own; a label that is null or whose document is missing is ignored, as
 are repeated labels; with fewer than two classes labelled there is no
 evidence (0) and every document is kept; an empty table gives an empty
-result; a site of one document gets its parent's rate.
+result; a site of one document gets its parent's rate; texts of any length
+are read whole; a posterior equal to the threshold keeps the document; rows
+are carried in a struct, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ the component.
 Edge cases: null and empty texts have fingerprint 0 and are linked like any
 other; fewer words than a shingle form one shingle; copies and repeated
 rows share a fingerprint and are one node of the search; a component whose
-ids are all null has a null id; an empty table gives an empty result; other
+ids are all null has a null id; every shingle of a text of any length
+counts; an empty table gives an empty result; other
 columns do not matter.
 """
 

@@ -34,6 +34,15 @@ def test_measures_match_brute_force(make_docs):
     assert got == want
 
 
+def test_long_texts_and_null_keys_are_measured_whole(make_docs):
+    words = [f"w{i % 1700}" for i in range(40_000)]
+    texts = [" ".join(words), " ".join(words[:1700]) + "\n" + "x" * 300_000 + "\n" + " ".join(words[:1700]), "\n".join(words[:5000])]
+    docs = make_docs([(None, texts[0]), (1, texts[1]), (2, texts[2]), (None, None)])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+                 for r in rules.ledger(docs).collect())
+    assert got == sorted([(-1, *brute_measures(texts[0])), (1, *brute_measures(texts[1])), (2, *brute_measures(texts[2])), (-1, *brute_measures(None))])
+
+
 def test_policies_and_ablations_agree_with_counting(make_docs):
     book = rules.ledger(make_docs([(i, t) for i, t in enumerate(TEXTS)])).cache()
     bits = [r["fail_bits"] for r in book.select("fail_bits").collect()]
@@ -101,6 +110,20 @@ def test_small_hosts_lose_their_boilerplate_too(make_docs):
         assert got == ([f"body {i}" for i in range(n)] if n > 1 else ["Menu\nbody 0"])
 
 
+def test_boilerplate_at_the_end_of_very_long_texts(make_docs):
+    """A line is found wherever it stands, and helper names are the caller's to use."""
+    long = "\n".join(f"line {i} of its own" for i in range(60_000))
+    rows = [(i, f"page {i}\n{long.replace('line', f'p{i}')}\nshared footer") for i in range(3)] + [(i, f"short {i}") for i in range(3, 6)] + [(None, "shared footer")]
+    names = ("row", "host", "kept", "dropped", "left", "bad", "bad_host", "lines")
+    docs = make_docs(rows).withColumns({n: F.lit(n) for n in names})
+    got = line_dedup.dedup_lines(docs, length="n_chars").collect()
+    assert len(got) == len(rows) and all(r[n] == n for r in got for n in names)
+    by_id = {r["doc_id"]: (r["text"], r["n_chars"]) for r in got}
+    for i, text in rows:
+        want = text.removesuffix("shared footer").removesuffix("\n")
+        assert by_id[i] == (want, len(want))
+
+
 def test_all_policies_and_ablations_in_one_pass(make_docs):
     book = rules.ledger(make_docs([(i, t) for i, t in enumerate(TEXTS)] + [(None, "w " * 3500)]))
     assert book.where("doc_id is null").first()["n_words"] == 3500
