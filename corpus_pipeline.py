@@ -4,6 +4,12 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
 the last return the columns of ``documents``.  ``run`` writes every stage's
 result to the shared checkpoint folder and reads it back as the next one's
 input, so a lost executor never reaches back past one stage.
+
+Edge cases: an empty table passes all stages and gives no sequences; a null
+text is an empty one (fingerprint 0, one end token) and a null source or lang
+is a value of its own; rows that repeat a doc_id are separate documents until
+near-dedup, which keeps the first written; texts of any length are read
+whole; other columns are carried along by all stages but the last.
 """
 
 from __future__ import annotations
