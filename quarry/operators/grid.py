@@ -58,8 +58,8 @@ def block_grid(queries: DataFrame, corpus: DataFrame, make: MakeKernel, schema,
     ship_package(spark)
     if parts is None:
         n = corpus.count() if n_rows is None else n_rows
-        # At least as many parts as a shuffle has, so that small inputs use all cores.
-        parts = max(math.ceil(n / block_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # Every part gets all queries, so there are only as many as blocks or cores.
+        parts = max(math.ceil(n / block_rows), spark.sparkContext.defaultParallelism)
     at = F.monotonically_increasing_id() if deal is None else deal
     c_row, q_row = F.struct(*corpus.columns), F.struct(*queries.columns)
     c_type, q_type = corpus.select(c_row).schema[0].dataType, queries.select(q_row).schema[0].dataType

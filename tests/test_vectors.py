@@ -189,3 +189,16 @@ def test_udf_embedder_width_checked(spark):
 def test_query_of_another_width_fails(spark, small):
     with pytest.raises(Exception, match="vector width"):
         K.knn(small, [1.0, 0.0], k=1).collect()
+
+
+def test_grid_parts_follow_cores_not_shuffle_partitions(spark):
+    """Every part gets all queries, so more parts than needed multiply the shuffle."""
+    from quarry.operators.grid import block_grid
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = spark.range(20)
+        assert block_grid(rows, rows, lambda table: lambda batch: [], "id bigint").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
