@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,11 @@ def write_tree(files: DataFrame, root: str, encoding: str = "utf-8") -> int:
     """Write each row's content to ``root/<path>`` from the executors; text
     that ``encoding`` cannot express is written as UTF-8.  Returns the
     number of files."""
-    def write(it):
+    def write(batches):
         n = 0
-        for pdf in it:
-            for p, c in zip(pdf["path"], pdf["content"]):
+        for batch in batches:
+            for p, c in zip(batch.column("path"), batch.column("content")):      # one text as a Python string at a time
+                p, c = p.as_py(), c.as_py()
                 full = os.path.join(root, p)
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 try:
@@ -38,10 +40,10 @@ def write_tree(files: DataFrame, root: str, encoding: str = "utf-8") -> int:
                 with open(full, "wb") as fh:
                     fh.write(data)
                 n += 1
-        yield pd.DataFrame({"n": [n]})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     ship_package(files.sparkSession)
-    return files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    return files.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def remove_files(files: DataFrame, root: str) -> int:

@@ -28,8 +28,8 @@ from quarry import config
 
 FORMAT = "quarry_files"
 SCHEMA = "repo_name string, path string, full_path string, extension string, size bigint, modified timestamp, raw binary, error string"
-BATCH_BYTES = 32 << 20
-BATCH_ROWS = 10_000
+BATCH_BYTES = 4 << 20      # a batch is held as Python bytes and as Arrow at once
+BATCH_ROWS = 1_000
 
 
 class ListedFiles(InputPartition):
