@@ -124,7 +124,10 @@ def upsert_files(store, files: DataFrame, embed) -> int:
     content, hash and other payload; of a repeated path any one counts): new
     ones are added, changed ones replaced, others left; returns how many
     differed.  ``embed`` maps payload rows to vector rows and sees only what
-    differs.  The repositories with a difference are switched in one step, and
+    differs.  What differs is laid on top of what a repository has, and only
+    once its layers would hold more rows than it has files it is written anew
+    as a whole, so what is written grows with the changes and not with the
+    store.  The repositories with a difference are switched in one step, and
     files that are already in the store as they are change nothing, so a
     batch that is applied again is harmless."""
     from quarry.operators.records import index_payload
@@ -139,19 +142,30 @@ def upsert_files(store, files: DataFrame, embed) -> int:
 
     new = staged(index_payload(with_doc_id(files.dropDuplicates(list(KEY)))), "arrived")
     docs = store.read("docs")
-    had = new.limit(0) if docs is None else docs.join(new.select("repo_name").distinct(), "repo_name", "left_semi")
+    # only keys and hashes of the store meet the batch, and only those of its files
+    had = new.limit(0) if docs is None else docs.select(*KEY, "hash").join(new.select(*KEY), list(KEY), "left_semi")
     differs = diff_snapshots(had, new).where(F.col("change").isin("added", "changed"))
-    differs = staged(differs.select(*KEY), "differs")
-    names = [r[0] for r in differs.select("repo_name").distinct().collect()]            # repositories of one micro-batch
-    if not names:
+    differs = staged(differs.select(*KEY, "change"), "differs")
+    come = {r[0]: r[1] for r in differs.groupBy("repo_name").count().collect()}        # repositories of one micro-batch
+    if not come:
         return 0
-    delta = new.join(differs, list(KEY), "left_semi")
+    delta = new.join(differs.select(*KEY), list(KEY), "left_semi")
+    vectors = embed(delta)
     if docs is None:
-        docs, vectors = delta, embed(delta)
-    else:
-        touched = F.col("repo_name").isin(names)
-        ids = delta.select("doc_id")
-        docs = had.where(touched).join(differs, list(KEY), "left_anti").unionByName(delta, allowMissingColumns=True)
-        vectors = store.read("vectors").where(touched).join(ids, "doc_id", "left_anti").unionByName(embed(delta))
-    store.add(docs, vectors, registry_from_files(docs))
-    return differs.count()
+        store.add(delta, vectors, registry_from_files(delta))
+        return sum(come.values())
+    had_vectors = store.read("vectors")
+    had_vectors = vectors.limit(0) if had_vectors is None else had_vectors
+    delta, vectors = (a.limit(0).unionByName(b, allowMissingColumns=True) for a, b in ((docs, delta), (had_vectors, vectors)))
+    top = []
+    if delta.dtypes == docs.dtypes and vectors.dtypes == had_vectors.dtypes:
+        now = store.get_all(come)
+        top = [n for n, r in now.items() if r and (r["stacked"] or 0) + come[n] <= (r["files_processed"] or 0)]
+    counted = docs.where(F.col("repo_name").isin(list(come))).select("repo_name").unionByName(differs.where(F.col("change") == "added").select("repo_name"))
+    ids, changed = delta.select("doc_id"), new.join(differs.where(F.col("change") == "changed").select(*KEY), list(KEY), "left_semi")
+    if whole := [n for n in come if n not in top]:
+        again = F.col("repo_name").isin(whole)
+        delta = docs.where(again).join(differs.select(*KEY), list(KEY), "left_anti").unionByName(delta)
+        vectors = had_vectors.where(again).join(ids, "doc_id", "left_anti").unionByName(vectors)
+    store.add(delta, vectors, registry_from_files(counted), on_top=top, replaced=changed.where(F.col("repo_name").isin(top)))
+    return sum(come.values())

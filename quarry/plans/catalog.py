@@ -909,29 +909,37 @@ def _stream_ingest(spark, d):
     return latest_arrivals(spark.read.parquet(sink)).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"))
 
 
+UPSERT_BATCHES = 4
+
+
 @register("stream_upsert", f"""{_SNAP},
 now AS (SELECT o.repo_name, o.path, o.content, o.hash FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.repo_name = o.repo_name AND n.path = o.path)
         UNION ALL SELECT repo_name, path, content, hash FROM new),{_vector_sql("now")}
 SELECT now.repo_name, now.path, hash, n_terms, bucket_sum, weight_sum FROM now JOIN vd USING (repo_name, path)""")
 def _stream_upsert(spark, d):
     """Both snapshots arrive as a stream of files, the later one after the
-    earlier one; the store ends as a batch build of what arrived last."""
+    earlier one, when the stream goes on from its checkpoint; each in up to
+    UPSERT_BATCHES micro-batches, however many files it has.  The store ends
+    as a batch build of what arrived last."""
     from quarry.operators.embed import embed_tf
     from quarry.operators.records import with_embedding_text
     from quarry.session import scratch_path
     from quarry.sources.store import IndexStore
     from quarry.streaming.ingest import run_available_now, stream_upsert
     source = scratch_path(spark, "arrivals")
-    old, new = _snapshots(spark, d)
-    for files in (old, new):
-        files.write.mode("append").parquet(source)
-    store = IndexStore(spark, scratch_path(spark, "store"), num_parts=16)
+    store, ckpt = IndexStore(spark, scratch_path(spark, "store"), num_parts=16), scratch_path(spark, "upsert-ckpt")
 
     def embed(rows):
         return embed_tf(with_embedding_text(rows), "embedding_text", "doc_id", NB, keep=("repo_name",))
 
-    arrivals = spark.readStream.schema(old.schema).option("maxFilesPerTrigger", 1).parquet(source).drop("doc_id", "lang")
-    run_available_now(stream_upsert(arrivals, store, embed, scratch_path(spark, "upsert-ckpt")))
+    came = 0
+    for files in _snapshots(spark, d):
+        files.write.mode("append").parquet(source)
+        there = len(spark.read.schema(files.schema).parquet(source).inputFiles())
+        arrivals = (spark.readStream.schema(files.schema).option("maxFilesPerTrigger", max(1, -(-(there - came) // UPSERT_BATCHES)))
+                    .parquet(source).drop("doc_id", "lang"))
+        run_available_now(stream_upsert(arrivals, store, embed, ckpt))
+        came = there
     return _with_vectors(store, "repo_name", "path", "hash")
 
 

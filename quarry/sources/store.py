@@ -7,6 +7,11 @@ vector columns, no content, so searches never scan text) are partitioned by
 ``registry`` is a log: each operation adds one folder ``entry=<number>`` with
 a row per repository it touched: its generation, or that it was removed.
 
+A repository's rows may lie in several generations: its ``gen`` and ``layers``
+that were put on top of it (``add`` with ``on_top``), so that few changes to a
+large repository write few rows.  ``replaced``, stored like the other two, has
+the doc_ids that a layer replaces in the generations before it.
+
 An operation is all or nothing.  It writes new generations beside the old
 ones, then a registry entry under a temporary name, and renames that folder:
 from then on readers, which take the newest entry of a repository and join on
@@ -31,9 +36,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("docs", "vectors", "registry")
+PAYLOAD = ("docs", "vectors", "replaced")
+TABLES = (*PAYLOAD, "registry")
 REGISTRY = ("name string, source string, is_url boolean, processed_at timestamp, files_processed bigint, data_file string, "
-            "repo_path string, gen bigint, width int, removed boolean")
+            "repo_path string, gen bigint, width int, layers array<bigint>, stacked bigint, removed boolean")
 SHOWN = ("name", "source", "is_url", "processed_at", "files_processed", "data_file", "repo_path")
 OBSERVED = 500            # repositories whose rows one observation counts
 
@@ -43,6 +49,11 @@ def repo_key(repo) -> Column:
     return F.concat(F.lit("r"), F.md5(repo.cast("binary")))
 
 
+def _generations() -> Column:
+    """All generations of a registry row."""
+    return F.concat(F.array("gen"), F.coalesce("layers", F.expr("cast(array() as array<bigint>)")))
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, num_parts: int = 256):
         self.spark, self.root, self.num_parts = spark, root.rstrip("/"), num_parts
@@ -122,9 +133,10 @@ class IndexStore:
 
     def get(self, repo: str) -> dict | None:
         """One repository's registry row."""
-        return self._rows([repo])[repo]
+        return self.get_all([repo])[repo]
 
-    def _rows(self, names: Iterable[str]) -> dict[str, dict | None]:
+    def get_all(self, names: Iterable[str]) -> dict[str, dict | None]:
+        """Registry rows of several repositories."""
         names, reg = list(names), self.registry()
         found = reg.where(F.col("name").isin(names)).collect() if reg is not None and names else []
         return dict.fromkeys(names) | {r["name"]: r.asDict() for r in found}
@@ -156,16 +168,34 @@ class IndexStore:
             row = self.get(repo)
             if row is None:
                 return None
-            return self._parquet(base, f"{base}/{self._folders([repo])[repo]}/gen={row['gen']}")
+            rows = self._generations(table, repo, [row["gen"], *(row["layers"] or [])])
+            return rows if rows is None else self._current(rows, self._generations("replaced", repo, row["layers"] or [])).drop("gen")
         reg = self.registry()
-        rows = None if reg is None else self._parquet(base, base, "gen")
+        rows = None if reg is None else self._parquet(base, [base], "gen")
         if rows is None or reg.isEmpty():
             return None
-        return rows.join(reg.select(F.col("name").alias("repo_name"), "gen"), ["repo_name", "gen"], "left_semi").drop("gen")
-
-    def _parquet(self, base: str, path: str, *keep: str) -> DataFrame | None:
+        seen = reg.select(F.col("name").alias("repo_name"), F.explode(_generations()).alias("gen"))
+        rows = rows.join(seen, ["repo_name", "gen"], "left_semi")
+        layered = bool(self._children(self.path("replaced"))) and not reg.where(F.size("layers") > 0).isEmpty()
+        replaced = self._parquet(self.path("replaced"), [self.path("replaced")], "gen") if layered else None
+        return self._current(rows, None if replaced is None else replaced.join(seen, ["repo_name", "gen"], "left_semi")).drop("gen")
+
+    def _generations(self, table: str, repo: str, gens: list[int]) -> DataFrame | None:
+        folder = f"{self.path(table)}/{self._folders([repo])[repo]}"
+        there = set(self._children(folder)) if gens else set()
+        paths = [f"{folder}/gen={g}" for g in gens if f"gen={g}" in there]
+        return self._parquet(self.path(table), paths, "gen") if paths else None
+
+    def _current(self, rows: DataFrame, replaced: DataFrame | None) -> DataFrame:
+        """Rows of which no later layer has another version."""
+        if replaced is None:
+            return rows
+        later = replaced.groupBy(F.col("doc_id").alias("__id")).agg(F.max("gen").alias("__gen"))
+        return rows.join(later, (F.col("doc_id") == F.col("__id")) & (F.col("gen") < F.col("__gen")), "left_anti")
+
+    def _parquet(self, base: str, paths: list[str], *keep: str) -> DataFrame | None:
         try:
-            rows = self.spark.read.option("basePath", base).parquet(path)
+            rows = self.spark.read.option("basePath", base).parquet(*paths)
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
@@ -191,9 +221,12 @@ class IndexStore:
         each = {k: v for o in counts for k, v in o.get.items()}
         return {n: each[f"n{i}"] for i, n in enumerate(names)}, widths.get
 
-    def _replace(self, names: list[str], docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None, may_be_empty: bool) -> dict[str, int]:
-        """Write new generations of the named repositories and switch to them."""
+    def _replace(self, names: list[str], docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None, may_be_empty: bool,
+                 on_top: Iterable[str] = (), replaced: DataFrame | None = None) -> dict[str, int]:
+        """Write new generations of the named repositories and switch to them;
+        those ``on_top`` keep the ones they have."""
         gen = time.time_ns() // 1000
+        below = {n: r for n, r in self.get_all(on_top).items() if r is not None}
         old = self.registry()
         width = None if old is None or not vec_col else old.where(~F.col("name").isin(names)).agg(F.max("width")).first()[0]
         try:
@@ -211,32 +244,40 @@ class IndexStore:
             if len(found) > 1:
                 raise ValueError(f"vector widths differ: {sorted(found)}")
             self._step("registry")
-            self._commit(registry.withColumns({"gen": F.lit(gen), "width": F.lit(max(found, default=None)).cast("int"), "removed": F.lit(False)}), gen)
+            if below and replaced is not None:
+                self._write("replaced", replaced.select("repo_name", "doc_id"), gen, [])
+            layers = [(n, r["gen"], [*(r["layers"] or []), gen], (r["stacked"] or 0) + added[n]) for n, r in below.items()]
+            layers = self.spark.createDataFrame(layers, "name string, base bigint, layers array<bigint>, stacked bigint")
+            registry = registry.join(F.broadcast(layers), "name", "left")
+            self._commit(registry.withColumns({"gen": F.coalesce("base", F.lit(gen)), "width": F.lit(max(found, default=None)).cast("int"), "removed": F.lit(False)}), gen)
         except BaseException:
             self._clean(names, only=gen)
             raise
         self._step("clean")
-        self._clean(names, keep=gen)
+        self._clean([n for n in names if n not in below], keep=gen)
         return added
 
     def _clean(self, names: Iterable[str], keep: int | None = None, only: int | None = None) -> None:
         """Delete generations of repositories: all but ``keep``, or ``only`` one."""
         for place in self._folders(list(names)).values():
-            for table in ("docs", "vectors"):
+            for table in PAYLOAD:
                 folder = f"{self.path(table)}/{place}"
                 for g in self._children(folder):
                     if g.startswith("gen=") and g != f"gen={keep}" and only in (None, int(g[4:])):
                         self._drop(f"{folder}/{g}")
 
-    def add(self, docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None = None) -> DataFrame:
+    def add(self, docs: DataFrame, vectors: DataFrame, registry: DataFrame, vec_col: str | None = None,
+            on_top: Iterable[str] = (), replaced: DataFrame | None = None) -> DataFrame:
         """Add or replace repositories; one summary row each (repo_name,
         files_processed, documents_added).  ``registry`` has a row for each
         repository; one without documents is refused, and so are rows of
         others and vectors of another width than each other or than the index
-        has.  Nothing changes then."""
+        has.  Nothing changes then.  Those of the repositories that are named
+        ``on_top`` and are there keep their rows, but for the ones ``replaced``
+        (repo_name, doc_id)."""
         registry = registry.withColumnRenamed("repo_name", "name")
         rows = registry.select("name", "files_processed").collect()             # a row per repository that is added
-        added = self._replace([r["name"] for r in rows], docs, vectors, registry, vec_col, may_be_empty=False) if rows else {}
+        added = self._replace([r["name"] for r in rows], docs, vectors, registry, vec_col, False, on_top, replaced) if rows else {}
         return self.spark.createDataFrame([(r["name"], r["files_processed"], added[r["name"]]) for r in rows],
                                           "repo_name string, files_processed bigint, documents_added bigint")
 
@@ -259,7 +300,7 @@ class IndexStore:
     def remove(self, repos: Iterable[str]) -> dict[str, bool]:
         """Drop repositories, with the snapshots their registry rows name;
         False for those that were not there."""
-        rows = self._rows(repos)
+        rows = self.get_all(repos)
         gone = [(r["name"], True) for r in rows.values() if r is not None]
         if gone:
             self._commit(self.spark.createDataFrame(gone, "name string, removed boolean"), time.time_ns() // 1000)
@@ -281,8 +322,8 @@ class IndexStore:
         for entry in seen:
             self._drop(entry)
         reg = self.registry()
-        now = {(r["part"], r["k"], r["gen"]) for r in reg.select(self._part(F.col("name")).alias("part"), repo_key(F.col("name")).alias("k"), "gen").toLocalIterator()}
-        for table in ("docs", "vectors"):
+        now = {(r["part"], r["k"], r["gen"]) for r in reg.select(self._part(F.col("name")).alias("part"), repo_key(F.col("name")).alias("k"), F.explode(_generations()).alias("gen")).toLocalIterator()}
+        for table in PAYLOAD:
             for part in self._children(self.path(table)):
                 for key in self._children(f"{self.path(table)}/{part}") if part.startswith("part=") else []:
                     for g in self._children(f"{self.path(table)}/{part}/{key}"):

@@ -251,3 +251,61 @@ def test_maintained_frequencies_equal_a_rebuild(spark, scratch):
     assert tidy(counts.idf()) == tidy(idf_table(now))
     one = spark.range(1)
     assert [round(x, 9) for x in one.select(counts.vector().alias("v")).first().v] == [round(x, 9) for x in one.select(idf_vector(now, 64).alias("v")).first().v]
+
+
+def test_upsert_writes_what_differs(spark, scratch, monkeypatch):
+    """A change to a large repository is a layer on top, until the layers outgrow it."""
+    store, written = IndexStore(spark, scratch + "/idx", num_parts=4), []
+    write = store._write
+
+    def counted(table, *args, **kw):
+        out = write(table, *args, **kw)
+        written.append((table, out[1]["n"]))
+        return out
+
+    monkeypatch.setattr(store, "_write", counted)
+    files = {("r", f"f{i}"): "old" for i in range(12)} | {("s", "g"): "other"}
+
+    def apply(some):
+        files.update(some)
+        written.clear()
+        n = L.upsert_files(store, files_df(spark, [(*k, v) for k, v in some.items()]), lambda f: embed_tf(f, "content", "doc_id", 64, keep=("repo_name",)))
+        for repo in (None, "r"):
+            assert {(x.repo_name, x.path): x.content for x in store.read("docs", repo).collect()} == {k: v for k, v in files.items() if repo in (None, k[0])}
+            assert store.read("vectors", repo).count() == sum(repo in (None, k[0]) for k in files)
+        assert store.get("r")["files_processed"] == sum(k[0] == "r" for k in files)
+        return n, dict(written)
+
+    assert apply(dict(files)) == (13, {"docs": 13, "vectors": 13})
+    one = {("r", "f0"): "new", ("r", "f12"): "added", ("s", "g"): "other"}
+    assert apply(one) == (2, {"docs": 2, "vectors": 2, "replaced": 1})                  # was 13 of each
+    assert apply(one) == (0, {})
+    assert apply({("r", "f0"): "newer", ("r", "f12"): "changed"}) == (2, {"docs": 2, "vectors": 2, "replaced": 2})
+    assert len(store.get("r")["layers"]) == 2
+    monkeypatch.setattr(store, "_step", lambda name: (_ for _ in ()).throw(RuntimeError("lost")) if name == "commit" else None)
+    with pytest.raises(RuntimeError):
+        L.upsert_files(store, files_df(spark, [("r", "f1", "lost")]), lambda f: embed_tf(f, "content", "doc_id", 64, keep=("repo_name",)))
+    monkeypatch.setattr(store, "_step", lambda name: None)
+    store.vacuum()
+    n, wrote = apply({("r", f"f{i}"): "anew" for i in range(10)})
+    assert n == 10 and wrote["docs"] == 13 and not store.get("r")["layers"]              # 14 rows on top of 13 files: written as a whole
+    store.remove(["r"])
+    assert [x.path for x in store.read("docs").collect()] == ["g"]
+
+
+def test_upsert_stream_has_few_batches(spark, scratch, monkeypatch):
+    import __spark_entry__ as E
+    from quarry.plans.catalog import UPSERT_BATCHES
+
+    rows = [(i, f"word{i} more", "en", f"src{i % 2}", 10) for i in range(60)]
+    for i in range(12):
+        spark.createDataFrame(rows[5 * i:5 * i + 5], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(f"{scratch}/documents.parquet")
+    calls, real = [], L.upsert_files
+    monkeypatch.setattr(L, "upsert_files", lambda *a: calls.append(1) or real(*a))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")                              # a task, and a file written, per file read
+    try:
+        assert E.queries()["stream_upsert"](spark, scratch).count() == 60
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert len(calls) <= 2 * UPSERT_BATCHES                                             # was one per file
