@@ -59,7 +59,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, length: int, end_i
     enc = encoder(path, spaced=True, special=special)
     end = end_id.to_bytes(4, "little")
     for rb in batches:
-        ids, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+        ids, texts = rb.column(0).to_pylist(), rb.column(1)
         cols: list[list] = [[] for _ in range(5)]
         for part in text_groups(texts):
             for doc, raw in zip(ids[part], enc.encode(texts[part]), strict=True):

@@ -295,7 +295,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tar
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
     for rb in batches:
-        buckets, ids, texts = (rb.column(i).to_pylist() for i in range(3))
+        buckets, ids, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)
         for part in text_groups(texts):
             for b, doc, raw in zip(buckets[part], ids[part], enc.encode(texts[part]), strict=True):
                 if docs and (b != bucket or size >= target):
